@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -119,15 +118,16 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 500) -> DataFra
         )
 
     items = blocks(units, "ib", item_blocks, "qb", query_blocks)
-    wanted = units.join(queries.select(F.col("query").alias("key")).distinct(), "key", "left_semi")
-    wanted = blocks(wanted, "qb", query_blocks, "ib", item_blocks)
+    asked = queries.select(F.col("query").alias("key")).distinct()
+    wanted = blocks(unit_vectors(vectors).join(asked, "key", "left_semi"), "qb", query_blocks, "ib", item_blocks)
+    wanted = wanted.select("qb", "ib", F.col("key").alias("query"), F.col("unit").alias("query_unit"))
 
     def nearest(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if q.empty or i.empty:
             return pd.DataFrame({"query": [], "track": [], "score": []})
         keys, matrix = i["key"].to_numpy(), np.stack(i["unit"].to_numpy())
         out = []
-        for query, unit in zip(q["key"], q["unit"]):
+        for query, unit in zip(q["query"], q["query_unit"]):
             score = np.floor(matrix @ unit * SCORE_UNITS + 0.5) / SCORE_UNITS
             score[keys == query] = -np.inf
             best = np.lexsort((keys, -score))[:k]

@@ -286,7 +286,7 @@ def first_per_key(t: Tables) -> DataFrame:
 
 @query
 def group_mean(t: Tables) -> DataFrame:
-    return features.group_mean(t.scored).select("pid", F.round("cf_avg_prob", 4).alias("cf_avg_prob"))
+    return features.group_mean(t.scored)
 
 
 @query
@@ -298,7 +298,7 @@ def metric_mean(t: Tables) -> DataFrame:
 @query
 def describe_scores(t: Tables) -> DataFrame:
     stats = order.describe(t.scored, "cf_prob")
-    return stats.select("column", "count", *[F.round(c, 4).alias(c) for c in stats.columns[2:]])
+    return stats.select("column", "count", *[F.round(c, 2).alias(c) for c in stats.columns[2:]])
 
 
 # ---- windows, top-k, splits

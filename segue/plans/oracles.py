@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 TOP, SHOWN = 500, 10
 
 # Common table expressions, in an order in which each uses only earlier ones.
@@ -30,7 +32,7 @@ PARTS = {
     "test_numbered": "SELECT *, row_number() OVER (PARTITION BY pid ORDER BY pos, track) AS rn FROM test",
     "seeds": "SELECT pid, pos, track FROM test_numbered WHERE rn <= 5",
     "truth": "SELECT pid, pos, track FROM test_numbered WHERE rn > 5",
-    "scored": """SELECT o_custkey AS pid, l_partkey AS track, max(l_extendedprice) AS cf_prob
+    "scored": """SELECT o_custkey AS pid, l_partkey AS track, floor(max(l_extendedprice) * 100 + 0.5) AS cf_prob
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "ranked": """SELECT *, row_number() OVER (PARTITION BY pid ORDER BY cf_prob DESC, track) AS rank FROM scored""",
     "best": "SELECT * FROM ranked WHERE rank <= 10",
@@ -115,25 +117,34 @@ PARTS = {
         SELECT pid, count(DISTINCT track) AS found FROM predictions JOIN hidden USING (pid, track) GROUP BY 1) USING (pid)""",
 }
 
-_NEEDS: dict[str, list[str]] = {}
+# Metrics of the co-occurrence recommendations instead of the price ranking.
+_METRIC_PARTS = [name for name in PARTS if name.startswith(("m_", "hidden"))]
+CF_PARTS = {
+    **{name: text for name, text in PARTS.items() if name not in ["predictions", "returned", *_METRIC_PARTS]},
+    "predictions": "SELECT pid, rank, track FROM cf_ranked WHERE rank <= 1000 AND pid IN (SELECT pid FROM truth)",
+    "returned": "SELECT * FROM truth",
+    **{name: PARTS[name] for name in _METRIC_PARTS},
+}
 
 
 def _mentioned(text: str) -> list[str]:
-    words = set(__import__("re").findall(r"[a-z_0-9]+", text))
+    words = set(re.findall(r"[a-z_0-9]+", text))
     return [name for name in PARTS if name in words]
 
 
-def sql(body: str) -> str:
-    """The body with the common table expressions it needs, directly or not, before it."""
+def sql(body: str, parts: dict[str, str] = PARTS) -> str:
+    """The body with the common table expressions it needs, directly or not, before it.
+
+    A body that starts with a comma brings expressions of its own."""
     needed: set[str] = set()
     todo = _mentioned(body)
     while todo:
         name = todo.pop()
         if name not in needed:
             needed.add(name)
-            todo.extend(_mentioned(PARTS[name]))
-    parts = [f"{name} AS ({PARTS[name]})" for name in PARTS if name in needed]
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+            todo.extend(_mentioned(parts[name]))
+    shared = ", ".join(f"{name} AS ({parts[name]})" for name in parts if name in needed)
+    return f"WITH {shared}{'' if body.startswith(',') else ' '}{body}" if shared else body
 
 
 def _clean_sql(source: str, keys: str) -> str:
@@ -175,7 +186,7 @@ _EMBED_SIM = """(SELECT pid, track, round(coalesce(list_dot_product(u, total), 0
 _SLICE = """SELECT l_orderkey AS pid, {fields} FROM lineitem JOIN part ON l_partkey = p_partkey
     JOIN orders ON l_orderkey = o_orderkey"""
 
-_QUARTILES = ", ".join(f"round(quantile_cont(cf_prob, {q}), 4) AS {n}" for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")))
+_QUARTILES = ", ".join(f"round(quantile_cont(cf_prob, {q}), 2) AS {n}" for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")))
 
 _METRICS = "m_rprec JOIN m_ndcg USING (pid) JOIN m_clicks USING (pid) JOIN m_coverage USING (pid)"
 _MEANS = "round(avg(r_precision), 6) AS r_precision, round(avg(ndcg), 6) AS ndcg, round(avg(clicks), 6) AS clicks, round(avg(coverage), 6) AS coverage"
@@ -241,17 +252,17 @@ _RAW: dict[str, str] = {
     "distinct_users": """SELECT DISTINCT "user" FROM triplets""",
     "first_per_key": """SELECT track, pid, pos FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY pid, pos) AS rn
         FROM interactions) WHERE rn = 1""",
-    "group_mean": "SELECT pid, round(avg(cf_prob), 4) AS cf_avg_prob FROM scored GROUP BY 1",
+    "group_mean": "SELECT pid, avg(cf_prob) AS cf_avg_prob FROM scored GROUP BY 1",
     "metric_mean": f"SELECT {_MEANS} FROM {_METRICS}",
-    "describe_scores": f"""SELECT 'cf_prob' AS "column", count(*) AS count, round(avg(cf_prob), 4) AS mean,
-        round(stddev_samp(cf_prob), 4) AS std, round(min(cf_prob), 4) AS min, {_QUARTILES}, round(max(cf_prob), 4) AS max FROM scored""",
+    "describe_scores": f"""SELECT 'cf_prob' AS "column", count(*) AS count, round(avg(cf_prob), 2) AS mean,
+        round(stddev_samp(cf_prob), 2) AS std, round(min(cf_prob), 2) AS min, {_QUARTILES}, round(max(cf_prob), 2) AS max FROM scored""",
     "topk_per_list": "SELECT * FROM best",
     "topk_oversample": """SELECT pid, track, cf_prob, row_number() OVER (PARTITION BY pid ORDER BY rank) AS rank
         FROM (SELECT * FROM ranked WHERE rank <= 15) ANTI JOIN first5 USING (pid, track)
         QUALIFY row_number() OVER (PARTITION BY pid ORDER BY rank) <= 10""",
     "dense_encode": """SELECT value, row_number() OVER (ORDER BY value) - 1 AS id
         FROM (SELECT DISTINCT 'track:' || track AS value FROM interactions)""",
-    "relative_score": """SELECT pid, track, cf_prob, round(cf_prob / avg(cf_prob) OVER (PARTITION BY pid), 6) AS cf_rlt_prob, rank
+    "relative_score": """SELECT pid, track, cf_prob, round(cf_prob / avg(cf_prob) OVER (PARTITION BY pid), 6) AS cf_rlt_prob
         FROM ranked WHERE rank <= 500""",
     "split_prefix": """SELECT pid, pos, track, CASE WHEN rn <= 5 THEN 'seed' ELSE 'truth' END AS part FROM numbered""",
     "split_random_items": """, drawn AS (SELECT pid, track, count(*) OVER (PARTITION BY pid) AS size, row_number() OVER (PARTITION BY pid
@@ -351,20 +362,12 @@ _RAW: dict[str, str] = {
             FROM ranked r LEFT JOIN hidden h ON h.pid = r.pid AND h.track = r.track WHERE rank <= 500)
         SELECT pid, round(sum(CASE WHEN rank <= total THEN label ELSE 0 END) / max(total), 6) AS r_precision
         FROM (SELECT *, sum(label) OVER (PARTITION BY pid) AS total FROM labelled) WHERE total > 0 GROUP BY pid""",
-    "evaluate_cf": "",
 }
 
 
 def _build() -> dict[str, str]:
-    out = {}
-    for name, body in _RAW.items():
-        if not body:
-            continue
-        if body.startswith(","):
-            # The body brings table expressions of its own.
-            out[name] = sql(body[1:].strip()).replace(") " + body[1:].strip(), "), " + body[1:].strip(), 1)
-        else:
-            out[name] = sql(body)
+    out = {name: sql(body) for name, body in _RAW.items()}
+    out["evaluate_cf"] = sql(_RAW["metric_mean"], CF_PARTS)
     docs = "SELECT 'doc' AS kind, doc_id AS id, 0 AS turn, text FROM documents"
     talk = "SELECT 'conv' AS kind, conv_id AS id, turn, text FROM conversations"
     out["clean_title"] = f"WITH texts AS ({docs} UNION ALL {talk})," + _clean_sql("texts", "kind, id, turn") + \

@@ -37,7 +37,7 @@ class Tables:
         """(pid, file_pos, pos, track): every order as a short list."""
         line = self.read("lineitem")
         return line.select(
-            F.col("l_orderkey").alias("pid"), F.unix_seconds("l_shipdate").alias("file_pos"),
+            F.col("l_orderkey").alias("pid"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("file_pos"),
             F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("track"),
         )
 
@@ -107,11 +107,12 @@ class Tables:
 
     @cached_property
     def scored(self) -> DataFrame:
-        """(pid, track, cf_prob): every cell as a candidate, scored by its highest price."""
+        """(pid, track, cf_prob): every cell as a candidate, scored by its highest price in whole cents."""
         orders = self.read("orders").select("o_orderkey", F.col("o_custkey").alias("pid"))
         lines = self.read("lineitem").select("l_orderkey", F.col("l_partkey").alias("track"), "l_extendedprice")
         joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        return joined.groupBy("pid", "track").agg(F.max("l_extendedprice").alias("cf_prob"))
+        cents = F.floor(F.max("l_extendedprice") * 100 + 0.5).cast("double")
+        return joined.groupBy("pid", "track").agg(cents.alias("cf_prob"))
 
     @cached_property
     def returned(self) -> DataFrame:
