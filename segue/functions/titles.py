@@ -27,13 +27,17 @@ def title_tokens(clean: Column | str) -> Column:
 
 def title_ngrams(clean: Column | str) -> Column:
     """Distinct single words and neighbouring word pairs."""
-    words = title_tokens(clean)
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    return F.array_distinct(F.concat(words, pairs))
+
+
+    def grams(words: Column) -> Column:
+        n_pairs = F.greatest(F.size(words) - 1, F.lit(0))
+        pairs = F.zip_with(
+            F.slice(words, 1, n_pairs), F.slice(words, 2, n_pairs), lambda a, b: F.concat_ws(" ", a, b)
+        )
+        return F.array_distinct(F.concat(words, pairs))
+
+    # Binding the words to a lambda variable finds them once, not once per use.
+    return F.transform(F.array(title_tokens(clean)), grams)[0]
 
 
 def title_weight(clean: Column | str) -> Column:

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from segue.session import materialize
-from segue.operators.skew import ROWS_PER_PIECE, copy_to_pieces, cut, heavy_keys
+from segue.operators.skew import copy_to_pieces, cut, heavy_keys
 
 
 @dataclass
@@ -25,7 +25,7 @@ class Cells:
     heavy: DataFrame | None
 
 
-def cells_of(interactions: DataFrame, counted: bool = False, rows_per_piece: int = ROWS_PER_PIECE) -> Cells:
+def cells_of(interactions: DataFrame, counted: bool = False, rows_per_piece: int | None = None) -> Cells:
     """Distinct cells; m is the number of repeats when `counted`.
 
     The cells are written once: the counts and both sides of the co-occurrence join read them."""
@@ -121,27 +121,27 @@ def normalised_features(seeds: DataFrame, cells: Cells, alpha: float = ALPHA) ->
     )
 
 
-def _seed_cells(seeds: DataFrame, scaled: DataFrame) -> DataFrame:
-    """Cells of every test list's distinct seeds: (test, seed, pid, m_seed, as_seed).
+def _seed_cells(seeds: DataFrame, rows: DataFrame) -> DataFrame:
+    """Cells of every test list's distinct seeds: (test, seed, pid, ...) with the columns of `rows`.
 
-    A popular seed has many test lists and many cells; its cells are spread over pieces."""
+    A popular seed has many test lists and many cells; its test lists are spread over pieces."""
     wanted = seeds.select(F.col("pid").alias("test"), F.col("track").alias("seed")).distinct()
+    wanted = materialize(wanted, "wanted")
     heavy = heavy_keys(wanted, "seed")
     left = cut(wanted, "seed", heavy, "test")
-    cells = scaled.select("pid", F.col("track").alias("seed"), F.col("m").alias("m_seed"), "as_seed")
+    cells = rows.withColumnsRenamed({"track": "seed", "m": "m_seed"}).drop("piece")
     return left.join(copy_to_pieces(cells, "seed", heavy), ["seed", "piece"]).drop("piece")
 
 
-def list_weights(seeds: DataFrame, cells: Cells, beta: float = BETA, theta: float = THETA) -> DataFrame:
-    """(test, pid, w): how much a training list counts for a test list."""
-    return _weights(_seed_cells(seeds, _scaled(cells, ALPHA)), cells, beta, theta)
+def _weight(shared: Column, beta: float, theta: float) -> Column:
+    """Weight of a training list from its shared rows and its size."""
+    return F.pow(shared * F.pow(F.lit(SMOOTH) + F.col("i_list"), F.lit(beta - 1)), F.lit(theta))
 
 
-def _weights(hits: DataFrame, cells: Cells, beta: float, theta: float) -> DataFrame:
-    shared = hits.groupBy("test", "pid").agg(F.sum("m_seed").alias("m"))
-    sized = shared.join(list_sums(cells), "pid")
-    base = F.col("m") * F.pow(F.lit(SMOOTH) + F.col("i_list"), F.lit(beta - 1))
-    return sized.select("test", "pid", F.pow(base, F.lit(theta)).alias("w"))
+def list_weights(seeds: DataFrame, cells: Cells, beta: float = BETA, theta: float = THETA) -> DataFrame:
+    """(test, pid, w): how much a training list counts for a test list."""
+    hits = _seed_cells(seeds, cells.rows).groupBy("test", "pid").agg(F.sum("m_seed").alias("shared"))
+    return hits.join(list_sums(cells), "pid").select("test", "pid", _weight(F.col("shared"), beta, theta).alias("w"))
 
 
 def weighted_features(
@@ -149,8 +149,10 @@ def weighted_features(
 ) -> DataFrame:
     """(test, seed, track, v): as `normalised_features`, each shared list weighted for the test list."""
     scaled = _scaled(cells, alpha)
-    hits = _seed_cells(seeds, scaled)
-    weighted = hits.join(_weights(hits, cells, beta, theta), ["test", "pid"]).select(
+    hits = _seed_cells(seeds, scaled.drop("as_cand").join(list_sums(cells), "pid"))
+    # Seeds that one training list shares with one test list.
+    shared = F.sum("m_seed").over(Window.partitionBy("test", "pid"))
+    weighted = hits.withColumn("w", _weight(shared, beta, theta)).select(
         "test", "pid", "seed", "as_seed", (F.col("m_seed") * F.col("w")).alias("mw")
     )
     pairs = copy_to_pieces(weighted, "pid", cells.heavy).join(scaled.drop("as_seed"), ["pid", "piece"])

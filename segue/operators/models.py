@@ -110,7 +110,7 @@ def svc_features(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
 SVC_INPUTS = ["v_sum", "v_mean", "v_max", "v_count"]
 
 
-def svc_rerank(features: DataFrame, c: float, k: int = 500, max_iter: int = 50) -> DataFrame:
+def svc_rerank(features: DataFrame, c: float, k: int = 500, max_iter: int = 100) -> DataFrame:
     """(pid, track, score, rank): candidates by the decision value of one linear SVC that tells seeds
     from the other tracks; seeds are not returned.
 

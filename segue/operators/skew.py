@@ -16,8 +16,9 @@ ROWS_PER_PIECE = 50_000
 MAX_HEAVY_KEYS = 100_000
 
 
-def heavy_keys(df: DataFrame, key: str, rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame | None:
+def heavy_keys(df: DataFrame, key: str, rows_per_piece: int | None = None) -> DataFrame | None:
     """(key, pieces) of the keys above the row limit as a small local table, None when there are none."""
+    rows_per_piece = rows_per_piece or ROWS_PER_PIECE
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > rows_per_piece)
     top = (
         counts.orderBy(F.desc("rows"), key).limit(MAX_HEAVY_KEYS)

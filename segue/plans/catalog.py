@@ -13,13 +13,14 @@ from segue.functions.titles import clean_title, title_ngrams, title_tokens, titl
 from segue.operators import cooccur, features, metrics, models, order, rank, relational as rel, retrieve, splits, title
 from segue.plans.challenge import Challenge
 from segue.plans.tables import Tables
-from segue.session import configure, materialize, stage_path
+from segue.session import configure, materialize, spread, stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TOP = 500  # recommendation depth
 SHOWN = 10  # depth of the small reports
+GBT_ROUNDS = SVC_ITER = 10  # training length of the registered queries
 
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -384,13 +385,13 @@ def except_lists(t: Tables) -> DataFrame:
 
 @query
 def clean_title_(t: Tables) -> DataFrame:
-    docs = t.read("documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), "text")
+    docs = spread(t.read("documents").select("doc_id", "text")).select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), "text")
     talk = t.read("conversations").select(F.lit("conv").alias("kind"), F.col("conv_id").alias("id"), "turn", "text")
     return docs.unionByName(talk).select("kind", "id", "turn", clean_title("text").alias("clean"))
 
 
 def _clean_docs(t: Tables) -> DataFrame:
-    return t.read("documents").select("doc_id", clean_title("text").alias("clean"))
+    return spread(t.read("documents").select("doc_id", "text")).select("doc_id", clean_title("text").alias("clean"))
 
 
 @query
@@ -571,12 +572,12 @@ def svc_features(t: Tables) -> DataFrame:
 
 @query
 def svc_rerank(t: Tables) -> DataFrame:
-    return models.svc_rerank(_svc_table(t, weighted=False), c=0.05, k=TOP)
+    return models.svc_rerank(_svc_table(t, weighted=False), c=0.05, k=TOP, max_iter=SVC_ITER)
 
 
 @query
 def svc_rerank_weighted(t: Tables) -> DataFrame:
-    return models.svc_rerank(_svc_table(t, weighted=True), c=0.8, k=TOP)
+    return models.svc_rerank(_svc_table(t, weighted=True), c=0.8, k=TOP, max_iter=SVC_ITER)
 
 
 # ---- learned features and models
@@ -630,9 +631,6 @@ def feature_table(t: Tables) -> DataFrame:
     )
 
 
-GBT_ROUNDS = 10  # boosting rounds of the registered queries
-
-
 @query
 def gbt_train(t: Tables) -> DataFrame:
     """The trained model's feature importances."""

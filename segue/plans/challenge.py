@@ -6,7 +6,7 @@ way, filled up by popularity and put under the others."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window, functions as F
@@ -67,10 +67,14 @@ class Challenge:
     rounds: int = models.GBT_ROUNDS
     rate: float = models.GBT_RATE
     vector_size: int = 100
-    _holdouts: dict[int, tuple[DataFrame, dict]] = field(default_factory=dict)
+    svc_iter: int = 100
+    _held: dict[int, DataFrame] = field(default_factory=dict)
+    _holdouts: dict[int, DataFrame] = field(default_factory=dict)
 
     @classmethod
-    def from_tables(cls, t: Tables, rounds: int = 10, rate: float = 0.1, vector_size: int = 16) -> "Challenge":
+    def from_tables(cls, t: Tables, rounds: int = 5, rate: float = 0.1, vector_size: int = 16,
+                    svc_iter: int = 10) -> "Challenge":
+        """A short training run over the star schema."""
         marked = splits.split_lists(t.sized_lists)
         test = marked.filter("is_test")
         # The seeds of a test list are its first rows; lists with a longer title give them shuffled.
@@ -86,7 +90,7 @@ class Challenge:
         return cls(
             materialize(t.train, "train"), materialize(marked.filter("not is_test").drop("is_test"), "lists"),
             materialize(test.drop("is_test"), "test-lists"), materialize(seeds, "test-seeds"), t.encoded_items,
-            rounds=rounds, rate=rate, vector_size=vector_size,
+            rounds=rounds, rate=rate, vector_size=vector_size, svc_iter=svc_iter,
         )
 
     @cached_property
@@ -115,9 +119,18 @@ class Challenge:
     def freq(self) -> DataFrame:
         return materialize(rel.track_freq(self.train), "freq")
 
-    def embeddings(self, lists_left_out: DataFrame) -> dict:
-        """Vectors of tracks, albums and artists, trained without the given lists."""
-        rows = rel.drop_pids(self.train, lists_left_out)
+    def held(self, n: int) -> DataFrame:
+        """Training lists that are cut to n seeds for the second stage."""
+        if n not in self._held:
+            fitting = rel.drop_null_lists(rel.filter_length(self.lists, n), ["clean"])
+            self._held[n] = materialize(order.head_n(fitting.select("pid"), HOLDOUT_LISTS, ["pid"]), "held")
+        return self._held[n]
+
+    @cached_property
+    def embeddings(self) -> dict:
+        """Vectors of tracks, albums and artists, trained once, without the lists that validate a second stage."""
+        held = reduce(DataFrame.unionByName, [self.held(n) for n in sorted({p.seeds for p in TWO_STAGE.values()})])
+        rows = rel.drop_pids(self.train, held.filter(hash_below(0.2, "pid", seed=VALID_SEED)))
         album, artist = self.items.select("track", "album"), self.items.select("track", "artist")
         out = {}
         for name, keys in (("w2v_track_sim", None), ("w2v_album_sim", album), ("w2v_artist_sim", artist)):
@@ -125,37 +138,37 @@ class Challenge:
             out[name] = (materialize(models.word_vectors(model), "vectors"), keys)
         return out
 
-    def holdout(self, n: int) -> tuple[DataFrame, dict]:
-        """Labelled features of training lists cut to n seeds, and the embeddings that go with them."""
+    def holdout(self, n: int) -> DataFrame:
+        """Labelled features of training lists cut to n seeds."""
         if n not in self._holdouts:
-            fitting = rel.drop_null_lists(rel.filter_length(self.lists, n), ["clean"])
-            held = materialize(order.head_n(fitting.select("pid"), HOLDOUT_LISTS, ["pid"]), "held")
+            held = self.held(n)
             seeds, truth = splits.split_prefix(rel.keep_pids(self.train, held), n)
             seeds, truth = materialize(seeds, "seeds"), materialize(truth, "truth")
             found = retrieve.cf_recommend(seeds, cooccur.cells_of(rel.drop_pids(self.train, held)), self.depth)
-            vectors = self.embeddings(held.filter(hash_below(0.2, "pid", seed=VALID_SEED)))
             table = features.feature_table(
-                found.withColumnRenamed("score", "cf_prob"), truth, seeds, self.items, self.lists, self.freq, vectors
+                found.withColumnRenamed("score", "cf_prob"), truth, seeds, self.items, self.lists, self.freq,
+                self.embeddings,
             )
-            self._holdouts[n] = materialize(table, "features"), vectors
+            self._holdouts[n] = materialize(table, "features")
         return self._holdouts[n]
 
     def two_stage(self, plan: TwoStage, pids: DataFrame, seeds: DataFrame) -> DataFrame:
-        table, vectors = self.holdout(plan.seeds)
+        table = self.holdout(plan.seeds)
         unused = ([] if plan.freq else ["freq"]) + ([] if plan.names else features.NAME_COLUMNS)
         model: PipelineModel = models.gbt_train(
             table.drop(*unused), self.rounds, self.rate, plan.rows, seed=VALID_SEED
         )
         found = retrieve.cf_recommend(seeds, self.cells, self.depth).withColumnRenamed("score", "cf_prob")
         wanted = features.feature_table(
-            found, None, seeds, self.items, pids, self.freq if plan.freq else None, vectors, plan.names
+            found, None, seeds, self.items, pids, self.freq if plan.freq else None,
+            self.embeddings, plan.names,
         )
         return rank.rank_emit(models.gbt_score(model, wanted), seeds, self.width + 50, self.width, "prob")
 
     def classified(self, plan: Classifier, seeds: DataFrame) -> DataFrame:
         build = cooccur.weighted_features if plan.weighted else cooccur.normalised_features
         table = models.svc_features(build(seeds, self.counted_cells), seeds)
-        return models.svc_rerank(table, plan.c, self.width)
+        return models.svc_rerank(table, plan.c, self.width, self.svc_iter)
 
     def from_titles(self, pids: DataFrame) -> DataFrame:
         titled = rel.drop_null_lists(self.lists, ["clean"])

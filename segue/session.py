@@ -61,6 +61,15 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share a small input out over all cores before heavy work on each row.
+
+    A file with one row group is one task however large the cluster; inputs that already have a
+    task per core are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a stage as parquet and read it back.
 
