@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from segue.session import materialize
+from segue.operators import skew
 from segue.operators.skew import copy_to_pieces, cut, heavy_keys
 
 
@@ -34,7 +35,7 @@ def cells_of(interactions: DataFrame, counted: bool = False, rows_per_piece: int
     else:
         rows = interactions.select("pid", "track").distinct()
     staged = materialize(rows, "cells")
-    heavy = heavy_keys(staged, "pid", rows_per_piece)
+    heavy = heavy_keys(staged, "pid", rows_per_piece or skew.ROWS_PER_PIECE)
     return Cells(cut(staged, "pid", heavy, "track"), heavy)
 
 
@@ -74,9 +75,11 @@ def pair_similarity(pairs: DataFrame, cells: Cells, a: float = 0.1, q: float = 0
         "s", "u", F.when(s_rarer, F.col("s")).otherwise(F.col("u")).alias("rare"),
         F.when(s_rarer, F.col("u")).otherwise(F.col("s")).alias("track"),
     )
+    probes = materialize(probes, "probes")
+    heavy = heavy_keys(probes, "rare")
     lists = cells.rows.select(F.col("track").alias("rare"), "pid")
     both = (
-        probes.join(lists, "rare")
+        cut(probes, "rare", heavy, "track").join(copy_to_pieces(lists, "rare", heavy), ["rare", "piece"])
         .join(cells.rows.select("pid", "track"), ["pid", "track"], "left_semi")
         .groupBy("s", "u").agg(F.count(F.lit(1)).alias("c"))
     )

@@ -42,8 +42,12 @@ def add_popularity(candidates: DataFrame, freq: DataFrame) -> DataFrame:
 
 
 def add_item_attrs(candidates: DataFrame, items: DataFrame) -> DataFrame:
-    """Artist, album and the three names; every candidate comes from the catalogue."""
-    return candidates.join(items, "track")
+    """Artist, album and the three names; a candidate that is not in the catalogue is an error."""
+    joined = candidates.join(items.withColumn("_known", F.lit(True)), "track", "left")
+    missing = F.raise_error(F.concat(F.lit("no item for track "), F.col("track").cast("string")))
+    kind = dict(candidates.dtypes)["track"]
+    track = F.when(F.col("_known"), F.col("track")).otherwise(missing.cast(kind))
+    return joined.withColumn("track", track).drop("_known")
 
 
 def add_title(candidates: DataFrame, lists: DataFrame) -> DataFrame:
@@ -99,7 +103,7 @@ def seed_similarity(candidates: DataFrame, seeds: DataFrame, vectors: DataFrame,
 
 
 # Block sizes of the exact nearest-neighbour search.
-ITEM_BLOCK, QUERY_BLOCK = 20_000, 2_000
+ITEM_BLOCK, QUERY_BLOCK, QUERY_BATCH = 100_000, 10_000, 64
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 500) -> DataFrame:
@@ -108,9 +112,11 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 500) -> DataFra
     Items and queries are hashed into blocks of bounded size; a task multiplies one pair of
     blocks and returns k rows per query, and the partial lists are merged by a top-k."""
     units = unit_vectors(vectors)
+    batch = QUERY_BATCH
     n_items, n_queries = units.count(), queries.select("query").distinct().count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
     item_blocks = max(1, math.ceil(n_items / ITEM_BLOCK))
-    query_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
+    query_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK), math.ceil(cores / item_blocks))
 
     def blocks(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return rows.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(n_own)).cast("int")).withColumn(
@@ -126,13 +132,18 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 500) -> DataFra
         if q.empty or i.empty:
             return pd.DataFrame({"query": [], "track": [], "score": []})
         keys, matrix = i["key"].to_numpy(), np.stack(i["unit"].to_numpy())
+        asked, units_asked = q["query"].to_numpy(), np.stack(q["query_unit"].to_numpy())
         out = []
-        for query, unit in zip(q["query"], q["query_unit"]):
-            score = np.floor(matrix @ unit * SCORE_UNITS + 0.5) / SCORE_UNITS
-            score[keys == query] = -np.inf
-            best = np.lexsort((keys, -score))[:k]
-            best = best[np.isfinite(score[best])]
-            out.append(pd.DataFrame({"query": query, "track": keys[best], "score": score[best]}))
+        for start in range(0, len(asked), batch):
+            scores = np.floor(units_asked[start:start + batch] @ matrix.T * SCORE_UNITS + 0.5) / SCORE_UNITS
+            for query, score in zip(asked[start:start + batch], scores):
+                other = np.flatnonzero(keys != query)
+                if len(other) > k:
+                    # Everything down to the k-th score, ties with it included.
+                    limit = np.partition(score[other], len(other) - k)[len(other) - k]
+                    other = other[score[other] >= limit]
+                best = other[np.lexsort((keys[other], -score[other]))[:k]]
+                out.append(pd.DataFrame({"query": query, "track": keys[best], "score": score[best]}))
         return pd.concat(out)
 
     partial = wanted.groupBy("qb", "ib").cogroup(items.groupBy("qb", "ib")).applyInPandas(

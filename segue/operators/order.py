@@ -18,12 +18,15 @@ def with_row_index(df: DataFrame, order: list[str | Column], name: str = "idx")
 
     The sorted rows and their place inside their partition are written once, so the
     partition sizes and the rows always come from the same sort.  Only one offset per
-    shuffle partition is broadcast, whatever the number of rows.
+    shuffle partition is broadcast, whatever the number of rows.  Rows with equal keys are
+    told apart by a row id, so that a frequent key is not one range.
     """
-    keys = [F.col(k) if isinstance(k, str) else k for k in order]
+    keys = [F.col(k) if isinstance(k, str) else k for k in order] + [F.col("_tie")]
     staged = materialize(
-        df.repartitionByRange(*keys)
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
+        .drop("_tie")
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))),
         "row-index",

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from segue.operators.order import popularity_order, with_row_index
+from segue.session import materialize
 
 SCORE_UNITS = 1_000_000.0
+BROADCAST_ROWS = 100_000  # a popularity table this short is sent to every task
 
 
 def rounded(score: Column | str) -> Column:
@@ -52,15 +54,21 @@ def popularity_backfill(pids: DataFrame, ranked: DataFrame, seeds: DataFrame, fr
     have = ranked.groupBy("pid").agg(F.count(F.lit(1)).alias("n_have"))
     known = seeds.select("pid", "track").unionByName(ranked.select("pid", "track")).distinct()
     n_known = known.groupBy("pid").agg(F.count(F.lit(1)).alias("n_known"))
-    short = (
+    short = materialize(
         pids.select("pid").join(have, "pid", "left").join(n_known, "pid", "left")
         .fillna(0, subset=["n_have", "n_known"])
-        .filter(F.col("n_have") < k)
+        .filter(F.col("n_have") < k),
+        "short-lists",
     )
     wanted = short.select(
         "pid", "n_have", F.explode(F.sequence(F.lit(1), k - F.col("n_have") + F.col("n_known"))).alias("rank")
     )
-    popular = popularity_order(freq).select("rank", "track")
+    deepest = wanted.agg(F.max("rank")).first()[0]
+    if deepest is None:
+        return ranked.select("pid", "track", "rank").filter(F.col("rank") <= k)
+    popular = popularity_order(freq).select("rank", "track").filter(F.col("rank") <= deepest)
+    if deepest <= BROADCAST_ROWS:
+        popular = F.broadcast(popular)
     fresh = wanted.join(popular, "rank").join(known, ["pid", "track"], "left_anti")
     by_rank = Window.partitionBy("pid").orderBy("rank")
     fill = fresh.withColumn("_rn", F.row_number().over(by_rank)).filter(F.col("_rn") <= k)

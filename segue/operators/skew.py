@@ -10,15 +10,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key may keep this many rows in one piece.
-ROWS_PER_PIECE = 50_000
+# Cells of a list in one piece.  Only the list's seed cells are copied to its pieces, so the copies
+# are a five-thousandth of the pairs they lead to.
+ROWS_PER_PIECE = 5_000
+# Rows of a seed or n-gram in one piece, where each of them meets all matches of the key.  The
+# matches are copied to the pieces, a five-hundredth of what comes out.
+MATCHES_PER_PIECE = 500
 # Only this many heavy keys are held; by counting, any other key has less than 1/100,000 of all rows.
 MAX_HEAVY_KEYS = 100_000
 
 
 def heavy_keys(df: DataFrame, key: str, rows_per_piece: int | None = None) -> DataFrame | None:
     """(key, pieces) of the keys above the row limit as a small local table, None when there are none."""
-    rows_per_piece = rows_per_piece or ROWS_PER_PIECE
+    rows_per_piece = rows_per_piece or MATCHES_PER_PIECE
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > rows_per_piece)
     top = (
         counts.orderBy(F.desc("rows"), key).limit(MAX_HEAVY_KEYS)

@@ -29,6 +29,14 @@ def test_label_and_relative_score(spark):
     assert [(r["label"], r["cf_rlt_prob"]) for r in got] == [(0, 0.5), (1, 1.5), (0, None)]
 
 
+def test_unknown_item_is_an_error(spark):
+    cands = spark.createDataFrame([(1, 5, 1.0), (1, 6, 3.0)], "pid int, track int, cf_prob double")
+    items = spark.createDataFrame([(5, "a")], "track int, artist string")
+    assert features.add_item_attrs(cands.filter("track = 5"), items).first()["artist"] == "a"
+    with pytest.raises(Exception, match="no item for track 6"):
+        features.add_item_attrs(cands, items).collect()
+
+
 def test_explode_scored(spark):
     wide = spark.createDataFrame([(1, [5, 6], [0.5, 0.25])], "pid int, pred array<int>, scores array<double>")
     assert [tuple(r) for r in features.explode_scored(wide).collect()] == [(1, 5, 0.5), (1, 6, 0.25)]

@@ -14,6 +14,7 @@ def pieces(request, monkeypatch):
     """Run with the usual limits, and with limits so low that lists, seeds and titles are cut."""
     if request.param == "cut":
         monkeypatch.setattr(skew, "ROWS_PER_PIECE", 2)
+        monkeypatch.setattr(skew, "MATCHES_PER_PIECE", 2)
         monkeypatch.setattr(retrieve, "SEEDS_PER_PIECE", 1)
     return request.param
 
