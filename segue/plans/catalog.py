@@ -495,8 +495,8 @@ def evaluate_cf(t: Tables) -> DataFrame:
 @query
 def popularity_backfill(t: Tables) -> DataFrame:
     """Lists filled up to the recommendation depth from what they would get by price."""
-    seeds = splits.first_items(t.interactions, 5)
-    own = rank.topk_per_list(rank.drop_seeds(t.scored, seeds), SHOWN, "cf_prob")
+    seeds = materialize(splits.first_items(t.interactions, 5), "seeds")
+    own = materialize(rank.topk_per_list(rank.drop_seeds(t.scored, seeds), SHOWN, "cf_prob"), "own")
     return rank.popularity_backfill(t.lists, own, seeds, rel.track_freq(t.interactions), 5 * SHOWN)
 
 
