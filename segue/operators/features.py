@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from segue.functions.similarity import edit_similarity, matching_ratio
-from segue.operators.rank import SCORE_UNITS, rounded, topk_per_list
+from segue.operators.rank import SCORE_UNITS, topk_per_list
 
 
 def explode_scored(wide: DataFrame) -> DataFrame:
@@ -159,8 +159,6 @@ def first_with_vector(interactions: DataFrame, vectors: DataFrame) -> DataFrame:
     return known.groupBy("pid").agg(F.min(F.struct("pos", "track"))["track"].alias("query"))
 
 
-# The model inputs, without track embeddings of albums and artists when those are not given.
-BASE_COLUMNS = ["track", "cf_prob", "cf_rlt_prob"]
 NAME_COLUMNS = ["name_sim", "album_sim", "artist_sim"]
 
 
