@@ -50,7 +50,7 @@ def unnest_tracks(t: Tables) -> DataFrame:
 @query
 def src_csv_gz(t: Tables) -> DataFrame:
     path = stage_path(t.spark, "csv")
-    sources.write_table(t.interactions.select(F.col("pos").cast("int"), "track", "pid"), path, "csv")
+    sources.write_table(t.interactions.select("pos", "track", "pid"), path, "csv")
     return sources.read_csv_gz(t.spark, path, schemas.INTERACTIONS, ["pid", "track"])
 
 

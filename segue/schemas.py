@@ -46,7 +46,7 @@ TRAIN_SLICE = slice_schema(TRAIN_LIST_FIELDS)
 TEST_SLICE = slice_schema(TEST_LIST_FIELDS)
 
 INTERACTIONS = T.StructType([
-    T.StructField("pos", T.IntegerType()),
+    T.StructField("pos", T.LongType()),
     T.StructField("track", T.LongType()),
     T.StructField("pid", T.LongType()),
 ])
