@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["licenses", "line_dedup"]
+MODULES = ["licenses", "packing", "sharding", "line_dedup", "bpe_codec", "quality_rules"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
