@@ -23,7 +23,8 @@ from segue.session import materialize
 
 ORDER = 4
 MAX_NGRAMS = 1 << 19  # per language, the most frequent; the others are left to the lower orders
-MAX_DEVIATIONS = 6.0
+MAX_DEVIATIONS = 10.0
+MIN_DEVIATION = 0.06  # nats per symbol
 MIN_CALIBRATION = 30
 UNKNOWN = "und"
 BLANK = 32
@@ -303,7 +304,7 @@ def identify(
         F.avg("cross_entropy").alias("mean"), F.stddev("cross_entropy").alias("deviation"), F.count(F.lit(1)).alias("n")
     ).filter(F.col("n") >= MIN_CALIBRATION)
     joined = scored.join(usual, (F.col("lang_pred") == F.col("at_lang")) & (F.col("class") == F.col("at_class")), "left")
-    far = F.col("cross_entropy") > F.col("mean") + max_deviations * F.greatest(F.col("deviation"), F.lit(0.02))
+    far = F.col("cross_entropy") > F.col("mean") + max_deviations * F.greatest(F.col("deviation"), F.lit(MIN_DEVIATION))
     return joined.select(
         "row", "lang_pred", "score", "cross_entropy", (F.col("lang_pred").eqNullSafe(UNKNOWN) | F.coalesce(far, F.lit(False))).alias("rejected")
     )
