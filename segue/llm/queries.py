@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["licenses", "packing", "sharding", "language", "line_dedup", "bpe_codec", "quality_rules"]
+MODULES = ["licenses", "quality", "packing", "sharding", "language", "line_dedup", "bpe_codec", "quality_rules"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
