@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from segue.llm.carry import with_row
 from segue.llm.lines import frequent_lines
 from segue.session import materialize
 
@@ -37,13 +38,12 @@ def drop_boilerplate(
         host.alias("host"),
         F.array_compact(F.array_distinct(F.transform(F.coalesce(lines, F.array().cast("array<string>")), line_key))).alias("keys"),
     )
-    frequent = frequent_lines(rows, max_share, min_pages).select(
-        F.col("host").alias("__host"), F.col("frequent").alias("__frequent")
-    )
-    kept = F.array_join(F.filter(lines, lambda l: ~F.coalesce(F.array_contains("__frequent", line_key(l)), F.lit(False))), "\n")
-    joined = pages.join(frequent, host == F.col("__host"), "left")
-    new = F.when(F.col("__frequent").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*[new.alias(c) if c == text_col else F.col(c) for c in pages.columns])
+    frequent = frequent_lines(rows, max_share, min_pages).withColumnRenamed("host", "at")
+    joined = with_row(pages, host=host, text=F.col(text_col)).join(frequent, F.col("host") == F.col("at"), "left")
+    own = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(own, lambda l: ~F.coalesce(F.array_contains("frequent", line_key(l)), F.lit(False))), "\n")
+    new = F.when(F.col("frequent").isNull(), F.col("text")).otherwise(kept)
+    return joined.select(F.col("row").withField(text_col, new).alias("row")).select("row.*")
 
 
 # Script, style and comment bodies are no lines; every other tag ends one.
