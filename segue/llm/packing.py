@@ -147,7 +147,7 @@ def _merge(size: int, level: int, last: bool, keep_ids: bool):
                     emit(mine)
         elif rest:
             rows.extend(_rows(rest, None, group, 0, True))
-        found = pd.DataFrame(rows, columns=NAMES)
+        found = pd.DataFrame(rows, columns=NAMES, dtype=object)  # else a column with a null turns to floats
         return found.astype({c: "Int64" for c in NAMES[:8]} | {"window": "Int32"})
 
     return run
