@@ -23,7 +23,7 @@ class Cells:
     """(pid, track, piece, m) and the lists that were cut."""
 
     rows: DataFrame
-    heavy: DataFrame | None
+    heavy: DataFrame
 
 
 def cells_of(interactions: DataFrame, counted: bool = False, rows_per_piece: int | None = None) -> Cells:

@@ -10,8 +10,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from segue.functions.similarity import edit_similarity, matching_ratio
+from segue.functions.similarity import edit_similarity
 from segue.operators.rank import SCORE_UNITS, topk_per_list
+from segue.session import materialize
 
 
 def explode_scored(wide: DataFrame) -> DataFrame:
@@ -31,10 +32,9 @@ def group_mean(candidates: DataFrame, score: str = "cf_prob") -> DataFrame:
 
 
 def relative_score(candidates: DataFrame, score: str = "cf_prob") -> DataFrame:
-    """Score over the list's mean score.  Candidates arrive grouped by list from the top-k, and a
-    list has at most the retrieval depth of them, so the window adds no shuffle."""
-    mean = F.avg(score).over(Window.partitionBy("pid"))
-    return candidates.withColumn("cf_rlt_prob", F.try_divide(F.col(score), mean))
+    """Score over the list's mean score."""
+    joined = candidates.join(group_mean(candidates, score), "pid")
+    return joined.withColumn("cf_rlt_prob", F.try_divide(F.col(score), F.col("cf_avg_prob"))).drop("cf_avg_prob")
 
 
 def add_popularity(candidates: DataFrame, freq: DataFrame) -> DataFrame:
@@ -54,13 +54,12 @@ def add_title(candidates: DataFrame, lists: DataFrame) -> DataFrame:
     return candidates.join(lists.select("pid", "clean"), "pid", "left")
 
 
-def name_similarities(named: DataFrame, method: str = "ratio") -> DataFrame:
+def name_similarities(named: DataFrame) -> DataFrame:
     """Similarity of the list's title with track, album and artist name."""
-    sim = {"ratio": matching_ratio, "edit": edit_similarity}[method]
     return named.withColumns({
-        "name_sim": sim("track_name", "clean"),
-        "album_sim": sim("album_name", "clean"),
-        "artist_sim": sim("artist_name", "clean"),
+        "name_sim": edit_similarity("track_name", "clean"),
+        "album_sim": edit_similarity("album_name", "clean"),
+        "artist_sim": edit_similarity("artist_name", "clean"),
     })
 
 
@@ -77,33 +76,48 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def seed_similarity(candidates: DataFrame, seeds: DataFrame, vectors: DataFrame, name: str,
-                    keys: DataFrame | None = None) -> DataFrame:
-    """Mean cosine between a candidate and the seeds of its list; a missing vector counts 0.
+def item_units(embeddings: dict[str, tuple[DataFrame, DataFrame | None]]) -> DataFrame:
+    """(track, one unit vector per embedding).  `embeddings` maps a name to (vectors, keys); keys maps track to the
+    key of the vectors (album, artist), without it the track is the key."""
+    table = None
+    for name, (vectors, keys) in embeddings.items():
+        units = unit_vectors(vectors).withColumnRenamed("unit", name)
+        if keys is None:
+            own = units.withColumnRenamed("key", "track")
+        else:
+            own = keys.toDF("track", "key").join(units, "key").drop("key")
+        table = own if table is None else table.join(own, "track", "full")
+    return table
+
+
+def add_embeddings(candidates: DataFrame, seeds: DataFrame, embeddings: dict[str, tuple[DataFrame, DataFrame | None]]) -> DataFrame:
+    """For each embedding the mean cosine between a candidate and the seeds of its list; a missing vector counts 0.
 
     The mean over seeds of a dot product is the dot product with the mean seed vector, so each
-    list is summed to one vector and no candidate-seed pair is formed.  `keys` maps track to the
-    key of the vectors (album, artist); without it the track is the key."""
-    units = unit_vectors(vectors)
+    list is summed to one vector per embedding and no candidate-seed pair is formed.  All embeddings share one
+    join by track and one by list, and the vectors become numbers in the second."""
+    names = list(embeddings)
+    units = materialize(item_units(embeddings), "item-units")
+    rows = seeds.select("pid", "track").join(units, "track", "left")
+    size = rows.groupBy("pid").agg(F.count(F.lit(1)).alias("_k"))
+    profile = size
+    for name in names:
+        total = rows.filter(F.col(name).isNotNull()).groupBy("pid").agg(Summarizer.sum(array_to_vector(name)).alias("_t"))
+        total = total.withColumn("_t", vector_to_array("_t"))
+        mean = F.transform("_t", lambda x: x / F.col("_k"))
+        profile = profile.join(total, "pid", "left").withColumn(f"_{name}", mean).drop("_t")
+    joined = candidates.join(units, "track", "left").join(profile.drop("_k"), "pid", "left")
+    return joined.select(*candidates.columns, *[F.coalesce(dot(n, f"_{n}"), F.lit(0.0)).alias(n) for n in names])
 
-    def keyed(rows: DataFrame) -> DataFrame:
-        if keys is None:
-            return rows.withColumn("key", F.col("track"))
-        return rows.join(keys.toDF("track", "key"), "track", "left")
-
-    size = seeds.groupBy("pid").agg(F.count(F.lit(1)).alias("k"))
-    total = (
-        keyed(seeds.select("pid", "track")).join(units, "key")
-        .groupBy("pid").agg(Summarizer.sum(array_to_vector("unit")).alias("total"))
-        .withColumn("total", vector_to_array("total"))
-    )
-    profile = total.join(size, "pid").select("pid", F.transform("total", lambda x: x / F.col("k")).alias("profile"))
-    joined = keyed(candidates).join(profile, "pid", "left").join(units, "key", "left")
-    return joined.withColumn(name, F.coalesce(dot("unit", "profile"), F.lit(0.0))).drop("key", "profile", "unit")
+
+def seed_similarity(candidates: DataFrame, seeds: DataFrame, vectors: DataFrame, name: str,
+                    keys: DataFrame | None = None) -> DataFrame:
+    """`add_embeddings` with one embedding."""
+    return add_embeddings(candidates, seeds, {name: (vectors, keys)})
 
 
 # Block sizes of the exact nearest-neighbour search.
-ITEM_BLOCK, QUERY_BLOCK, QUERY_BATCH = 100_000, 10_000, 64
+ITEM_BLOCK, QUERY_BLOCK, QUERY_BATCH = 100_000, 1_000, 64
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 500) -> DataFrame:
@@ -111,12 +125,11 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 500) -> DataFra
 
     Items and queries are hashed into blocks of bounded size; a task multiplies one pair of
     blocks and returns k rows per query, and the partial lists are merged by a top-k."""
-    units = unit_vectors(vectors)
+    units = materialize(unit_vectors(vectors), "units")
     batch = QUERY_BATCH
-    n_items, n_queries = units.count(), queries.select("query").distinct().count()
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    item_blocks = max(1, math.ceil(n_items / ITEM_BLOCK))
-    query_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK), math.ceil(cores / item_blocks))
+    asked = materialize(queries.select(F.col("query").alias("key")).distinct(), "asked")
+    item_blocks = max(1, math.ceil(units.count() / ITEM_BLOCK))
+    query_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
 
     def blocks(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return rows.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(n_own)).cast("int")).withColumn(
@@ -124,8 +137,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 500) -> DataFra
         )
 
     items = blocks(units, "ib", item_blocks, "qb", query_blocks)
-    asked = queries.select(F.col("query").alias("key")).distinct()
-    wanted = blocks(unit_vectors(vectors).join(asked, "key", "left_semi"), "qb", query_blocks, "ib", item_blocks)
+    wanted = blocks(units.join(asked, "key", "left_semi"), "qb", query_blocks, "ib", item_blocks)
     wanted = wanted.select("qb", "ib", F.col("key").alias("query"), F.col("unit").alias("query_unit"))
 
     def nearest(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
@@ -153,6 +165,12 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 500) -> DataFra
     return queries.select("pid", "query").join(best, "query")
 
 
+def truth_without_query(interactions: DataFrame, queries: DataFrame) -> DataFrame:
+    """The hidden items of a nearest-neighbour run: all rows of the asked lists but those of the query track."""
+    rows = interactions.select("pid", "pos", "track").join(queries.select("pid", "query"), "pid")
+    return rows.filter("track <> query").drop("query")
+
+
 def first_with_vector(interactions: DataFrame, vectors: DataFrame) -> DataFrame:
     """(pid, query): the first track of a list that has a vector."""
     known = interactions.join(vectors.select("track"), "track", "left_semi")
@@ -164,20 +182,18 @@ NAME_COLUMNS = ["name_sim", "album_sim", "artist_sim"]
 
 def feature_table(candidates: DataFrame, truth: DataFrame | None, seeds: DataFrame, items: DataFrame,
                   lists: DataFrame, freq: DataFrame | None, embeddings: dict[str, tuple[DataFrame, DataFrame | None]],
-                  names: str | None = "ratio") -> DataFrame:
+                  names: bool = True) -> DataFrame:
     """All features of the candidates (pid, track, cf_prob).
 
     `embeddings` maps a column name to (vectors, keys); `freq` and `names` are left out for the
-    sub-tasks that do not use them."""
+    sub-tasks that do not use them.  What hangs on the track is put together on the item side first."""
     rows = relative_score(candidates.select("pid", "track", "cf_prob"))
     if truth is not None:
         rows = label_candidates(rows, truth)
     if freq is not None:
-        rows = add_popularity(rows, freq).fillna(0, subset=["freq"])
+        items = add_popularity(items, freq).fillna(0, subset=["freq"])
     rows = add_item_attrs(rows, items)
-    if names is not None:
-        rows = name_similarities(add_title(rows, lists), names).drop("clean")
+    if names:
+        rows = name_similarities(add_title(rows, lists)).drop("clean")
     rows = rows.drop("track_name", "album_name", "artist_name")
-    for name, (vectors, keys) in embeddings.items():
-        rows = seed_similarity(rows, seeds, vectors, name, keys)
-    return rows
+    return add_embeddings(rows, seeds, embeddings) if embeddings else rows

@@ -1,50 +1,48 @@
-"""Learned parts: word2vec embeddings, boosted-tree ranking, co-occurrence classifier."""
+"""Learned parts: item embeddings, boosted-tree ranking, co-occurrence classifier."""
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import VectorAssembler, Word2Vec, Word2VecModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from segue.functions.hashing import hash_below
+from segue.operators.order import dense_ids, encode
 from segue.operators.rank import topk_per_list
-from segue.operators.relational import ordered_items
 from segue.operators.skew import copy_to_pieces, cut, heavy_keys
 from segue.session import materialize
 
-SENTENCE = 1000  # word2vec cuts sentences at this length, so longer lists may come in chunks of it
-MAX_MODEL_CELLS = 2**31 - 1  # vocabulary size x vector size that word2vec can hold
+EMBEDDING_SIZE, EMBEDDING_ROUNDS = 100, 10
 
 
-def entity_sequences(interactions: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """(pid, chunk, words): the tracks of a list in order, or their albums or artists."""
+def entity_counts(interactions: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(pid, key, n): how often a list holds each track, or each album or artist."""
+    rows = interactions.select("pid", F.col("track").alias("key"))
     if keys is not None:
-        interactions = interactions.join(keys.toDF("track", "key"), "track")
-        interactions = interactions.select("pid", "pos", F.col("key").alias("track"))
-    arrays = ordered_items(interactions, max_items=100 * SENTENCE)
-    return arrays.select("pid", "chunk", F.col("tracks").cast("array<string>").alias("words"))
-
-
-def train_word2vec(sequences: DataFrame, size: int = 100, seed: int = 1, max_iter: int = 1,
-                   partitions: int | None = None) -> Word2VecModel:
-    """Skip-gram vectors of the words, trained on all cores.  The model is sized by the catalogue,
-    not by the lists; a catalogue that word2vec cannot hold is refused before training."""
-    partitions = partitions or sequences.sparkSession.sparkContext.defaultParallelism
-    words = sequences.select(F.explode("words").alias("w")).distinct().count()
-    if words * size > MAX_MODEL_CELLS:
-        raise ValueError(f"{words} words of {size} values do not fit in one word2vec model")
-    trainer = Word2Vec(vectorSize=size, windowSize=5, minCount=1, seed=seed, maxIter=max_iter,
-                       numPartitions=partitions, maxSentenceLength=SENTENCE, inputCol="words", outputCol="v")
-    return trainer.fit(sequences)
-
-
-def word_vectors(model: Word2VecModel, key_type: str = "bigint") -> DataFrame:
-    """(key, vector) of a trained model."""
-    return model.getVectors().select(
-        F.col("word").cast(key_type).alias("key"), vector_to_array("vector").alias("vector")
+        rows = interactions.select("pid", "track").join(keys.toDF("track", "key"), "track").select("pid", "key")
+    return rows.groupBy("pid", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train_embeddings(counts: DataFrame, size: int = EMBEDDING_SIZE, rounds: int = EMBEDDING_ROUNDS, seed: int = 1,
+                     blocks: int = 10) -> DataFrame:
+    """(key, vector) from the counts (pid, key, n): the item factors of implicit alternating least squares.
+
+    Items that stand in the same lists get near vectors.  Lists and items are dealt into blocks, so no machine
+    holds all vectors; `blocks` grows with the table and is not tied to the number of cores."""
+    lists = dense_ids(counts.select("pid"))
+    items = dense_ids(counts.select("key"))
+    rows = encode(encode(counts, lists, "pid", "user"), items, "key", "item")
+    trainer = ALS(rank=size, maxIter=rounds, implicitPrefs=True, alpha=1.0, regParam=0.1, seed=seed, userCol="user",
+                  itemCol="item", ratingCol="n", numUserBlocks=blocks, numItemBlocks=blocks)
+    model = trainer.fit(materialize(rows.select(
+        F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), F.col("n").cast("float").alias("n")
+    ), "als-input"))
+    return model.itemFactors.join(items, "id").select(
+        F.col("value").alias("key"), F.col("features").cast("array<double>").alias("vector")
     )
 
 

@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from segue.operators.order import popularity_order, with_row_index
+from segue.operators.order import with_row_index
+from segue.operators.skew import numbers_below
 from segue.session import materialize
 
 SCORE_UNITS = 1_000_000.0
-BROADCAST_ROWS = 100_000  # a popularity table this short is sent to every task
 
 
 def rounded(score: Column | str) -> Column:
@@ -46,9 +46,11 @@ def ranked_arrays(ranked: DataFrame, value: str = "track") -> DataFrame:
     return ranked.groupBy("pid").agg(F.transform(packed, lambda x: x[value]).alias("pred"))
 
 
-def popularity_backfill(pids: DataFrame, ranked: DataFrame, seeds: DataFrame, freq: DataFrame, k: int) -> DataFrame:
+def popularity_backfill(pids: DataFrame, ranked: DataFrame, seeds: DataFrame, popular: DataFrame, k: int) -> DataFrame:
     """Fill every list up to k tracks by popularity, after what it already has.
 
+    `popular` is (rank, track), all tracks by falling popularity, as `popularity_order` makes it.
+
     A list that lacks x tracks and knows y is matched with the x + y most popular ones by
     their popularity rank: at least x of those are new to it, so nothing else is looked at."""
     have = ranked.groupBy("pid").agg(F.count(F.lit(1)).alias("n_have"))
@@ -60,15 +62,9 @@ def popularity_backfill(pids: DataFrame, ranked: DataFrame, seeds: DataFrame, fr
         .filter(F.col("n_have") < k),
         "short-lists",
     )
-    wanted = short.select(
-        "pid", "n_have", F.explode(F.sequence(F.lit(1), k - F.col("n_have") + F.col("n_known"))).alias("rank")
-    )
-    deepest = wanted.agg(F.max("rank")).first()[0]
-    if deepest is None:
-        return ranked.select("pid", "track", "rank").filter(F.col("rank") <= k)
-    popular = popularity_order(freq).select("rank", "track").filter(F.col("rank") <= deepest)
-    if deepest <= BROADCAST_ROWS:
-        popular = F.broadcast(popular)
+    depth = (k - F.col("n_have") + F.col("n_known")).cast("int")
+    wanted = numbers_below(short.select("pid", "n_have", depth.alias("depth")), F.col("depth"), "place")
+    wanted = wanted.select("pid", "n_have", (F.col("place") + 1).alias("rank"))
     fresh = wanted.join(popular, "rank").join(known, ["pid", "track"], "left_anti")
     by_rank = Window.partitionBy("pid").orderBy("rank")
     fill = fresh.withColumn("_rn", F.row_number().over(by_rank)).filter(F.col("_rn") <= k)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from segue.functions.hashing import hash_below
-from segue.operators.order import with_row_index
+from segue.operators.order import numbered
 
 # Seed counts and list-length limits of the sub-tasks.
 SUBTASK_SAMPLES = {"v1": 0, "v2": 1, "v3": 5, "v4": 5, "v5": 10, "v6": 10, "v7": 25, "v8": 100}
@@ -106,24 +106,14 @@ def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(first.alias("r")).select(key, "r.*")
 
 
-def ordered_items(interactions: DataFrame, max_items: int = 100_000) -> DataFrame:
-    """(pid, chunk, tracks): the tracks of a list in order, in arrays of at most max_items.
+CHUNK = 1000  # items in one array
 
-    A list that fits is one array in chunk 0.  Longer lists are numbered by the distributed
-    sort and cut, so no array grows with the data."""
-    sizes = interactions.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
-    long_lists = sizes.filter(F.col("n") > max_items)
-    if long_lists.isEmpty():
-        return _arrays(interactions.withColumn("chunk", F.lit(0).cast("bigint")))
-    short = interactions.join(long_lists, "pid", "left_anti").withColumn("chunk", F.lit(0).cast("bigint"))
-    rows = with_row_index(
-        interactions.join(long_lists.select("pid"), "pid", "left_semi"), ["pid", "pos", "track"], "_row"
-    )
-    first = rows.groupBy("pid").agg(F.min("_row").alias("_first"))
-    chunked = rows.join(first, "pid").withColumn("chunk", F.floor((F.col("_row") - F.col("_first")) / max_items))
-    return _arrays(short.unionByName(chunked.select(*short.columns)))
 
+def ordered_items(interactions: DataFrame, max_items: int = CHUNK) -> DataFrame:
+    """(pid, chunk, tracks): the tracks of a list in order, in arrays of at most max_items.
 
-def _arrays(rows: DataFrame) -> DataFrame:
-    packed = F.array_sort(F.collect_list(F.struct("pos", "track")))
-    return rows.groupBy("pid", "chunk").agg(F.transform(packed, lambda x: x["track"]).alias("tracks"))
+    Every list is numbered and cut by the same rule, so no array grows with the data."""
+    rows = numbered(interactions.select("pid", "pos", "track"), "pid", ["pos", "track"], "_i")
+    packed = F.array_sort(F.collect_list(F.struct("_i", "track")))
+    chunk = F.floor(F.col("_i") / max_items).alias("chunk")
+    return rows.groupBy("pid", chunk).agg(F.transform(packed, lambda x: x["track"]).alias("tracks"))

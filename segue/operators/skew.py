@@ -4,55 +4,52 @@ Plain equi-joins are left to AQE, which splits big partitions by size.  Size is
 where a small input expands into a large output (one list with a million items meets every
 one of its seeds), nor where the rows of a key must be spread before an aggregation; there
 the heavy keys are found first and cut into pieces.
+
+The heavy keys are a written table of (key, pieces): all of them, however many.  Joins with it are plain
+joins, so it is broadcast only when Spark sees that it is small.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from segue.session import materialize
+
 # Cells of a list in one piece.  Only the list's seed cells are copied to its pieces, so the copies
 # are a five-thousandth of the pairs they lead to.
 ROWS_PER_PIECE = 5_000
 # Rows of a seed or n-gram in one piece, where each of them meets all matches of the key.  The
 # matches are copied to the pieces, a five-hundredth of what comes out.
 MATCHES_PER_PIECE = 500
-# Only this many heavy keys are held; by counting, any other key has less than 1/100,000 of all rows.
-MAX_HEAVY_KEYS = 100_000
+COPIES_AT_ONCE = 1_000
 
 
-def heavy_keys(df: DataFrame, key: str, rows_per_piece: int | None = None) -> DataFrame | None:
-    """(key, pieces) of the keys above the row limit as a small local table, None when there are none."""
+def heavy_keys(df: DataFrame, key: str, rows_per_piece: int | None = None) -> DataFrame:
+    """(key, pieces) of every key above the row limit."""
     rows_per_piece = rows_per_piece or MATCHES_PER_PIECE
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > rows_per_piece)
-    top = (
-        counts.orderBy(F.desc("rows"), key).limit(MAX_HEAVY_KEYS)
-        .select(key, F.ceil(F.col("rows") / rows_per_piece).cast("int").alias("pieces"))
-        .collect()
-    )
-    if not top:
-        return None
-    return df.sparkSession.createDataFrame(top, counts.select(key, F.lit(0).alias("pieces")).schema)
+    return materialize(counts.select(key, F.ceil(F.col("rows") / rows_per_piece).cast("int").alias("pieces")), "heavy")
 
 
-def cut(df: DataFrame, key: str, heavy: DataFrame | None, spread_by: str) -> DataFrame:
+def cut(df: DataFrame, key: str, heavy: DataFrame, spread_by: str) -> DataFrame:
     """Give every row a piece number; the rows of a heavy key are spread over its pieces."""
-    if heavy is None:
-        return df.withColumn("piece", F.lit(0))
     pieces = F.coalesce("pieces", F.lit(1))
     return (
-        df.join(F.broadcast(heavy), key, "left")
+        df.join(heavy, key, "left")
         .withColumn("piece", F.pmod(F.xxhash64(spread_by), pieces).cast("int"))
         .drop("pieces")
     )
 
 
-def copy_to_pieces(df: DataFrame, key: str, heavy: DataFrame | None) -> DataFrame:
+def copy_to_pieces(df: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
     """The other side of a cut join: rows of a heavy key are repeated once per piece."""
-    if heavy is None:
-        return df.withColumn("piece", F.lit(0))
-    pieces = F.coalesce("pieces", F.lit(1))
-    return (
-        df.join(F.broadcast(heavy), key, "left")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        .drop("pieces")
-    )
+    return numbers_below(df.join(heavy, key, "left"), F.coalesce("pieces", F.lit(1)), "piece").drop("pieces")
+
+
+def numbers_below(df: DataFrame, n, name: str) -> DataFrame:
+    """Each row once for every number from 0 to n - 1, in steps, so that no array grows with n."""
+    step = F.explode(F.sequence(F.lit(0), F.floor((n - 1) / COPIES_AT_ONCE).cast("int")))
+    low = F.col("_step") * COPIES_AT_ONCE
+    stepped = df.withColumn("_n", n.cast("int")).withColumn("_step", step)
+    inside = F.explode(F.sequence(low, F.least(low + COPIES_AT_ONCE, F.col("_n")) - 1))
+    return stepped.withColumn(name, inside).drop("_n", "_step")

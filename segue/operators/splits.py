@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from segue.functions.hashing import hash_below, stable_hash
 from segue.operators.order import with_row_index
+from segue.operators.skew import numbers_below
+from segue.session import materialize
 
 HOLDOUT_SEED = 666  # fixed value
 
@@ -22,27 +24,51 @@ def first_items(interactions: DataFrame, t: int) -> DataFrame:
     return interactions.withColumn("_rn", F.row_number().over(by_pos)).filter(F.col("_rn") <= t).drop("_rn")
 
 
-def split_prefix(interactions: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
-    """Seeds: the first t items of every list; truth: all its other rows.
+def _mark_head(rows: DataFrame, order: list[str], t: int) -> DataFrame:
+    """`rows` with is_head, true for the first t rows of each list, and is_long, true for lists of more rows.
+
+    Only the heads of the lists are sorted; the last row of each head is joined back, and every other row is
+    compared with it where it stands.  Equal rows are counted first, so that a head can end among them."""
+    by_order = Window.partitionBy("pid").orderBy(*order)
+    # One row more than the head shows whether a list is longer.
+    head = rows.withColumn("_rn", F.row_number().over(by_order)).filter(F.col("_rn") <= t + 1)
+    inside = F.col("_rn") <= t
+    cut = head.groupBy("pid").agg(
+        F.max(F.when(inside, F.struct(*order, (-F.col("_rn")).alias("_first")))).alias("_cut"),
+        F.max(F.when(inside, F.col("_rn"))).alias("_size"), (F.max("_rn") > t).alias("is_long"),
+    )
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")).join(cut, "pid")
+    here, last = F.struct(*order), F.struct(*[F.col(f"_cut.{c}").alias(c) for c in order])
+    at_end = F.col("_size") + F.col("_cut._first") + 1  # rows of the head that equal its last one
+    heads = F.when(here < last, F.col("_n")).when(here == last, at_end).otherwise(0)
+    each = numbers_below(counted.withColumn("_heads", heads), F.col("_n"), "_i")
+    return each.select(*rows.columns, "is_long", (F.col("_i") < F.col("_heads")).alias("is_head"))
+
 
-    Truth is a multiset difference, hashed on the whole row, so a hot list stays spread out."""
-    rows = interactions.select("pid", "pos", "track")
-    seeds = first_items(rows, t)
-    return seeds, rows.exceptAll(seeds)
+def mark_prefix(interactions: DataFrame, t: int) -> DataFrame:
+    """(pid, pos, track, is_seed): whether a row is among the first t of its list."""
+    marked = _mark_head(interactions.select("pid", "pos", "track"), ["pos", "track"], t)
+    return marked.select("pid", "pos", "track", F.col("is_head").alias("is_seed"))
+
+
+def split_prefix(interactions: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
+    """Seeds: the first t items of every list; truth: all its other rows."""
+    marked = materialize(mark_prefix(interactions, t), "prefix")
+    return marked.filter("is_seed").drop("is_seed"), marked.filter("NOT is_seed").drop("is_seed")
 
 
 def split_random_items(interactions: DataFrame, t: int, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Seeds: t rows of every list longer than t drawn without replacement; truth: its tracks
     that were not drawn; train: lists of at most t rows in full, and the seeds of the others."""
-    rows = interactions.select("pid", "pos", "track")
-    long_lists = rows.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > t).select("pid")
-    drawn = Window.partitionBy("pid").orderBy(stable_hash("pid", "pos", "track", seed=seed), "pos", "track")
-    picked = rows.withColumn("_rn", F.row_number().over(drawn)).filter(F.col("_rn") <= t).drop("_rn")
-    seeds = picked.join(long_lists, "pid", "left_semi")
-    held = rows.join(long_lists, "pid", "left_semi").select("pid", "track").distinct()
-    truth = held.join(seeds.select("pid", "track").distinct(), ["pid", "track"], "left_anti")
+    rows = interactions.select("pid", "pos", "track").withColumn("_h", stable_hash("pid", "pos", "track", seed=seed))
+    marked = materialize(_mark_head(rows, ["_h", "pos", "track"], t).drop("_h"), "drawn")
+    picked = marked.filter("is_head")
+    tracks = marked.filter("is_long").groupBy("pid", "track").agg(F.bool_or("is_head").alias("drawn"))
     # A list of at most t rows is drawn whole, so the draw is the train side of every list.
-    return seeds, truth, picked
+    return (
+        picked.filter("is_long").select("pid", "pos", "track"), tracks.filter("NOT drawn").select("pid", "track"),
+        picked.select("pid", "pos", "track"),
+    )
 
 
 def split_sequential(lists: DataFrame, n_train: int, n_test: int) -> DataFrame:

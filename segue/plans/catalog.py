@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from segue import schemas, sources
+from segue.functions.hashing import hash_below
 from segue.functions.lists import list_concat, list_split, parse_list
 from segue.functions.titles import clean_title, title_ngrams, title_tokens, title_weight
 from segue.operators import cooccur, features, metrics, models, order, rank, relational as rel, retrieve, splits, title
@@ -19,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TOP = 500  # recommendation depth
-SHOWN = 10  # depth of the small reports
+SHOWN = 10  # depth of the small top-k reports
 GBT_ROUNDS = SVC_ITER = 10  # training length of the registered queries
 
 
@@ -54,9 +55,19 @@ def src_csv_gz(t: Tables) -> DataFrame:
     return sources.read_csv_gz(t.spark, path, schemas.INTERACTIONS, ["pid", "track"])
 
 
+@query
+def src_json_test_lists(t: Tables) -> DataFrame:
+    """Incomplete lists: null titles, and fields that the files leave out, come as nulls."""
+    lists = sources.read_json_lists(t.spark, t.json_test_slices(), schemas.TEST_SLICE)
+    rows = lists.select("pid", "name", "num_samples", "num_holdouts", F.explode("tracks").alias("t"))
+    return rows.select("pid", "name", "num_samples", "num_holdouts", "t.pos", "t.track_uri", "t.album_uri")
+
+
 @query
 def src_range_csv(t: Tables) -> DataFrame:
-    return sources.read_row_range(t.interactions, ["pid", "pos", "track"], skip=1000)
+    path = stage_path(t.spark, "rows")
+    t.interactions.select(*schemas.INTERACTIONS.names).write.csv(path)
+    return sources.read_csv_rows(t.spark, path, schemas.INTERACTIONS, ["pid", "pos", "track"], skip=1000)
 
 
 @query
@@ -103,17 +114,16 @@ def sink_table(t: Tables) -> DataFrame:
 @query
 def sink_submission(t: Tables) -> DataFrame:
     path = stage_path(t.spark, "submission")
-    best = rank.topk_per_list(t.scored, SHOWN, "cf_prob")
-    sources.write_submission(best, path, SHOWN)
-    fields = ", ".join(["pid bigint"] + [f"t{i} bigint" for i in range(1, SHOWN + 1)])
+    best = rank.topk_per_list(t.scored, TOP, "cf_prob")
+    sources.write_submission(best, path, TOP)
+    fields = ", ".join(["pid bigint"] + [f"t{i} bigint" for i in range(1, TOP + 1)])
     return t.spark.read.schema(fields).option("header", True).csv(path)
 
 
 @query
 def sink_indexed_lines(t: Tables) -> DataFrame:
     path = stage_path(t.spark, "indexed")
-    best = rank.topk_per_list(t.scored, SHOWN, "cf_prob")
-    songs = best.select("pid", "rank", F.concat(F.lit("S"), F.col("track").cast("string")).alias("song"))
+    songs = rank.topk_per_list(t.scored, TOP, "cf_prob").select("pid", "rank", F.concat(F.lit("S"), F.col("track").cast("string")).alias("song"))
     sources.write_indexed_lines(songs, _song_index(t), path)
     return t.spark.read.text(path).select(F.col("value").alias("line"))
 
@@ -166,7 +176,7 @@ def sample_ratio_users(t: Tables) -> DataFrame:
 
 @query
 def fill_zero(t: Tables) -> DataFrame:
-    freq = rel.track_freq(t.returned)
+    freq = rel.track_freq(t.train)
     return rel.fill_zero(t.items.select("track").join(freq, "track", "left"), ["freq"])
 
 
@@ -238,7 +248,7 @@ def track_freq(t: Tables) -> DataFrame:
 
 @query
 def track_list_count(t: Tables) -> DataFrame:
-    return rel.track_list_count(t.returned, t.items)
+    return rel.track_list_count(t.train, t.items)
 
 
 @query
@@ -248,9 +258,8 @@ def user_count(t: Tables) -> DataFrame:
 
 @query
 def list_size_sum(t: Tables) -> DataFrame:
-    cells = cooccur.cells_of(t.interactions, counted=True)
-    songs = cooccur.row_sums(cells).select(F.lit("song").alias("side"), F.col("track").alias("id"), F.col("i_song").alias("total"))
-    lists = cooccur.list_sums(cells).select(F.lit("list").alias("side"), F.col("pid").alias("id"), F.col("i_list").alias("total"))
+    songs = rel.rows_per_key(t.interactions, "track", "total").select(F.lit("song").alias("side"), F.col("track").alias("id"), "total")
+    lists = rel.rows_per_key(t.interactions, "pid", "total").select(F.lit("list").alias("side"), F.col("pid").alias("id"), "total")
     return songs.unionByName(lists)
 
 
@@ -261,7 +270,7 @@ def popularity_order(t: Tables) -> DataFrame:
 
 @query
 def collect_items(t: Tables) -> DataFrame:
-    return rel.ordered_items(t.interactions).select("pid", "chunk", list_concat("tracks").alias("tracks"))
+    return rel.ordered_items(t.interactions, 50).select("pid", "chunk", list_concat("tracks").alias("tracks"))
 
 
 @query
@@ -292,7 +301,8 @@ def group_mean(t: Tables) -> DataFrame:
 
 @query
 def metric_mean(t: Tables) -> DataFrame:
-    means = metrics.evaluate(t.predictions, t.returned)
+    # Lists without a returned row have nothing hidden, so there is nothing to measure on them.
+    means = metrics.evaluate(rel.keep_pids(t.predictions, t.returned), t.returned)
     return means.select(*[F.round(c, 6).alias(c) for c in means.columns])
 
 
@@ -310,12 +320,22 @@ def topk_per_list(t: Tables) -> DataFrame:
     return rank.topk_per_list(t.scored, SHOWN, "cf_prob")
 
 
+@query
+def topk_per_list_500(t: Tables) -> DataFrame:
+    return rank.topk_per_list(t.scored, TOP, "cf_prob")
+
+
 @query
 def topk_oversample(t: Tables) -> DataFrame:
     seeds = splits.first_items(t.interactions, 5)
     return rank.topk_per_list(rank.drop_seeds(t.scored, seeds), SHOWN, "cf_prob")
 
 
+@query
+def topk_oversample_1000(t: Tables) -> DataFrame:
+    return rank.rank_emit(t.scored, splits.first_items(t.interactions, 5), top=1100, k=1000, score="cf_prob")
+
+
 @query
 def dense_encode(t: Tables) -> DataFrame:
     train = t.uris.join(t.marked_lists()[0].select("pid"), "pid", "left_semi")
@@ -325,15 +345,14 @@ def dense_encode(t: Tables) -> DataFrame:
 
 @query
 def relative_score(t: Tables) -> DataFrame:
-    best = rank.topk_per_list(t.scored, TOP, "cf_prob")
-    scored = features.relative_score(best)
+    scored = features.relative_score(t.scored)
     return scored.select("pid", "track", "cf_prob", F.round("cf_rlt_prob", 6).alias("cf_rlt_prob"))
 
 
 @query
 def split_prefix(t: Tables) -> DataFrame:
-    seeds, truth = splits.split_prefix(t.interactions, 5)
-    return seeds.withColumn("part", F.lit("seed")).unionByName(truth.withColumn("part", F.lit("truth")))
+    marked = splits.mark_prefix(t.interactions, 5)
+    return marked.select("pid", "pos", "track", F.when(F.col("is_seed"), "seed").otherwise("truth").alias("part"))
 
 
 @query
@@ -364,14 +383,13 @@ def union_train_test(t: Tables) -> DataFrame:
 @query
 def union_slices(t: Tables) -> DataFrame:
     routed = t.sized_lists.select("pid", rel.route_subtask().alias("subtask"))
-    best = materialize(rank.topk_per_list(t.scored, SHOWN, "cf_prob").join(routed, "pid"), "ranked")
+    best = materialize(t.ranked.join(routed, "pid"), "ranked")
     return rank.union_slices({v: best.filter(F.col("subtask") == v) for v in rel.SUBTASK_SAMPLES})
 
 
 @query
 def intersect_lists(t: Tables) -> DataFrame:
-    best = rank.topk_per_list(t.scored, SHOWN, "cf_prob").select("pid", "track")
-    return best.join(t.returned.select("pid", "track").distinct(), ["pid", "track"], "left_semi")
+    return t.scored.select("pid", "track").join(t.returned.select("pid", "track").distinct(), ["pid", "track"], "left_semi")
 
 
 @query
@@ -416,10 +434,10 @@ def title_weight_(t: Tables) -> DataFrame:
     return rel.drop_null_lists(t.lists, ["clean"]).select("pid", "clean", title_weight("clean").alias("weight"))
 
 
-def _top_arrays(t: Tables) -> DataFrame:
-    best = rank.topk_per_list(t.scored, SHOWN, "cf_prob")
+def _arrays(t: Tables) -> DataFrame:
+    """(pid, chunk, pred[], scores[]): all candidates of a list in order, in arrays of at most 50."""
     packed = F.array_sort(F.collect_list(F.struct("rank", "track", "cf_prob")))
-    return best.groupBy("pid").agg(
+    return t.ranked.groupBy("pid", F.floor((F.col("rank") - 1) / 50).alias("chunk")).agg(
         F.transform(packed, lambda x: x["track"]).alias("pred"),
         F.transform(packed, lambda x: x["cf_prob"]).alias("scores"),
     )
@@ -427,19 +445,19 @@ def _top_arrays(t: Tables) -> DataFrame:
 
 @query
 def list_concat_(t: Tables) -> DataFrame:
-    text = _top_arrays(t).select("pid", list_concat("pred").alias("text"))
-    return text.select("pid", "text", F.posexplode(list_split("text")).alias("i", "track"))
+    text = _arrays(t).select("pid", "chunk", list_concat("pred").alias("text"))
+    return text.select("pid", "chunk", "text", F.posexplode(list_split("text")).alias("i", "track"))
 
 
 @query
 def parse_list_(t: Tables) -> DataFrame:
-    text = _top_arrays(t).select("pid", F.concat(F.lit("["), F.array_join("pred", ", "), F.lit("]")).alias("text"))
-    return text.select("pid", F.posexplode(parse_list("text")).alias("i", "track"))
+    text = _arrays(t).select("pid", "chunk", F.concat(F.lit("["), F.array_join("pred", ", "), F.lit("]")).alias("text"))
+    return text.select("pid", "chunk", F.posexplode(parse_list("text")).alias("i", "track"))
 
 
 @query
 def explode_scored(t: Tables) -> DataFrame:
-    return features.explode_scored(_top_arrays(t))
+    return features.explode_scored(_arrays(t))
 
 
 def _named(t: Tables) -> DataFrame:
@@ -448,15 +466,10 @@ def _named(t: Tables) -> DataFrame:
 
 @query
 def name_similarity(t: Tables) -> DataFrame:
-    sims = features.name_similarities(_named(t), "edit")
+    sims = features.name_similarities(_named(t))
     return sims.select("pid", "track", *[F.round(c, 6).alias(c) for c in features.NAME_COLUMNS])
 
 
-@query
-def name_similarity_ratio(t: Tables) -> DataFrame:
-    return features.name_similarities(_named(t), "ratio").select("pid", "track", *features.NAME_COLUMNS)
-
-
 # ---- retrieval
 
 
@@ -488,7 +501,7 @@ def evaluate_cf(t: Tables) -> DataFrame:
     # Lists of at most five rows have nothing hidden, so there is nothing to measure on them.
     found = retrieve.cf_recommend(seeds, cooccur.cells_of(t.train), 2 * TOP)
     found = found.join(truth.select("pid").distinct(), "pid", "left_semi")
-    means = metrics.evaluate(materialize(found.select("pid", "rank", "track"), "found"), materialize(truth, "truth"))
+    means = metrics.evaluate(found, truth)
     return means.select(*[F.round(c, 6).alias(c) for c in means.columns])
 
 
@@ -497,7 +510,8 @@ def popularity_backfill(t: Tables) -> DataFrame:
     """Lists filled up to the recommendation depth from what they would get by price."""
     seeds = materialize(splits.first_items(t.interactions, 5), "seeds")
     own = materialize(rank.topk_per_list(rank.drop_seeds(t.scored, seeds), SHOWN, "cf_prob"), "own")
-    return rank.popularity_backfill(t.lists, own, seeds, rel.track_freq(t.interactions), 5 * SHOWN)
+    popular = order.popularity_order(rel.track_freq(t.interactions))
+    return rank.popularity_backfill(t.lists, own, seeds, popular, TOP)
 
 
 def _title_weights(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -585,19 +599,19 @@ def svc_rerank_weighted(t: Tables) -> DataFrame:
 
 @query
 def w2v_tracks(t: Tables) -> DataFrame:
-    return models.word_vectors(models.train_word2vec(models.entity_sequences(t.train)))
+    return models.train_embeddings(models.entity_counts(t.train))
 
 
 @query
 def w2v_albums(t: Tables) -> DataFrame:
     album, _ = _names(t.items)
-    return models.word_vectors(models.train_word2vec(models.entity_sequences(t.train, album)), "string")
+    return models.train_embeddings(models.entity_counts(t.train, album))
 
 
 @query
 def w2v_artists(t: Tables) -> DataFrame:
     _, artist = _names(t.items)
-    return models.word_vectors(models.train_word2vec(models.entity_sequences(t.train, artist)), "string")
+    return models.train_embeddings(models.entity_counts(t.train, artist))
 
 
 @query
@@ -613,18 +627,23 @@ def vector_topk(t: Tables) -> DataFrame:
     return features.vector_topk(first, t.vectors, TOP)
 
 
-def _feature_table(t: Tables, names: str) -> DataFrame:
+@query
+def vector_truth(t: Tables) -> DataFrame:
+    """What the nearest items are held against: every list's rows without its query track."""
+    return features.truth_without_query(t.interactions, features.first_with_vector(t.interactions, t.vectors))
+
+
+def _feature_table(t: Tables) -> DataFrame:
     seeds = splits.first_items(t.interactions, 5)
-    best = rank.topk_per_list(rank.drop_seeds(t.scored, seeds), TOP, "cf_prob")
     return features.feature_table(
-        best, t.returned, seeds, t.encoded_items, t.lists, rel.track_freq(t.interactions),
-        {"w2v_track_sim": (t.vectors, None)}, names,
+        rank.drop_seeds(t.scored, seeds), t.returned, seeds, t.encoded_items, t.lists, rel.track_freq(t.interactions),
+        {"w2v_track_sim": (t.vectors, None)},
     )
 
 
 @query
 def feature_table(t: Tables) -> DataFrame:
-    table = _feature_table(t, "edit")
+    table = _feature_table(t)
     floats = features.NAME_COLUMNS + ["cf_rlt_prob", "w2v_track_sim"]
     return table.select(
         "pid", "track", "cf_prob", "label", "freq", "artist", "album", *[F.round(c, 6).alias(c) for c in floats]
@@ -634,7 +653,7 @@ def feature_table(t: Tables) -> DataFrame:
 @query
 def gbt_train(t: Tables) -> DataFrame:
     """The trained model's feature importances."""
-    table = _feature_table(t, "ratio")
+    table = _feature_table(t)
     model = models.gbt_train(table, rounds=GBT_ROUNDS, rate=0.1)
     weights = models.tree_model(model).featureImportances.toArray().tolist()
     return t.spark.createDataFrame(list(zip(models.model_inputs(table), weights)), "feature string, importance double")
@@ -642,7 +661,7 @@ def gbt_train(t: Tables) -> DataFrame:
 
 @query
 def gbt_score(t: Tables) -> DataFrame:
-    table = materialize(_feature_table(t, "ratio"), "features")
+    table = materialize(_feature_table(t), "features")
     return models.gbt_score(models.gbt_train(table, rounds=GBT_ROUNDS, rate=0.1), table)
 
 
@@ -652,6 +671,11 @@ def rank_emit(t: Tables) -> DataFrame:
     return rank.rank_emit(t.scored, seeds, top=SHOWN + 5, k=SHOWN, score="cf_prob")
 
 
+@query
+def rank_emit_500(t: Tables) -> DataFrame:
+    return rank.rank_emit(t.scored, splits.first_items(t.interactions, 5), top=TOP + 50, k=TOP, score="cf_prob")
+
+
 # ---- evaluation
 
 
@@ -687,14 +711,72 @@ def metric_recall_ndcg_alt(t: Tables) -> DataFrame:
 
 @query
 def metric_group_rprec(t: Tables) -> DataFrame:
-    best = rank.topk_per_list(t.scored, TOP, "cf_prob")
-    values = metrics.group_r_precision(features.label_candidates(best, t.returned), "cf_prob")
+    values = metrics.group_r_precision(features.label_candidates(t.scored, t.returned), "cf_prob")
     return values.select("pid", F.round("r_precision", 6).alias("r_precision"))
 
 
+def _before_and_after(before: DataFrame, after: DataFrame, truth: DataFrame) -> DataFrame:
+    """The mean metrics of two rankings of the same lists."""
+    rows = []
+    for stage, ranked in (("before", before), ("after", after)):
+        means = metrics.evaluate(ranked.join(truth.select("pid").distinct(), "pid", "left_semi"), truth)
+        rows.append(means.select(F.lit(stage).alias("stage"), *[F.round(c, 6).alias(c) for c in means.columns]))
+    return rows[0].unionByName(rows[1])
+
+
+@query
+def evaluate_title(t: Tables) -> DataFrame:
+    """Test lists with a title: the most popular tracks, and the tracks of the title."""
+    train, test = t.marked_lists()
+    titled = rel.drop_null_lists(test, ["clean"])
+    truth = materialize(rel.keep_pids(t.test, titled), "title-truth")
+    cells = cooccur.cells_of(rel.keep_pids(t.train, rel.drop_null_lists(train, ["clean"])))
+    found = title.title_recommend(titled, train, t.train, cells, TOP)
+    head = order.popularity_order(rel.track_freq(t.train)).filter(F.col("rank") <= TOP)  # TOP rows for every list
+    popular = titled.select("pid", F.explode(F.sequence(F.lit(1), F.lit(TOP))).cast("bigint").alias("rank")).join(head, "rank")
+    return _before_and_after(popular, found, truth)
+
+
+@query
+def evaluate_svc(t: Tables) -> DataFrame:
+    """Test lists: the co-occurrence order, and that of the classifier on the same seeds."""
+    seeds, truth = t.holdout()
+    found = retrieve.cf_recommend(seeds, cooccur.cells_of(t.train), TOP)
+    table = models.svc_features(cooccur.normalised_features(seeds, cooccur.cells_of(t.train, counted=True)), seeds)
+    return _before_and_after(found, models.svc_rerank(table, c=0.05, k=TOP, max_iter=SVC_ITER), truth)
+
+
+@query
+def evaluate_gbt(t: Tables) -> DataFrame:
+    """Test lists of one half: the co-occurrence order, and that of trees fit on the lists of the other half."""
+    seeds, truth = t.holdout()
+    found = retrieve.cf_recommend(seeds, cooccur.cells_of(t.train), 2 * TOP).withColumnRenamed("score", "cf_prob")
+    table = features.feature_table(
+        found, truth, seeds, t.encoded_items, t.lists, rel.track_freq(t.train), {"w2v_track_sim": (t.vectors, None)}
+    )
+    table = materialize(table.withColumn("fit", hash_below(0.5, "pid", seed=2)), "features")
+    model = models.gbt_train(table.filter("fit").drop("fit"), rounds=GBT_ROUNDS, rate=0.1)
+    asked = table.filter("NOT fit").drop("fit")
+    after = rank.rank_emit(models.gbt_score(model, asked), seeds, TOP + 50, TOP, "prob")
+    before = rank.topk_per_list(asked.select("pid", "track", "cf_prob"), TOP, "cf_prob")
+    own = truth.join(asked.select("pid").distinct(), "pid", "left_semi")
+    return _before_and_after(before, after, own)
+
+
 # ---- the whole run
 
 
 @query
 def challenge_slices(t: Tables) -> DataFrame:
     return Challenge.from_tables(t).run()
+
+
+@query
+def submission(t: Tables) -> DataFrame:
+    """The whole run as a submission: a row per list, its tracks by their URIs, 500 columns wide, written and read back."""
+    ids = t.items.select((F.col("track")).alias("id"), F.concat(F.lit("track:"), F.col("track").cast("string")).alias("value"))
+    slices = order.decode(Challenge.from_tables(t).run(), ids, "track", "track_uri")
+    path = stage_path(t.spark, "submission")
+    sources.write_submission(slices, path, TOP, "track_uri")
+    fields = ", ".join(["pid bigint"] + [f"t{i} string" for i in range(1, TOP + 1)])
+    return t.spark.read.schema(fields).option("header", True).csv(path)

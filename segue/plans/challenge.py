@@ -23,7 +23,7 @@ class TwoStage:
 
     seeds: int
     freq: bool
-    names: str | None
+    names: bool
     rows: float = models.GBT_ROWS
 
 
@@ -37,10 +37,10 @@ class Classifier:
 
 # How each slice is made.
 TWO_STAGE = {
-    "v2": TwoStage(1, freq=True, names="ratio", rows=models.GBT_ROWS_ONE_SEED),
-    "v3": TwoStage(5, freq=True, names="ratio"),
-    "v5": TwoStage(10, freq=False, names="ratio"),
-    "v6": TwoStage(10, freq=False, names=None),
+    "v2": TwoStage(1, freq=True, names=True, rows=models.GBT_ROWS_ONE_SEED),
+    "v3": TwoStage(5, freq=True, names=True),
+    "v5": TwoStage(10, freq=False, names=True),
+    "v6": TwoStage(10, freq=False, names=False),
 }
 CLASSIFIERS = {
     "v7": Classifier(weighted=False, c=0.05),
@@ -48,7 +48,7 @@ CLASSIFIERS = {
     "v9": Classifier(weighted=False, c=0.05),
     "v10": Classifier(weighted=True, c=0.4),
 }
-HOLDOUT_LISTS = 12_000
+HOLDOUT_LISTS = 12_000  # training lists that a second stage is fit on, about so many, drawn by a hash
 VALID_SEED = 1
 
 
@@ -66,14 +66,16 @@ class Challenge:
     depth: int = 1000
     rounds: int = models.GBT_ROUNDS
     rate: float = models.GBT_RATE
-    vector_size: int = 100
+    vector_size: int = models.EMBEDDING_SIZE
+    vector_rounds: int = models.EMBEDDING_ROUNDS
     svc_iter: int = 100
+    holdout_lists: int = HOLDOUT_LISTS
     _held: dict[int, DataFrame] = field(default_factory=dict)
     _holdouts: dict[int, DataFrame] = field(default_factory=dict)
 
     @classmethod
     def from_tables(cls, t: Tables, rounds: int = 5, rate: float = 0.1, vector_size: int = 16,
-                    svc_iter: int = 10) -> "Challenge":
+                    vector_rounds: int = 5, svc_iter: int = 10) -> "Challenge":
         """A short training run over the star schema."""
         marked = splits.split_lists(t.sized_lists)
         test = marked.filter("is_test")
@@ -90,7 +92,8 @@ class Challenge:
         return cls(
             materialize(t.train, "train"), materialize(marked.filter("not is_test").drop("is_test"), "lists"),
             materialize(test.drop("is_test"), "test-lists"), materialize(seeds, "test-seeds"), t.encoded_items,
-            rounds=rounds, rate=rate, vector_size=vector_size, svc_iter=svc_iter,
+            rounds=rounds, rate=rate, vector_size=vector_size, vector_rounds=vector_rounds,
+            svc_iter=svc_iter,
         )
 
     @cached_property
@@ -115,6 +118,11 @@ class Challenge:
     def counted_cells(self) -> cooccur.Cells:
         return cooccur.cells_of(self.train, counted=True)
 
+    @cached_property
+    def popular(self) -> DataFrame:
+        """(rank, track): all tracks by falling popularity, ordered once for all slices."""
+        return materialize(order.popularity_order(self.freq).select("rank", "track"), "popular")
+
     @cached_property
     def freq(self) -> DataFrame:
         return materialize(rel.track_freq(self.train), "freq")
@@ -123,7 +131,8 @@ class Challenge:
         """Training lists that are cut to n seeds for the second stage."""
         if n not in self._held:
             fitting = rel.drop_null_lists(rel.filter_length(self.lists, n), ["clean"])
-            self._held[n] = materialize(order.head_n(fitting.select("pid"), HOLDOUT_LISTS, ["pid"]), "held")
+            share = min(1.0, self.holdout_lists / max(fitting.count(), 1))
+            self._held[n] = materialize(fitting.select("pid").filter(hash_below(share, "pid", seed=n)), "held")
         return self._held[n]
 
     @cached_property
@@ -134,8 +143,8 @@ class Challenge:
         album, artist = self.items.select("track", "album"), self.items.select("track", "artist")
         out = {}
         for name, keys in (("w2v_track_sim", None), ("w2v_album_sim", album), ("w2v_artist_sim", artist)):
-            model = models.train_word2vec(models.entity_sequences(rows, keys), self.vector_size)
-            out[name] = (materialize(models.word_vectors(model), "vectors"), keys)
+            found = models.train_embeddings(models.entity_counts(rows, keys), self.vector_size, self.vector_rounds)
+            out[name] = (materialize(found, "vectors"), keys)
         return out
 
     def holdout(self, n: int) -> DataFrame:
@@ -191,7 +200,7 @@ class Challenge:
         else:
             found = retrieve.cf_recommend(seeds, self.cells, self.width)
         found = materialize(found.select("pid", "rank", "track"), "found")
-        return rank.popularity_backfill(pids, found, seeds, self.freq, self.width)
+        return rank.popularity_backfill(pids, found, seeds, self.popular, self.width)
 
     def run(self) -> DataFrame:
         """(slice, pid, rank, track) over all classes that have lists."""

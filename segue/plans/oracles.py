@@ -40,7 +40,7 @@ PARTS = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'""",
     "predictions": """SELECT * FROM (SELECT o_custkey AS pid, l_partkey AS track,
         row_number() OVER (PARTITION BY o_custkey ORDER BY l_extendedprice DESC, l_partkey) AS rank
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE rank <= 1000""",
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "freq": "SELECT track, count(*) AS freq FROM interactions GROUP BY track",
     "triplets": """SELECT pid::VARCHAR AS "user", 'S' || track AS song, count(*)::INT AS plays
         FROM interactions GROUP BY pid, track""",
@@ -114,7 +114,8 @@ PARTS = {
     "m_clicks": """SELECT pid, coalesce(floor((r - 1) / 10), 51.0) AS clicks FROM hidden_size LEFT JOIN (
         SELECT pid, min(rank) AS r FROM predictions JOIN hidden USING (pid, track) WHERE rank <= 500 GROUP BY 1) USING (pid)""",
     "m_coverage": """SELECT pid, coalesce(found, 0) / n AS coverage FROM (SELECT pid, count(*) AS n FROM returned GROUP BY 1) LEFT JOIN (
-        SELECT pid, count(DISTINCT track) AS found FROM predictions JOIN hidden USING (pid, track) GROUP BY 1) USING (pid)""",
+        SELECT pid, count(DISTINCT track) AS found FROM predictions JOIN hidden USING (pid, track) WHERE rank <= 1000 GROUP BY 1)
+        USING (pid)""",
 }
 
 # Metrics of the co-occurrence recommendations instead of the price ranking.
@@ -206,9 +207,9 @@ _RAW: dict[str, str] = {
     "src_key_value": "SELECT song, (row_number() OVER (ORDER BY song) - 1)::VARCHAR AS idx FROM (SELECT DISTINCT song FROM triplets)",
     "sink_table": "SELECT * FROM interactions",
     "sink_submission": "SELECT pid, " + ", ".join(
-        f"max(CASE WHEN rank = {i} THEN track END) AS t{i}" for i in range(1, SHOWN + 1)) + " FROM best GROUP BY pid",
+        f"max(CASE WHEN rank = {i} THEN track END) AS t{i}" for i in range(1, TOP + 1)) + " FROM ranked GROUP BY pid",
     "sink_indexed_lines": """SELECT line FROM (SELECT pid, string_agg(idx, ' ' ORDER BY rank) AS line
-        FROM best JOIN (SELECT song, (row_number() OVER (ORDER BY song) - 1)::VARCHAR AS idx
+        FROM (SELECT * FROM ranked WHERE rank <= 500) JOIN (SELECT song, (row_number() OVER (ORDER BY song) - 1)::VARCHAR AS idx
             FROM (SELECT DISTINCT song FROM triplets)) ON song = 'S' || track GROUP BY pid)""",
     "project_drop": "SELECT track AS track_uri, artist, album, track_name FROM items",
     "route_subtask": "SELECT pid, num_samples, subtask FROM routed",
@@ -222,7 +223,7 @@ _RAW: dict[str, str] = {
     "sample_ratio_users": """SELECT * FROM triplets WHERE md5('7|' || "user" || '|' || song || '|' || plays) < '80000000'
         AND "user" IN (SELECT pid::VARCHAR FROM lists WHERE clean IS NOT NULL)""",
     "fill_zero": """SELECT track, coalesce(freq_r, 0) AS freq FROM items LEFT JOIN
-        (SELECT track, count(*) AS freq_r FROM returned GROUP BY 1) USING (track)""",
+        (SELECT track, count(*) AS freq_r FROM train GROUP BY 1) USING (track)""",
     "order_flag": """SELECT pid, (bool_and(rises) AND max(last) - max(first) = 2)::INT AS ordered FROM (
         SELECT pid, coalesce(pos >= lag(pos) OVER w, true) AS rises, first_value(pos) OVER w AS first,
             last_value(pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, count(*) OVER (PARTITION BY pid) AS size
@@ -241,12 +242,13 @@ _RAW: dict[str, str] = {
         SELECT track, row_number() OVER (ORDER BY 'track:' || track) - 1 AS id FROM (SELECT DISTINCT track FROM interactions)) USING (track)""",
     "track_freq": "SELECT * FROM freq",
     "track_list_count": """SELECT track, coalesce(c, 0) AS n_lists FROM items LEFT JOIN
-        (SELECT track, count(DISTINCT pid) AS c FROM returned GROUP BY 1) USING (track)""",
+        (SELECT track, count(DISTINCT pid) AS c FROM train GROUP BY 1) USING (track)""",
     "user_count": "SELECT pid, count(*) AS n_rows FROM interactions GROUP BY 1",
     "list_size_sum": """SELECT 'song' AS side, track AS id, count(*) AS total FROM interactions GROUP BY 2
         UNION ALL SELECT 'list', pid, count(*) FROM interactions GROUP BY 2""",
     "popularity_order": "SELECT track, freq, row_number() OVER (ORDER BY freq DESC, track) AS rank FROM freq",
-    "collect_items": "SELECT pid, 0 AS chunk, string_agg(track::VARCHAR, ' ' ORDER BY pos, track) AS tracks FROM interactions GROUP BY pid",
+    "collect_items": """SELECT pid, (rn - 1) // 50 AS chunk, string_agg(track::VARCHAR, ' ' ORDER BY rn) AS tracks
+        FROM numbered GROUP BY 1, 2""",
     "track_to_lists": "SELECT DISTINCT track, pid FROM interactions",
     "user_to_tracks": """SELECT "user", song FROM triplets""",
     "distinct_users": """SELECT DISTINCT "user" FROM triplets""",
@@ -257,13 +259,17 @@ _RAW: dict[str, str] = {
     "describe_scores": f"""SELECT 'cf_prob' AS "column", count(*) AS count, round(avg(cf_prob), 2) AS mean,
         round(stddev_samp(cf_prob), 2) AS std, round(min(cf_prob), 2) AS min, {_QUARTILES}, round(max(cf_prob), 2) AS max FROM scored""",
     "topk_per_list": "SELECT * FROM best",
+    "topk_per_list_500": "SELECT * FROM ranked WHERE rank <= 500",
+    "topk_oversample_1000": """SELECT pid, track, cf_prob, row_number() OVER (PARTITION BY pid ORDER BY rank) AS rank
+        FROM (SELECT * FROM ranked WHERE rank <= 1100) ANTI JOIN first5 USING (pid, track)
+        QUALIFY row_number() OVER (PARTITION BY pid ORDER BY rank) <= 1000""",
     "topk_oversample": """SELECT pid, track, cf_prob, row_number() OVER (PARTITION BY pid ORDER BY rank) AS rank
         FROM (SELECT * FROM ranked WHERE rank <= 15) ANTI JOIN first5 USING (pid, track)
         QUALIFY row_number() OVER (PARTITION BY pid ORDER BY rank) <= 10""",
     "dense_encode": """SELECT value, row_number() OVER (ORDER BY value) - 1 AS id
         FROM (SELECT DISTINCT 'track:' || track AS value FROM interactions)""",
     "relative_score": """SELECT pid, track, cf_prob, round(cf_prob / avg(cf_prob) OVER (PARTITION BY pid), 6) AS cf_rlt_prob
-        FROM ranked WHERE rank <= 500""",
+        FROM scored""",
     "split_prefix": """SELECT pid, pos, track, CASE WHEN rn <= 5 THEN 'seed' ELSE 'truth' END AS part FROM numbered""",
     "split_random_items": """, drawn AS (SELECT pid, track, count(*) OVER (PARTITION BY pid) AS size, row_number() OVER (PARTITION BY pid
             ORDER BY md5('1|' || pid || '|' || pos || '|' || track), pos, track) AS rn FROM interactions)
@@ -275,15 +281,16 @@ _RAW: dict[str, str] = {
         FROM (SELECT pid, name, row_number() OVER (ORDER BY pid) AS rn FROM lists) WHERE rn <= 1200""",
     "split_lists_80_20": "SELECT pid, md5('666|' || pid) < '33333333' AS is_test FROM lists",
     "union_train_test": "SELECT * FROM interactions",
-    "union_slices": "SELECT subtask AS slice, pid, rank, track FROM best JOIN routed USING (pid)",
-    "intersect_lists": "SELECT pid, track FROM best SEMI JOIN hidden USING (pid, track)",
+    "union_slices": "SELECT subtask AS slice, pid, rank, track FROM ranked JOIN routed USING (pid)",
+    "intersect_lists": "SELECT pid, track FROM scored SEMI JOIN hidden USING (pid, track)",
     "except_lists": "SELECT DISTINCT pid, track FROM interactions ANTI JOIN first5 USING (pid, track)",
     "vocab_index": "SELECT ngram, row_number() OVER (ORDER BY ngram) - 1 AS idx FROM (SELECT DISTINCT ngram FROM title_grams)",
     "title_weight": "SELECT pid, clean, w::INT AS weight FROM lists JOIN title_w USING (clean)",
-    "list_concat": """SELECT pid, string_agg(track::VARCHAR, ' ' ORDER BY rank) OVER (PARTITION BY pid
-            ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS text, (rank - 1)::INT AS i, track FROM best""",
-    "parse_list": "SELECT pid, (rank - 1)::INT AS i, track FROM best",
-    "explode_scored": "SELECT pid, track, cf_prob FROM best",
+    "list_concat": """SELECT pid, (rank - 1) // 50 AS chunk, string_agg(track::VARCHAR, ' ' ORDER BY rank) OVER (
+            PARTITION BY pid, (rank - 1) // 50 ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS text,
+            ((rank - 1) % 50)::INT AS i, track FROM ranked""",
+    "parse_list": "SELECT pid, (rank - 1) // 50 AS chunk, ((rank - 1) % 50)::INT AS i, track FROM ranked",
+    "explode_scored": "SELECT pid, track, cf_prob FROM scored",
     "name_similarity": f"SELECT pid, track, {_NAME_SIMS} FROM scored JOIN items USING (track) LEFT JOIN lists USING (pid)",
     "item_sim_pairs": """, firsts AS (SELECT pid, track AS s FROM numbered WHERE rn = 1),
         wanted_pairs AS (SELECT DISTINCT s, track AS u FROM interactions JOIN firsts USING (pid) WHERE s <> track),
@@ -304,7 +311,7 @@ _RAW: dict[str, str] = {
             FROM lists l CROSS JOIN popular p LEFT JOIN have ON have.pid = l.pid
             WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.pid = l.pid AND own.track = p.track)
               AND NOT EXISTS (SELECT 1 FROM first5 f WHERE f.pid = l.pid AND f.track = p.track))
-        SELECT pid, track, rank::INT AS rank FROM own UNION ALL SELECT pid, track, rank::INT FROM filler WHERE rank <= 50""",
+        SELECT pid, track, rank::INT AS rank FROM own UNION ALL SELECT pid, track, rank::INT FROM filler WHERE rank <= 500""",
     "title_ngram_track": "SELECT ngram, track, w::BIGINT AS w FROM gram_track_all",
     "title_score": "SELECT clean, track, score::BIGINT AS score FROM tscore",
     "title_expand": "SELECT clean, track, round(nb, 6) AS nb FROM nb",
@@ -334,8 +341,13 @@ _RAW: dict[str, str] = {
             FROM units q JOIN units i ON q.track <> i.track WHERE q.track IN (SELECT query FROM firsts)),
         near_ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, track) AS rank FROM near)
         SELECT pid, query, track, score, rank FROM firsts JOIN near_ranked USING (query) WHERE rank <= {TOP}""",
-    "feature_table": f""", pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY cf_prob DESC, track) AS rk
-            FROM (SELECT * FROM scored ANTI JOIN first5 USING (pid, track))) WHERE rk <= {TOP}),
+    "vector_truth": """, firsts AS (SELECT pid, track AS query FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY pos, track) AS rk
+            FROM interactions SEMI JOIN units USING (track)) WHERE rk = 1)
+        SELECT pid, pos, track FROM interactions JOIN firsts USING (pid) WHERE track <> query""",
+    "src_json_test_lists": """SELECT pid, name, least(num_tracks, 2)::INT AS num_samples, (num_tracks - least(num_tracks, 2))::INT AS num_holdouts,
+        (rn - 1)::INT AS pos, 'track:' || track AS track_uri, NULL::VARCHAR AS album_uri
+        FROM numbered JOIN sized USING (pid) WHERE rn <= 2""",
+    "feature_table": f""", pool AS (SELECT * FROM scored ANTI JOIN first5 USING (pid, track)),
         sims AS {_EMBED_SIM.format(candidates='pool')},
         artists AS (SELECT artist, row_number() OVER (ORDER BY artist) - 1 AS artist_id FROM (SELECT DISTINCT artist FROM items)),
         albums AS (SELECT album, row_number() OVER (ORDER BY album) - 1 AS album_id FROM (SELECT DISTINCT album FROM items))
@@ -347,6 +359,9 @@ _RAW: dict[str, str] = {
     "rank_emit": """SELECT pid, track, cf_prob, row_number() OVER (PARTITION BY pid ORDER BY rank) AS rank
         FROM (SELECT * FROM ranked WHERE rank <= 15) ANTI JOIN first5 USING (pid, track)
         QUALIFY row_number() OVER (PARTITION BY pid ORDER BY rank) <= 10""",
+    "rank_emit_500": """SELECT pid, track, cf_prob, row_number() OVER (PARTITION BY pid ORDER BY rank) AS rank
+        FROM (SELECT * FROM ranked WHERE rank <= 550) ANTI JOIN first5 USING (pid, track)
+        QUALIFY row_number() OVER (PARTITION BY pid ORDER BY rank) <= 500""",
     "metric_r_precision": "SELECT pid, round(r_precision, 6) AS r_precision FROM m_rprec",
     "metric_ndcg": "SELECT pid, round(ndcg, 6) AS ndcg FROM m_ndcg",
     "metric_clicks": "SELECT pid, clicks FROM m_clicks",
@@ -359,7 +374,7 @@ _RAW: dict[str, str] = {
         SELECT pid, round(coalesce(hits, 0) / size, 6) AS recall, round(coalesce(dcg / idcg, 0), 6) AS ndcg
         FROM (SELECT pid, count(*) AS size FROM returned GROUP BY 1) LEFT JOIN per USING (pid) LEFT JOIN ideal USING (pid)""",
     "metric_group_rprec": """, labelled AS (SELECT r.pid, r.rank, CASE WHEN h.pid IS NULL THEN 0 ELSE 1 END AS label
-            FROM ranked r LEFT JOIN hidden h ON h.pid = r.pid AND h.track = r.track WHERE rank <= 500)
+            FROM ranked r LEFT JOIN hidden h ON h.pid = r.pid AND h.track = r.track)
         SELECT pid, round(sum(CASE WHEN rank <= total THEN label ELSE 0 END) / max(total), 6) AS r_precision
         FROM (SELECT *, sum(label) OVER (PARTITION BY pid) AS total FROM labelled) WHERE total > 0 GROUP BY pid""",
 }

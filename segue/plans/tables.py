@@ -11,9 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from segue.functions.titles import clean_title
-from segue.operators.order import dense_ids, encode
+from segue.operators.order import dense_ids, encode, numbered
 from segue.session import materialize, stage_path
-from segue.operators.splits import split_lists, split_prefix
+from segue.operators.splits import first_items, split_lists, split_prefix
 
 
 @dataclass
@@ -126,13 +126,18 @@ class Tables:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        """(pid, rank, track): the order lines of a list by price, repeats kept, as deep as the metrics look."""
+        """(pid, rank, track): all order lines of a list by price, repeats kept."""
         orders = self.read("orders").select("o_orderkey", F.col("o_custkey").alias("pid"))
         lines = self.read("lineitem").select("l_orderkey", F.col("l_partkey").alias("track"), "l_extendedprice")
         joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        best = Window.partitionBy("pid").orderBy(F.desc("l_extendedprice"), "track")
-        ranked = joined.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= 1000)
-        return ranked.select("pid", "rank", "track")
+        ranked = numbered(joined.select("pid", "track", "l_extendedprice"), "pid", [F.desc("l_extendedprice"), "track"], "at")
+        return ranked.select("pid", (F.col("at") + 1).alias("rank"), "track")
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        """(pid, track, cf_prob, rank): all scored candidates in the order of their score."""
+        rows = numbered(self.scored, "pid", [F.desc("cf_prob"), "track"], "at")
+        return rows.select("pid", "track", "cf_prob", (F.col("at") + 1).cast("int").alias("rank"))
 
     @cached_property
     def uris(self) -> DataFrame:
@@ -152,6 +157,26 @@ class Tables:
         marked = split_lists(self.lists)
         return marked.filter(~F.col("is_test")).drop("is_test"), marked.filter("is_test").drop("is_test")
 
+    def json_test_slices(self) -> str:
+        """Folder of JSON slices of incomplete lists: the first two rows of every customer's list, titles as they are."""
+        part = self.read("part").select(F.col("p_partkey").alias("track"), "p_name")
+        head = first_items(self.interactions, 2).join(part, "track")
+        track = F.struct(
+            (F.row_number().over(Window.partitionBy("pid").orderBy("pos", "track")) - 1).cast("int").alias("pos"),
+            F.concat(F.lit("track:"), F.col("track").cast("string")).alias("track_uri"), F.col("p_name").alias("track_name"),
+        )
+        shown = head.select("pid", track.alias("t")).groupBy("pid").agg(F.collect_list("t").alias("tracks"))
+        lists = self.sized_lists.join(shown, "pid").select(
+            F.struct(
+                "pid", "name", (F.col("num_tracks") - F.size("tracks")).cast("int").alias("num_holdouts"),
+                F.size("tracks").alias("num_samples"), F.col("num_tracks").cast("int").alias("num_tracks"), "tracks",
+            ).alias("entry"),
+            F.floor(F.col("pid") / 1000).alias("slice"),
+        )
+        path = stage_path(self.spark, "test-slices")
+        lists.groupBy("slice").agg(F.collect_list("entry").alias("playlists")).write.partitionBy("slice").json(path)
+        return path
+
     def json_slices(self) -> str:
         """Folder of JSON slices: every order a list, a thousand order numbers to a slice."""
         part = self.read("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")

@@ -62,12 +62,10 @@ def stage_path(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share a small input out over all cores before heavy work on each row.
+    """Share an input out evenly before heavy work on each row; Spark chooses the number of tasks by size.
 
-    A file with one row group is one task however large the cluster; inputs that already have a
-    task per core are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    A file with one row group is one task otherwise, however large the cluster."""
+    return df.hint("rebalance")
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -25,6 +25,12 @@ def read_csv_gz(spark: SparkSession, path: str, schema: T.StructType, columns: l
     return table.select(*columns) if columns else table
 
 
+def read_csv_rows(spark: SparkSession, path: str, schema: T.StructType, order: list[str], skip: int,
+                  rows: int | None = None) -> DataFrame:
+    """Rows skip .. skip+rows, in an explicit order, of a CSV without a header; its columns are named by the schema."""
+    return read_row_range(spark.read.schema(schema).csv(path), order, skip, rows)
+
+
 def read_row_range(table: DataFrame, order: list[str], skip: int, rows: int | None = None) -> DataFrame:
     """Rows skip .. skip+rows of a table in an explicit order."""
     indexed = with_row_index(table, order, "row_no")

@@ -80,12 +80,41 @@ def test_vector_topk(spark, vectors, monkeypatch, block):
     assert not [r for r in got if r["pid"] == 4]
 
 
-def test_word2vec_and_sequences(spark):
-    df = spark.createDataFrame(random_interactions(), SCHEMA)
-    model = models.train_word2vec(models.entity_sequences(df), size=6)
-    vectors = models.word_vectors(model).collect()
-    assert {r["key"] for r in vectors} == {r["track"] for r in df.collect()}
-    assert all(len(r["vector"]) == 6 and np.isfinite(r["vector"]).all() for r in vectors)
+def test_embeddings_of_planted_groups(spark):
+    """Items that stand in the same lists lie nearer to each other than to the others."""
+    rng = np.random.default_rng(1)
+    rows = [(p, i, (p % 3) * 10 + int(t)) for p in range(90) for i, t in enumerate(rng.choice(10, 6, replace=False))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["key"]: np.array(r["vector"]) for r in models.train_embeddings(models.entity_counts(df), size=8, rounds=5).collect()}
+    assert set(got) == {r[2] for r in rows} and all(len(v) == 8 for v in got.values())
+    near = [cosine(got[a], got[b]) for a in got for b in got if a < b and a // 10 == b // 10]
+    far = [cosine(got[a], got[b]) for a in got for b in got if a < b and a // 10 != b // 10]
+    assert np.mean(near) > np.mean(far) + 0.3
+    keys = spark.createDataFrame([(t, f"artist {t // 10}") for t in range(30)], "track bigint, artist string")
+    assert {r["key"] for r in models.train_embeddings(models.entity_counts(df, keys), size=4, rounds=2).collect()} == {"artist 0", "artist 1", "artist 2"}
+
+
+def test_truth_leaves_the_query_out(spark):
+    rows = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (1, 2, 5), (2, 0, 7), (3, 0, 9)], SCHEMA)
+    asked = spark.createDataFrame([(1, 5), (2, 9)], "pid bigint, query bigint")
+    assert sorted((r["pid"], r["track"]) for r in features.truth_without_query(rows, asked).collect()) == [(1, 6), (2, 7)]
+
+
+def test_long_lists_keep_their_mean(spark):
+    df = spark.range(1500).selectExpr("1L AS pid", "id AS track", "CAST(id AS double) AS cf_prob")
+    got = {r["track"]: r["cf_rlt_prob"] for r in features.relative_score(df).collect()}
+    assert len(got) == 1500 and abs(got[1499] - 1499 / 749.5) < 1e-12
+
+
+def test_svc_beats_the_first_order_on_planted_lists(spark):
+    """A track that few lists hold, always beside the seed, against one that all lists hold."""
+    rows = [(p, 0, 0) for p in range(60)] + [(p, 1, 1) for p in range(6)] + [(p, 2, 2) for p in range(6)]
+    rows += [(100 + p, 0, 3 + p % 5) for p in range(50)] + [(100 + p, 1, 0) for p in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seeds = spark.createDataFrame([(900, 0, 1)], SCHEMA)
+    table = models.svc_features(normalised_features(seeds, cells_of(df, counted=True)), seeds)
+    best = models.svc_rerank(table, c=1.0, k=5, max_iter=50).collect()
+    assert {r["track"] for r in best} == {0, 2}
 
 
 def test_svc_leaves_a_tracks_own_term_out_and_returns_no_seed(spark):

@@ -4,7 +4,7 @@ import statistics
 import numpy as np
 from pyspark.sql import functions as F
 
-from segue.operators.order import decode, dense_ids, describe, encode, head_n, popularity_order, with_row_index
+from segue.operators.order import decode, dense_ids, describe, encode, head_n, numbered, popularity_order, with_row_index
 
 
 def test_row_index_is_gapless_and_sorted(spark):
@@ -15,6 +15,18 @@ def test_row_index_is_gapless_and_sorted(spark):
     assert [(r["v"], r["i"]) for r in got] == sorted((v, i) for i, v in enumerate(values))
 
 
+def test_row_index_does_not_depend_on_the_input_order(spark):
+    df = spark.range(4000).selectExpr("id % 7 AS v", "id AS i")
+    read = lambda d: sorted((r["idx"], r["v"], r["i"]) for r in with_row_index(d, ["v"]).collect())
+    assert read(df.repartition(3)) == read(df.repartition(11, "i").repartition(5))
+
+
+def test_numbers_by_key(spark):
+    df = spark.createDataFrame([(1, 5), (1, 3), (2, 9), (None, 4), (None, 1)], "k int, v int")
+    got = sorted(numbered(df, "k", ["v"], "n").collect(), key=str)
+    assert sorted((str(r["k"]), r["v"], r["n"]) for r in got) == [("1", 3, 0), ("1", 5, 1), ("2", 9, 0), ("None", 1, 0), ("None", 4, 1)]
+
+
 def test_row_index_of_nothing(spark):
     assert with_row_index(spark.createDataFrame([], "v bigint"), ["v"]).count() == 0
 
@@ -47,5 +59,9 @@ def test_describe(spark):
         for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
             assert abs(row[name] - np.quantile(values, q)) < 1e-12
         assert (row["min"], row["max"]) == (min(values), max(values))
+        row = describe(spark.createDataFrame([(v,) for v in values * 3 + values[:1] * 50], "v double"), "v").first()
+        for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
+            assert abs(row[name] - np.quantile(values * 3 + values[:1] * 50, q)) < 1e-12
+        row = describe(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
         if n > 1:
             assert abs(row["std"] - statistics.stdev(values)) < 1e-12

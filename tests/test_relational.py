@@ -38,7 +38,7 @@ def test_track_list_count_counts_lists_once_and_unseen_as_zero(spark):
 def test_long_lists_are_collected_in_chunks(spark):
     data = random_interactions()
     df = spark.createDataFrame(data, "pid bigint, pos bigint, track bigint")
-    whole = {r["pid"]: r["tracks"] for r in rel.ordered_items(df).collect()}
+    whole = {r["pid"]: r["tracks"] for r in rel.ordered_items(df, max_items=60).collect()}
     parts = rel.ordered_items(df, max_items=7).orderBy("pid", "chunk").collect()
     joined = {}
     for r in parts:
@@ -48,6 +48,13 @@ def test_long_lists_are_collected_in_chunks(spark):
     assert whole == want and joined == want
 
 
+def test_a_list_longer_than_a_chunk(spark):
+    df = spark.range(2500).selectExpr("1L AS pid", "2500 - id AS pos", "id AS track")
+    got = rel.ordered_items(df.repartition(7)).orderBy("chunk").collect()
+    assert [len(r["tracks"]) for r in got] == [1000, 1000, 500]
+    assert [t for r in got for t in r["tracks"]] == list(range(2499, -1, -1))
+
+
 def test_split_prefix_keeps_every_row(spark):
     data = random_interactions() + [(0, 3, 1), (0, 3, 1)]
     df = spark.createDataFrame(data, "pid bigint, pos bigint, track bigint")

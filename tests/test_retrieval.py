@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from segue.operators import cooccur, rank, retrieve, skew, title
 from segue.functions.titles import clean_title
+from segue.operators.order import popularity_order
 from tests.lists import cf_by_hand, lists_of, random_interactions
 
 SCHEMA = "pid bigint, pos bigint, track bigint"
@@ -15,7 +17,6 @@ def pieces(request, monkeypatch):
     if request.param == "cut":
         monkeypatch.setattr(skew, "ROWS_PER_PIECE", 2)
         monkeypatch.setattr(skew, "MATCHES_PER_PIECE", 2)
-        monkeypatch.setattr(retrieve, "SEEDS_PER_PIECE", 1)
     return request.param
 
 
@@ -45,6 +46,22 @@ def test_cf_recommend(data, pieces):
         assert mine == [(i + 1, t) for i, (_, t) in enumerate(sorted(scores)[:6])]
 
 
+def test_every_heavy_key_is_cut(spark):
+    """No number of heavy keys is too many: each of them has its pieces, and each row its copies."""
+    df = spark.range(6000).selectExpr("id % 2000 AS k", "id AS v")
+    heavy = skew.heavy_keys(df, "k", 2)
+    assert heavy.count() == 2000 and {r["pieces"] for r in heavy.collect()} == {2}
+    assert skew.cut(df, "k", heavy, "v").groupBy("k").count().filter("count = 3").count() == 2000
+    assert skew.copy_to_pieces(df, "k", heavy).groupBy("v").count().filter("count = 2").count() == 6000
+
+
+def test_numbers_below_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(skew, "COPIES_AT_ONCE", 4)
+    df = spark.createDataFrame([(1, 1), (2, 4), (3, 11)], "k int, n int")
+    got = skew.numbers_below(df, F.col("n"), "i").collect()
+    assert sorted((r["k"], r["i"]) for r in got) == [(1, 0)] + [(2, i) for i in range(4)] + [(3, i) for i in range(11)]
+
+
 def test_cf_does_not_depend_on_partitions(spark, data):
     _, df, seeds = data
     answers = []
@@ -168,7 +185,7 @@ def test_popularity_backfill(spark):
     pids = spark.createDataFrame([(1,), (2,), (3,)], "pid bigint")
     ranked = spark.createDataFrame([(1, 5, 1), (1, 0, 2)] + [(2, t, t + 1) for t in range(10)], "pid bigint, track bigint, rank int")
     seeds = spark.createDataFrame([(1, 1), (3, 2)], "pid bigint, track bigint")
-    got = rank.popularity_backfill(pids, ranked, seeds, freq, 5).orderBy("pid", "rank").collect()
+    got = rank.popularity_backfill(pids, ranked, seeds, popularity_order(freq), 5).orderBy("pid", "rank").collect()
     by = {p: [r["track"] for r in got if r["pid"] == p] for p in (1, 2, 3)}
     assert by == {1: [5, 0, 2, 3, 4], 2: [0, 1, 2, 3, 4], 3: [0, 1, 3, 4, 5]}
     assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] * 3

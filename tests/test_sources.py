@@ -53,6 +53,21 @@ def test_row_range(spark):
     assert sorted(r["pid"] for r in sources.read_row_range(df, ["pid"], 20, 5).collect()) == [20, 21, 22, 23, 24]
 
 
+def test_incomplete_lists(spark, tmp_path):
+    lists = [{"pid": 1, "name": None, "num_holdouts": 3, "num_samples": 1, "num_tracks": 4, "tracks": [{"pos": 0, "track_uri": "t:1"}]},
+             {"pid": 2, "num_holdouts": 5, "num_samples": 0, "num_tracks": 5, "tracks": []}, {"pid": 3, "name": "x"}]
+    (tmp_path / "c.json").write_text(json.dumps({"playlists": lists}))
+    got = sources.read_json_lists(spark, str(tmp_path), schemas.TEST_SLICE)
+    assert sorted((r["pid"], r["name"], r["num_holdouts"]) for r in got.collect()) == [(1, None, 3), (2, None, 5), (3, "x", None)]
+    assert [(r["pid"], r["track_uri"], r["album_uri"]) for r in sources.unnest_tracks(got).collect()] == [(1, "t:1", None)]
+
+
+def test_headerless_csv(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("".join(f"{i},{i * 2},{i % 3}\n" for i in range(20)))
+    got = sources.read_csv_rows(spark, str(tmp_path / "r.csv"), schemas.INTERACTIONS, ["pos"], 5, 4)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i * 2, i % 3) for i in range(5, 9)]
+
+
 def test_submission_rows(spark):
     a = spark.createDataFrame([(1, 1, 9), (1, 2, 8)], "pid int, rank int, track int")
     b = spark.createDataFrame([(2, 1, 7)], "pid int, rank int, track int")
