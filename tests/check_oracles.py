@@ -2,6 +2,7 @@
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -32,7 +33,8 @@ def main(folder, names):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    spark = local_session(8, 8, **{"spark.driver.memory": "16g"})
+    stages = tempfile.mkdtemp(prefix="segue-check-")
+    spark = local_session(8, 8, **{"spark.driver.memory": "16g", "spark.checkpoint.dir": stages})
     spark.sparkContext.setLogLevel("ERROR")
     todo = names or list(queries())
     bad = 0
