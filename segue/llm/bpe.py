@@ -197,8 +197,8 @@ def pieces(codes: np.ndarray, offs: np.ndarray, drops_space: bool) -> tuple[np.n
 class WordTable:
     """Ids of every word met so far in a partition, found by the word's hash in an open-addressed array."""
 
-    SLOTS = 1 << 21
-    MOST = 1 << 20
+    SLOTS = 1 << 20
+    MOST = 400_000
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab

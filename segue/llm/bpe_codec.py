@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from segue.llm.arrays import bounded_batches
+from segue.llm.arrays import bounded_batches, frugal
 from segue.llm.bpe import Encoder, Vocabulary, gather
 
 
@@ -72,14 +72,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_encode(path), "id long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    return source.mapInArrow(frugal(_encode(path)), "id long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """`encode`'s columns and decoded, the text of the ids; bytes that are no UTF-8 become replacement signs."""
     bounded_batches(encoded.sparkSession)
     source = encoded.select(F.col(id_col).alias("id"), "n_tokens", "ids")
-    out = source.mapInArrow(_decode(path), "id long, n_tokens long, ids binary, decoded string")
+    out = source.mapInArrow(frugal(_decode(path)), "id long, n_tokens long, ids binary, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 

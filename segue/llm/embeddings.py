@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from segue.llm.arrays import bounded_batches, mix
+from segue.llm.arrays import bounded_batches, frugal, mix
 from segue.llm.components import components
 from segue.session import materialize
 
@@ -178,12 +178,12 @@ def near_vectors(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), known.alias("known"),
         vector.cast("array<float>" if kind == "<f4" else "array<double>").alias("vector"),
     )
-    rows = materialize(source.mapInArrow(_pack(kind), "id long, label long, raw binary"), "vectors")
+    rows = materialize(source.mapInArrow(frugal(_pack(kind)), "id long, label long, raw binary"), "vectors")
     classes = materialize(
         rows.filter("raw IS NOT NULL").groupBy("label", "raw").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "vector-classes"
     )
     named = materialize(
-        classes.select("id", "label", "raw").mapInArrow(_cells(kind, tables, probes), "id long, cell long, own boolean"), "cells"
+        classes.select("id", "label", "raw").mapInArrow(frugal(_cells(kind, tables, probes)), "id long, cell long, own boolean"), "cells"
     )
     inside = named.filter("own").select(F.col("id").alias("a"), "cell")
     around = named.select(F.col("id").alias("b"), "cell")
@@ -192,7 +192,7 @@ def near_vectors(
     pairs = met.join(side.select(F.col("id").alias("a"), F.col("label").alias("la"), F.col("raw").alias("raw_a")), "a")
     pairs = pairs.join(side.select(F.col("id").alias("b"), F.col("label").alias("lb"), F.col("raw").alias("raw_b")), "b")
     pairs = pairs.filter("la = lb").select("a", "b", "raw_a", "raw_b")
-    links = materialize(pairs.mapInArrow(_confirm(kind, min_cosine), "a long, b long"), "vector-links")
+    links = materialize(pairs.mapInArrow(frugal(_confirm(kind, min_cosine)), "a long, b long"), "vector-links")
     sizes = classes.select("id", "n")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     around = ends.join(sizes.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("n").alias("around"))

@@ -12,11 +12,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from segue.llm.arrays import bounded_batches, mix
+from segue.llm.arrays import bounded_batches, frugal, mix
 from segue.llm.bpe import LETTER, code_classes
 from segue.llm.carry import held_out, with_row
 from segue.session import materialize
@@ -171,8 +170,8 @@ class Model:
         return out
 
 
-def build(counts: pd.DataFrame) -> Model:
-    """Interpolated Kneser-Ney models of the n-gram counts (lang, gram, n)."""
+def build(counts) -> Model:
+    """Interpolated Kneser-Ney models of the n-gram counts, a pandas table (lang, gram, n)."""
     langs = sorted(counts["lang"].unique().tolist())
     own = []  # per language and order: n-grams, counts
     for lang in langs:
@@ -232,7 +231,7 @@ def train(
     """
     bounded_batches(docs.sparkSession)
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
-    counts = known.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(frugal(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = counts.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= max_ngrams).drop("place")
     found = kept.toPandas()
@@ -252,7 +251,7 @@ def _score(shared):
             if model is not None and letters.any():
                 total = np.zeros((n, len(model.langs)))
                 some = sizes > 0
-                total[some] = np.add.reduceat(model.log_probability(grams).astype(np.float64), offs[:-1][some], axis=0)
+                total[some] = np.add.reduceat(model.log_probability(grams), offs[:-1][some], axis=0, dtype=np.float64)
                 bits = -total / np.maximum(sizes, 1)[:, None]
                 best = bits.argmin(axis=1)
                 gap = np.minimum((bits - bits[np.arange(n), best][:, None]) * sizes[:, None], 700)
@@ -290,7 +289,7 @@ def identify(
         )
         schema = T.StructType([f for f in source.schema.fields if f.name != "text"])
         schema = schema.add("lang_pred", "string").add("cross_entropy", "double").add("score", "double").add("n_symbols", "long")
-        scored = source.mapInArrow(_score(shared), schema)
+        scored = source.mapInArrow(frugal(_score(shared)), schema)
         return scored.withColumn("class", F.length(F.bin("n_symbols")))
 
     if model is None:

@@ -12,12 +12,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from segue.llm.arrays import bounded_batches
+from segue.llm.arrays import bounded_batches, frugal
 from segue.llm.bpe import Encoder
 from segue.llm.bpe_codec import vocabulary_path
 from segue.session import materialize
@@ -112,7 +111,9 @@ def _pack(path: str, size: int, number: int, end_id: int, keep_ids: bool):
 def _merge(size: int, level: int, last: bool, keep_ids: bool):
     """Merge the open windows of a group of slots into full ones; what stays open is one window."""
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key, frame):
+        import pandas as pd  # here, as the other tasks do without it
+
         group = int(key[0])
         frame = frame.sort_values(["slot", "window", "offset"])
         windows, done, rows = Windows(size, 1), 0, []
@@ -167,7 +168,7 @@ def pack(
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # Sequence ids hold the partition's number, so the placing is done once and written.
-    placed = materialize(source.mapInArrow(_pack(path, size, open_windows, end_id, keep_ids), PIECE), "packed")
+    placed = materialize(source.mapInArrow(frugal(_pack(path, size, open_windows, end_id, keep_ids)), PIECE), "packed")
     out = placed.filter("sequence_id IS NOT NULL")
     left = placed.filter("sequence_id IS NULL")
     slots, level = (left.agg(F.max("slot")).first()[0] or 0) + 1, 0

@@ -11,11 +11,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from segue.llm.arrays import LOWER, bounded_batches, distinct_per_text, mix, span_hashes, text_bytes
+from segue.llm.arrays import LOWER, bounded_batches, distinct_per_text, frugal, mix, span_hashes, text_bytes
 from segue.llm.carry import held_out, with_row
 from segue.session import materialize
 
@@ -172,7 +171,9 @@ class Model:
 def _fit(shared):
     """The model of a sample of rows, as one row; a fifth of them sets the curve from margins to scores."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame):
+        import pandas as pd  # here, as the other tasks do without it
+
         ratio = shared.value
         frame = frame.sort_values(["place", "id"])
         labels = frame["label"].to_numpy()
@@ -207,11 +208,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         known = F.broadcast(known)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(texts.mapInArrow(_sparse, f"id {id_type}, label int, features binary"), "quality-features")
+    rows = materialize(texts.mapInArrow(frugal(_sparse), f"id {id_type}, label int, features binary"), "quality-features")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return float(next(iter(sizes))) if sizes else 0.5
-    counts = rows.select("label", "features").mapInArrow(_counts, "feature int, bad long, good long").groupBy("feature").agg(
+    counts = rows.select("label", "features").mapInArrow(frugal(_counts), "feature int, bad long, good long").groupBy("feature").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good")
     ).toPandas()  # at most DIMENSIONS rows
     # Smoothed so that a feature never seen speaks for neither class.
@@ -252,7 +253,7 @@ def classify(docs: DataFrame, model: Model | float, text_col: str = "text", keep
     bounded_batches(docs.sparkSession)
     source = with_row(docs, keep, text=F.col(text_col))
     schema = T.StructType([source.schema["row"]]).add("score", "double")
-    scored = source.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    scored = source.mapInArrow(frugal(_score(docs.sparkSession.sparkContext.broadcast(model))), schema)
     return scored.withColumn("predicted", (F.col("score") >= KEEP_SCORE).cast("int"))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from segue.llm.arrays import LOWER, Spans, bounded_batches, mix, power_table, shingles, span_hashes, text_bytes
+from segue.llm.arrays import LOWER, Spans, bounded_batches, frugal, mix, power_table, shingles, span_hashes, text_bytes
 from segue.llm.lines import frequent_lines
 from segue.session import materialize
 
@@ -135,7 +135,7 @@ def apply_rules(
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), host.cast("string").alias("host"), F.col(text_col).alias("text"))
-    rows = materialize(source.mapInArrow(_measured, MEASURES), "quality-rules")
+    rows = materialize(source.mapInArrow(frugal(_measured), MEASURES), "quality-rules")
     frequent = frequent_lines(rows.select("host", "keys"), max_share, min_docs)
     joined = rows.join(frequent.withColumnRenamed("host", "at"), F.col("host") == F.col("at"), "left")
     gone = F.aggregate(
