@@ -6,9 +6,9 @@ posterior probability that its similarity reaches the threshold is below the cho
 left is confirmed on the full shingle sets.
 
 Only components are asked for, so a bucket's pairs are never all made.  First each class meets the smallest
-of its bucket, then, in buckets whose classes are still apart, others: drawn ones in large buckets, all of
-another component in small ones.  Large buckets that are still apart are compared block by block inside tasks, which
-give out only what the signatures leave over.
+of its bucket, then, in buckets whose classes are still apart, others: a drawn one in large buckets, all of
+another component in small ones.  In large buckets that are still apart the classes outside the leading component are
+compared with all others block by block inside tasks, which give out links only.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from segue.llm.arrays import LOWER, Spans, bounded_batches, distinct_per_text, mix, shingles, span_hashes, text_bytes
+from segue.llm.arrays import LOWER, Spans, bounded_batches, distinct_per_text, frugal, mix, shingles, span_hashes, text_bytes
 from segue.llm.components import components
+from segue.operators.skew import numbers_below
 from segue.session import materialize
 
 BANDS, ROWS = 32, 6  # a pair at 0.8 shares no band with probability 6e-5
@@ -31,8 +31,7 @@ COMPARED = 128  # values of the signature that are kept for the comparison
 BATCH = 16
 MISS = 1e-5  # per batch
 SMALL_BUCKET = 48
-DRAWN_ROUNDS = 2
-BLOCK = 1_000
+BLOCK = 500
 BROADCAST_IDS = 1_000_000
 
 _FACTORS = np.random.default_rng(20240229).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -161,21 +160,38 @@ def _confirm(percent: int):
     return run
 
 
-def _blocks(percent: int):
-    """Pairs between two blocks of a bucket, or within one, that lie in different components and survive."""
+def _cell(percent: int):
+    """Links between the strays of one block and the classes of another, one for each component at most.
+
+    Signatures rule pairs out first; what survives is counted exactly, by marking a stray's shingles."""
+
+    def run(key, frame):
+        import pandas as pd  # here, as the other tasks do without it
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         ids, comps = frame["id"].to_numpy(), frame["component"].to_numpy()
         sigs = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(len(frame), COMPARED)
-        side = frame["block"].to_numpy()
-        one, two = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
-        out = []
-        for i in one:
-            others = two[(comps[two] != comps[i]) & ((ids[two] > ids[i]) if key[1] == key[2] else True)]
-            kept = others[survivors(np.broadcast_to(sigs[i], (len(others), COMPARED)), sigs[others], percent)]
-            out.append(np.stack([np.full(len(kept), ids[i]), ids[kept]], axis=1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found.min(axis=1, initial=2**63 - 1), "b": found.max(axis=1, initial=-(2**63))}).astype("int64")
+        sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        marked = np.zeros(len(names), bool)
+        stray = frame["stray"].to_numpy()
+        others, out = np.flatnonzero(~stray), []
+        for i in np.flatnonzero(stray):
+            near = others[comps[others] != comps[i]]
+            near = near[survivors(np.broadcast_to(sigs[i], (len(near), COMPARED)), sigs[near], percent)]
+            if not len(near):
+                continue
+            own = flat[offs[i] : offs[i + 1]]
+            marked[own] = True
+            sizes = offs[near + 1] - offs[near]
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            take = np.repeat(offs[near] - bounds[:-1], sizes) + np.arange(bounds[-1])
+            shared = np.diff(np.concatenate([[0], np.cumsum(marked[flat[take]])])[bounds])
+            marked[own] = False
+            linked = near[100 * shared >= percent * (len(own) + sizes - shared)]
+            _, first = np.unique(comps[linked], return_index=True)
+            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in linked[first]]
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return run
 
@@ -194,26 +210,50 @@ class _Candidates:
         pairs = pairs.distinct()
         pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("signature").alias("sig_a")), "a")
         pairs = pairs.join(sig.select(F.col("id").alias("b"), F.col("signature").alias("sig_b")), "b")
-        left = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(self.percent), "a long, b long")
+        left = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(frugal(_prune(self.percent)), "a long, b long")
         left = left.join(self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
         left = left.join(self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        found = left.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(self.percent), "a long, b long")
-        found = materialize(found, "near-links")
+        found = left.select("a", "b", "set_a", "set_b").mapInArrow(frugal(_confirm(self.percent)), "a long, b long")
+        self._add(materialize(found, "near-links"))
+
+    def _add(self, found: DataFrame) -> None:
         self.links = found if self.links is None else self.links.unionByName(found)
 
-    def apart(self) -> DataFrame:
-        """(bucket, id, size, component) in the buckets whose classes lie in different components."""
+    def compare_strays(self, apart: DataFrame) -> None:
+        """Compare the classes outside their bucket's leading component with all classes of such buckets.
+
+        Buckets with the same leading component are one group, so that two classes meet once, however many
+        buckets they share.  A group is cut into blocks of strays and blocks of classes; a task compares two."""
+        counts = apart.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        lead = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("lead"))
+        rows = materialize(apart.join(lead, "bucket").select("lead", "id", "component").distinct(), "strays")
+        is_stray = F.col("component") != F.col("lead")
+        blocks = rows.groupBy("lead").agg(
+            F.ceil(F.count(F.when(is_stray, 1)) / BLOCK).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("columns")
+        )
+        held = self.signatures.dropDuplicates(["id"]).join(self.sets, "id")
+        dealt = rows.join(blocks, "lead").join(held, "id")
+        strays = numbers_below(
+            dealt.filter(is_stray).withColumn("row", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int")), F.col("columns"), "column"
+        ).withColumn("stray", F.lit(True))
+        every = numbers_below(
+            dealt.withColumn("column", F.pmod(F.xxhash64("id"), F.col("columns")).cast("int")), F.col("rows"), "row"
+        ).withColumn("stray", F.lit(False))
+        cells = strays.unionByName(every).drop("rows", "columns")
+        self._add(materialize(cells.groupBy("lead", "row", "column").applyInPandas(_cell(self.percent), "a long, b long"), "near-links"))
+
+    def apart(self, above: int = 0) -> DataFrame:
+        """(bucket, id, size, component) in the buckets of over `above` classes that lie in different components."""
         comps = components(self.links).withColumnRenamed("id", "cid")
-        marked = self.members.join(comps, F.col("id") == F.col("cid"), "left").select(
+        marked = self.members.filter(F.col("size") > above).join(comps, F.col("id") == F.col("cid"), "left").select(
             "bucket", "id", "size", F.coalesce("component", "id").alias("component")
         )
         mixed = marked.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
         return materialize(marked.join(mixed.select("bucket"), "bucket"), "apart")
 
 
-def _star(rows: DataFrame, round_: int) -> DataFrame:
-    """Each class of a bucket with one of them, in another component: the smallest at first, then a drawn one."""
-    place = F.col("id") if round_ == 0 else F.xxhash64("id", F.lit(round_))
+def _star(rows: DataFrame, place: Column) -> DataFrame:
+    """Each class of a bucket with the one of the smallest place, if they are in different components."""
     heads = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), place).alias("head"))
     met = rows.join(heads, "bucket").filter("component <> head.component")
     return met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
@@ -234,7 +274,7 @@ def near_duplicates(
     bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = materialize(source.mapInArrow(
-        _sketch(k), "id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"
+        frugal(_sketch(k)), "id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"
     ), "sketches")
     full = sketches.filter("n_shingles > 0 AND id IS NOT NULL")
     firsts = materialize(full.groupBy("d1", "d2").agg(F.min("id").alias("first")), "classes")
@@ -250,31 +290,20 @@ def near_duplicates(
     wanted = materialize(members.select("id").distinct(), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    sets = materialize(source.join(wanted, "id", "left_semi").mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id", "shingles"]), "sets")
+    sets = materialize(source.join(wanted, "id", "left_semi").mapInArrow(frugal(_sets(k)), "id long, shingles binary").dropDuplicates(["id", "shingles"]), "sets")
 
     found = _Candidates(classes, sets, members, percent)
-    found.look_at(_star(members.withColumn("component", F.col("id")), 0))
-    for round_ in range(1, DRAWN_ROUNDS + 1):
-        apart = found.apart()
-        if apart.isEmpty():
-            break
-        pairs = _star(apart.filter(F.col("size") > SMALL_BUCKET), round_)
-        if round_ == 1:
-            one = apart.filter(F.col("size") <= SMALL_BUCKET)
-            two = one.select("bucket", F.col("id").alias("b"), F.col("component").alias("other"))
-            every = one.join(two, "bucket").filter("id < b AND component <> other")
-            pairs = pairs.unionByName(every.select(F.col("id").alias("a"), "b"))
-        found.look_at(pairs)
-    else:
-        apart = found.apart().filter(F.col("size") > SMALL_BUCKET)
+    found.look_at(_star(members.withColumn("component", F.col("id")), F.col("id")))
+    apart = found.apart()
+    if not apart.isEmpty():
+        one = apart.filter(F.col("size") <= SMALL_BUCKET)
+        two = one.select("bucket", F.col("id").alias("b"), F.col("component").alias("other"))
+        every = one.join(two, "bucket").filter("id < b AND component <> other").select(F.col("id").alias("a"), "b")
+        drawn = _star(apart.filter(F.col("size") > SMALL_BUCKET), F.xxhash64("id", "bucket"))
+        found.look_at(every.unionByName(drawn))
+        apart = found.apart(SMALL_BUCKET)
         if not apart.isEmpty():
-            n = F.ceil(F.col("size") / BLOCK).cast("int")
-            cut = apart.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-            other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-            cells = cut.withColumn("other", other).select(
-                "bucket", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-            ).join(classes.select("id", "signature").dropDuplicates(["id"]), "id")
-            found.look_at(cells.groupBy("bucket", "low", "high").applyInPandas(_blocks(percent), "a long, b long"))
+            found.compare_strays(apart)
 
     comps = components(found.links).withColumnRenamed("id", "first")
     named = sketches.select("id", "n_shingles", "d1", "d2").join(firsts, ["d1", "d2"], "left").join(comps, "first", "left")
