@@ -39,7 +39,9 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows that share the id of a document that stays, stay with it; so do rows without an id."""
     found = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
-    dropped = found.filter("NOT kept").select("doc_id")
+    dropped = materialize(found.filter("NOT kept").select("doc_id"), "dropped")
+    if dropped.count() <= minhash.BROADCAST_IDS:  # else the texts are shuffled by id
+        dropped = F.broadcast(dropped)
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
