@@ -733,7 +733,7 @@ def evaluate_title(t: Tables) -> DataFrame:
     cells = cooccur.cells_of(rel.keep_pids(t.train, rel.drop_null_lists(train, ["clean"])))
     found = title.title_recommend(titled, train, t.train, cells, TOP)
     head = order.popularity_order(rel.track_freq(t.train)).filter(F.col("rank") <= TOP)  # TOP rows for every list
-    popular = titled.select("pid", F.explode(F.sequence(F.lit(1), F.lit(TOP))).cast("bigint").alias("rank")).join(head, "rank")
+    popular = titled.select("pid", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(TOP).cast("bigint"))).alias("rank")).join(head, "rank")
     return _before_and_after(popular, found, truth)
 
 
