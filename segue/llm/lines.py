@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from segue.session import materialize
+
 
 def frequent_lines(rows: DataFrame, max_share: float, min_rows: int) -> DataFrame:
     """(host, frequent): hashes of the lines in over `max_share` of a host's rows and in `min_rows` at least.
@@ -21,4 +23,5 @@ def frequent_lines(rows: DataFrame, max_share: float, min_rows: int) -> DataFram
         F.count(F.lit(1)).alias("n")
     ).filter(F.col("n") >= min_rows)
     over = counts.join(totals, "host").filter(F.col("n") > max_share * F.col("total"))
-    return over.groupBy("host").agg(F.collect_list("line").alias("frequent"))
+    # Written, so that the join with the documents knows its size before any text is moved.
+    return materialize(over.groupBy("host").agg(F.collect_list("line").alias("frequent")), "frequent-lines")
