@@ -302,7 +302,8 @@ def identify(
     usual = base.filter("lang = lang_pred AND cross_entropy IS NOT NULL").groupBy(F.col("lang").alias("at_lang"), F.col("class").alias("at_class")).agg(
         F.avg("cross_entropy").alias("mean"), F.stddev("cross_entropy").alias("deviation"), F.count(F.lit(1)).alias("n")
     ).filter(F.col("n") >= MIN_CALIBRATION)
-    joined = scored.join(usual, (F.col("lang_pred") == F.col("at_lang")) & (F.col("class") == F.col("at_class")), "left")
+    # One row per learned language and length class, of which there are 64 at most.
+    joined = scored.join(F.broadcast(usual), (F.col("lang_pred") == F.col("at_lang")) & (F.col("class") == F.col("at_class")), "left")
     far = F.col("cross_entropy") > F.col("mean") + max_deviations * F.greatest(F.col("deviation"), F.lit(MIN_DEVIATION))
     return joined.select(
         "row", "lang_pred", "score", "cross_entropy", (F.col("lang_pred").eqNullSafe(UNKNOWN) | F.coalesce(far, F.lit(False))).alias("rejected")
