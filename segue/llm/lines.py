@@ -1,7 +1,8 @@
 """Lines that many documents of one host share, shared by the line operators.
 
-A host's frequent lines fit one row: the shares of all lines of a host sum to its mean number of
-distinct lines, so at most `mean lines / max_share` lines can lie above `max_share`.
+The lines over a share fit one row of their host: the shares of all lines of a host sum to its mean number of
+distinct lines, so at most `mean lines / max_share` lines can lie above `max_share`.  Lines over a count have no
+such bound and stay a row each.
 """
 
 from __future__ import annotations
@@ -11,17 +12,25 @@ from pyspark.sql import DataFrame, functions as F
 from segue.session import materialize
 
 
-def frequent_lines(rows: DataFrame, max_share: float, min_rows: int) -> DataFrame:
-    """(host, frequent): hashes of the lines in over `max_share` of a host's rows and in `min_rows` at least.
+def lines_over(rows: DataFrame, max_share: float, min_rows: int, max_rows: int | None = None) -> DataFrame:
+    """(host, line): hashes of the lines in over `max_share` of a host's rows and in `min_rows` at least, or in
+    over `max_rows` of them, whatever the share.
 
     `rows` has host and keys, the distinct line hashes of each row.  Counts are summed before the shuffle,
     and the rows of a host only meet as sums.  A null host has no lines in common with anything.
     """
     known = rows.filter(F.col("host").isNotNull())
     totals = known.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    counts = known.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(
-        F.count(F.lit(1)).alias("n")
-    ).filter(F.col("n") >= min_rows)
-    over = counts.join(totals, "host").filter(F.col("n") > max_share * F.col("total"))
+    counts = known.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    least = min_rows if max_rows is None else min(min_rows, max_rows + 1)
+    over = (F.col("n") >= min_rows) & (F.col("n") > max_share * F.col("total"))
+    if max_rows is not None:
+        over |= F.col("n") > max_rows
+    return counts.filter(F.col("n") >= least).join(totals, "host").filter(over).select("host", "line")
+
+
+def frequent_lines(rows: DataFrame, max_share: float, min_rows: int) -> DataFrame:
+    """(host, frequent): `lines_over` a share, as one row for each host that has any."""
+    over = lines_over(rows, max_share, min_rows)
     # Written, so that the join with the documents knows its size before any text is moved.
     return materialize(over.groupBy("host").agg(F.collect_list("line").alias("frequent")), "frequent-lines")

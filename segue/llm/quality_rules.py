@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from segue.llm.arrays import LOWER, Spans, bounded_batches, frugal, mix, power_table, shingles, span_hashes, text_bytes
-from segue.llm.lines import frequent_lines
+from segue.llm.lines import lines_over
 from segue.session import materialize
 
-MAX_SHARE = 0.2
+MAX_SHARE = 0.05
 MIN_DOCS = 5
+MAX_DOCS = 200  # over it a line goes whatever its share; it acts on hosts of over MAX_DOCS / MAX_SHARE documents
 MIN_LEFT = 0.3
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -32,7 +33,7 @@ _Q_INVERSE = pow(_Q, -1, 1 << 64)
 WINDOW = 5
 
 MEASURES = (
-    "id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "r long, id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "keys array<long>, sizes array<long>"
 )
 
@@ -115,34 +116,36 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             found = measure(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("host"), *found.values()], names=["id", "host", *found]
+                [*(batch.column(c) for c in ("r", "id", "host")), *found.values()], names=["r", "id", "host", *found]
             )
 
 
 def apply_rules(
     docs: DataFrame, host: Column, id_col: str = "doc_id", text_col: str = "text", max_share: float = MAX_SHARE,
     min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS,
-    max_repeated_percent: int = MAX_REPEATED_PERCENT,
+    max_repeated_percent: int = MAX_REPEATED_PERCENT, max_docs: int | None = MAX_DOCS,
 ) -> DataFrame:
     """One row per row of `docs`: its measures, base_failed, left_chars and kept.
 
     A line is its words in lower case.  It is over the limits when over `max_share` of the host's documents
-    hold it, and `min_docs` of them at least.  left_chars: word characters outside such lines; a document is
+    hold it, and `min_docs` of them at least, or when over `max_docs` of them hold it.  left_chars: word characters outside such lines; a document is
     depleted when they are less than `min_left` of its word characters.  base_failed: fewer than `min_words`
     words, or over `max_repeated_percent` of them in repeated runs of five.  Null and empty texts have no
     words and fail the base rules; a null host shares lines with nothing; repeated rows count as documents
     and each get a row.  Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), host.cast("string").alias("host"), F.col(text_col).alias("text"))
-    rows = materialize(source.mapInArrow(frugal(_measured), MEASURES), "quality-rules")
-    frequent = frequent_lines(rows.select("host", "keys"), max_share, min_docs)
-    joined = rows.join(frequent.withColumnRenamed("host", "at"), F.col("host") == F.col("at"), "left")
-    gone = F.aggregate(
-        F.zip_with("keys", "sizes", lambda k, s: F.when(F.array_contains("frequent", k), s).otherwise(F.lit(0).cast("long"))),
-        F.lit(0).cast("long"), lambda acc, x: acc + x,
+    source = docs.select(
+        F.monotonically_increasing_id().alias("r"), F.col(id_col).cast("long").alias("id"), host.cast("string").alias("host"),
+        F.col(text_col).alias("text"),
     )
-    left = F.col("word_chars") - F.when(F.col("frequent").isNull(), F.lit(0).cast("long")).otherwise(gone)
+    rows = materialize(source.mapInArrow(frugal(_measured), MEASURES), "quality-rules")
+    # Written, so that the join with the lines of the documents knows its size.
+    over = materialize(lines_over(rows.select("host", "keys"), max_share, min_docs, max_docs), "lines-over")
+    held = rows.select("r", "host", F.explode(F.arrays_zip("keys", "sizes")).alias("l")).select("r", "host", F.col("l.keys").alias("line"), "l.sizes")
+    gone = held.join(over, ["host", "line"]).groupBy("r").agg(F.sum("sizes").alias("gone"))
+    joined = rows.drop("host", "keys", "sizes").join(gone, "r", "left")
+    left = F.col("word_chars") - F.coalesce("gone", F.lit(0).cast("long"))
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated_percent * F.col("n_words"))
     return joined.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

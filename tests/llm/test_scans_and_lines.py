@@ -115,6 +115,41 @@ def test_quality_rules_reject_depleted_documents(spark):
     assert got[3].left_chars == len("shortown3textoffive")
 
 
+def test_quality_rules_count_documents_beside_shares(spark):
+    """Boilerplate of a large host has a small share: it goes by the lower share, or by the count alone."""
+    random.seed(5)
+    pool = [f"Common line {j} of the host" for j in range(30)]
+    texts = [(i, "\n".join([*random.choices(pool, k=random.randint(0, 3)), f"own {i}"]), None, random.choice("aaab")) for i in range(400)]
+    texts += [(i, "Accept all cookies to go on reading\nown " + str(i), None, "c") for i in range(400, 430)]
+    texts += [(i, f"own {i}", None, "c") for i in range(430, 1000)]
+    docs = corner_docs(spark, texts)
+
+    def brute(max_share, min_docs, max_docs):
+        sets = {i: (src, {" ".join(l.lower().split()) for l in t.split("\n")}) for i, t, _, src in texts}
+        total, n = {}, {}
+        for src, lines in sets.values():
+            total[src] = total.get(src, 0) + 1
+            for l in lines:
+                n[src, l] = n.get((src, l), 0) + 1
+        over = {k for k, c in n.items() if c >= min_docs and c > max_share * total[k[0]] or c > max_docs}
+        # A repeated line counts once.
+        return {i: sum(len(l.replace(" ", "")) for l in lines if (src, l) not in over) for i, (src, lines) in sets.items()}
+
+    def left(**limits):
+        got = quality_rules.apply_rules(docs, F.col("source"), **limits).collect()
+        distinct = {i: sum(len(l.replace(" ", "")) for l in set(t.lower().split("\n"))) for i, t, *_ in texts}
+        return {r.doc_id: distinct[r.doc_id] - (r.word_chars - r.left_chars) for r in got}
+
+    once = [(i, t) for i, t, *_ in texts if len(set(t.split("\n"))) == len(t.split("\n"))]
+    for max_share, min_docs, max_docs in ((0.05, 5, 200), (0.5, 5, 20), (0.9, 50, 9), (0.05, 5, 25)):
+        have, want = left(max_share=max_share, min_docs=min_docs, max_docs=max_docs), brute(max_share, min_docs, max_docs)
+        assert {i: have[i] for i, _ in once} == {i: want[i] for i, _ in once}
+    # With the defaults a line on one document in twenty or more goes.
+    menu = [(i, f"Terms of use\n{'own' + str(i)}" if i % 10 == 0 else f"own{i}", None, "d") for i in range(300)]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(corner_docs(spark, menu), F.col("source")).collect()}
+    assert all(r.word_chars - r.left_chars == (len("termsofuse") if i % 10 == 0 else 0) for i, r in got.items())
+
+
 def test_quality_rules_take_corner_rows(spark):
     got = quality_rules.apply_rules(corner_docs(spark), F.col("source")).collect()
     assert len(got) == len(TEXTS)
