@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that most documents of their source share.
+    """All documents, without the lines that over line_dedup.MAX_SHARE of the documents of their source share.
 
     n_chars follows the text."""
     kept = line_dedup.drop_boilerplate(docs, F.col("source"))

@@ -13,7 +13,7 @@ from segue.llm.carry import with_row
 from segue.llm.lines import frequent_lines
 from segue.session import materialize
 
-MAX_SHARE = 0.25
+MAX_SHARE = 0.05  # boilerplate of one section of a large mixed host is on a few percent of its pages
 MIN_PAGES = 4
 
 

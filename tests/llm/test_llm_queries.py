@@ -90,6 +90,17 @@ def test_pipeline_stages(spark):
     assert covered == {i: len(t) for i, t in ids.items()}
 
 
+def test_pipeline_drops_a_planted_line(spark):
+    """A line on eight of a hundred documents of a source goes; one on four of them stays, as it does elsewhere."""
+    texts = [(i, f"own line {i}\n" + ("Subscribe to our letter\n" if i % 13 == 0 else "Rare line\n" if i % 25 == 1 else "") + f"end {i}", "en", "a") for i in range(100)]
+    texts += [(100 + i, f"Subscribe to our letter\nelsewhere {i}", "en", "b") for i in range(3)]
+    docs = corner_docs(spark, texts)
+    got = {r.doc_id: r for r in corpus_pipeline.line_dedup_by_source(spark, docs, FOLDER).collect()}
+    want = {i: t.replace("Subscribe to our letter\n", "") if src == "a" else t for i, t, _, src in texts}
+    assert {i: r.text for i, r in got.items()} == want and sum(t != want[i] for i, t, *_ in texts) == 8
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_pipeline_stages_take_corner_rows(spark):
     for docs in (corner_docs(spark), empty_docs(spark)):
         for name, stage in corpus_pipeline.STAGES:
