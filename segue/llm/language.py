@@ -24,7 +24,9 @@ ORDER = 4
 MAX_NGRAMS = 1 << 19  # per language, the most frequent; the others are left to the lower orders
 MAX_DEVIATIONS = 10.0
 MIN_DEVIATION = 0.06  # nats per symbol
+WIDE_DEVIATION = 0.12  # the least where the class itself was not measured: tails of mixed texts are not seen in few texts
 MIN_CALIBRATION = 30
+CLASSES = 64  # a length class is the number of bits of the number of symbols
 UNKNOWN = "und"
 BLANK = 32
 _BITS = np.uint64(16)
@@ -267,6 +269,44 @@ def _score(shared):
     return run
 
 
+def bounds(found: list[tuple], langs: list[str]) -> list[tuple[str, int, float, float]]:
+    """(language, length class, mean, deviation) for every learned language and every length class.
+
+    `found` has (known language, language told, class, texts, mean, variance) of the known texts.  A class of
+    under MIN_CALIBRATION texts that were told rightly takes the values of the nearest fuller class of its
+    language, or of all its texts where no class is full.  An average over fewer symbols spreads more, by the
+    root of the ratio, so deviations are widened towards shorter classes; towards longer ones they stay.  A
+    language of few texts has at least the deviation within the languages, one without any the values of all.
+    """
+
+    def pooled(rows: list[tuple]) -> tuple[float, float, int, int]:
+        """(mean, variance, usual class, texts)"""
+        n = sum(r[3] for r in rows)
+        mean = sum(r[3] * r[4] for r in rows) / n
+        return mean, sum(r[3] * (r[5] + (r[4] - mean) ** 2) for r in rows) / n, round(sum(r[3] * r[2] for r in rows) / n), n
+
+    if not found:
+        return []
+    right = [r for r in found if r[0] == r[1]]
+    own = {lang: [r for r in right if r[0] == lang] for lang in langs}
+    every = pooled(right or found)
+    within = [pooled(rows) for rows in own.values() if rows]
+    spread = sum(p[1] * p[3] for p in within) / sum(p[3] for p in within) if within else every[1]
+    out = []
+    for lang in langs:
+        full = {r[2]: (r[4], r[5]) for r in own[lang] if r[3] >= MIN_CALIBRATION}
+        measured = set(full)
+        if not full:
+            mean, variance, usual, n = pooled(own[lang]) if own[lang] else every
+            full = {usual: (mean, variance if n >= MIN_CALIBRATION else max(variance, spread))}
+        for c in range(CLASSES + 1):
+            near = min(full, key=lambda f: (abs(f - c), f))
+            mean, variance = full[near]
+            least = MIN_DEVIATION if near == c and c in measured else WIDE_DEVIATION
+            out.append((lang, c, mean, max(variance**0.5, least) * 2 ** (max(near - c, 0) / 2)))
+    return out
+
+
 def identify(
     docs: DataFrame, known: DataFrame, text_col: str = "text", lang_col: str = "lang",
     max_deviations: float = MAX_DEVIATIONS, max_ngrams: int = MAX_NGRAMS, keep: list[str] | None = None,
@@ -277,7 +317,8 @@ def identify(
     Models are trained on `known`.  score is the posterior of the language over those learned, each as likely
     before.  A text that is null or has no letter is `und` with score 0 and rejected, as is every text when
     nothing was learned.  rejected: the cross-entropy per symbol lies `max_deviations` above the mean of the
-    known texts of the language and length class, if there are enough of these.  Equal texts get equal results.
+    known texts of the language and length class, or of what stands for them; see `bounds`.  Equal texts get
+    equal results.
     """
     spark = docs.sparkSession
     model = train(known, text_col, lang_col, max_ngrams)
@@ -299,15 +340,18 @@ def identify(
     base = scored.select(F.col(f"row.{lang_col}").cast("string").alias("lang"), "lang_pred", "cross_entropy", "class") if same else None
     if base is None:
         base = score(known, False)
-    usual = base.filter("lang = lang_pred AND cross_entropy IS NOT NULL").groupBy(F.col("lang").alias("at_lang"), F.col("class").alias("at_class")).agg(
-        F.avg("cross_entropy").alias("mean"), F.stddev("cross_entropy").alias("deviation"), F.count(F.lit(1)).alias("n")
-    ).filter(F.col("n") >= MIN_CALIBRATION)
-    # One row per learned language and length class, of which there are 64 at most.
-    joined = scored.join(F.broadcast(usual), (F.col("lang_pred") == F.col("at_lang")) & (F.col("class") == F.col("at_class")), "left")
-    far = F.col("cross_entropy") > F.col("mean") + max_deviations * F.greatest(F.col("deviation"), F.lit(MIN_DEVIATION))
-    return joined.select(
-        "row", "lang_pred", "score", "cross_entropy", (F.col("lang_pred").eqNullSafe(UNKNOWN) | F.coalesce(far, F.lit(False))).alias("rejected")
+    # At most CLASSES rows for each pair of learned languages.
+    found = base.filter("lang IS NOT NULL AND cross_entropy IS NOT NULL").groupBy("lang", "lang_pred", "class").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("cross_entropy").alias("mean"), F.var_pop("cross_entropy").alias("variance")
     )
+    usual = spark.createDataFrame(
+        bounds(sorted(tuple(r) for r in found.collect()), model.langs), "at_lang string, at_class int, mean double, deviation double"
+    )
+    # One row per learned language and length class.
+    joined = scored.join(F.broadcast(usual), (F.col("lang_pred") == F.col("at_lang")) & (F.col("class") == F.col("at_class")), "left")
+    far = F.col("cross_entropy") > F.col("mean") + max_deviations * F.col("deviation")
+    # Without a row there is no letter, or no known text has one.
+    return joined.select("row", "lang_pred", "score", "cross_entropy", F.coalesce(far, F.lit(True)).alias("rejected"))
 
 
 def identify_held_out(docs: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:

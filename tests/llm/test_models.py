@@ -89,6 +89,34 @@ def test_language_by_held_out_accuracy(spark):
     assert by_id[9002].lang_pred in ("de", "en")
 
 
+def test_language_judges_texts_of_every_length(spark):
+    """Gibberish and a foreign language go whether or not known texts of their length exist; what is known stays."""
+    random.seed(6)
+    pools = {"de": ["straße", "und", "der", "hund", "läuft", "nicht"], "en": ["street", "and", "the", "dog", "runs", "not"]}
+    prose = lambda k, n: " ".join(random.choices(pools[k], k=n))
+    letters = lambda n: " ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(3, 9))) for _ in range(n))
+    spanish = lambda n: " ".join(random.choices("la casa blanca tiene muchas ventanas pequeñas hacia el jardín".split(), k=n))
+    known = [(i, prose(k, random.randint(40, 160)), k, None) for i in range(300) for k in [random.choice(["de", "en"])]]
+    known += [(300 + i, "щука плывёт по реке " * (3 + i), "ru", None) for i in range(8)]  # a rare language
+    bad = [(1000 + i, make(n), None, None) for i, (make, n) in enumerate((m, n) for m in (letters, spanish) for n in (6, 20, 80, 600, 9000))]
+    bad += [(1100, "жжъъ ыыэъ " * 50, None, None)]
+    good = [(2000 + i, prose(k, n), None, None) for i, (k, n) in enumerate((k, n) for k in pools for n in (1, 2, 5, 600, 9000))]
+    good += [(2100, "щука плывёт по реке " * 30, None, None)]
+    found = language.identify(corner_docs(spark, known + bad + good), corner_docs(spark, known), keep=["doc_id"])
+    rejected = {r.doc_id for r in found.select("row.doc_id", "rejected").collect() if r.rejected}
+    assert rejected == {i for i, *_ in bad}
+
+
+def test_language_bounds():
+    full = ("en", "en", 8, 400, 1.5, 0.04)
+    found = [full, ("en", "en", 3, 2, 9.0, 4.0), ("en", "xx", 8, 90, 7.0, 1.0), ("xx", "xx", 6, 3, 2.0, 0.0)]
+    got = {(lang, c): (m, d) for lang, c, m, d in language.bounds(found, ["en", "xx", "zz"])}
+    assert set(got) == {(lang, c) for lang in ("en", "xx", "zz") for c in range(65)}
+    assert got["en", 8] == got["en", 30] == (1.5, 0.2) and got["en", 4] == (1.5, 0.8)
+    assert got["xx", 6][0] == 2.0 and got["xx", 6][1] > 0.2 and got["zz", 8][0] > 1.5
+    assert language.bounds([], ["en"]) == []
+
+
 def test_language_does_not_read_the_hold_out(spark):
     texts = lang_docs(spark, 200)
     docs = corner_docs(spark, texts)
