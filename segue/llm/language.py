@@ -2,18 +2,19 @@
 
 All character n-grams of the training rows are counted.  The models of all languages share sorted arrays of
 n-gram hashes with one column of log probabilities per language, so a place of a text is looked up once.
+No n-gram is left out: a model beyond the size of a block is built and applied block by block.
 The language of lowest cross-entropy per character wins; a text is rejected when its cross-entropy lies far
 above that of training texts of the same language and length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from segue.llm.arrays import bounded_batches, frugal, mix
 from segue.llm.bpe import LETTER, code_classes
@@ -21,7 +22,7 @@ from segue.llm.carry import held_out, with_row
 from segue.session import materialize
 
 ORDER = 4
-MAX_NGRAMS = 1 << 19  # per language, the most frequent; the others are left to the lower orders
+BLOCK_CELLS = 1 << 23  # n-grams times languages of a block of the model, which is what the driver and a task hold
 MAX_DEVIATIONS = 10.0
 MIN_DEVIATION = 0.06  # nats per symbol
 WIDE_DEVIATION = 0.12  # the least where the class itself was not measured: tails of mixed texts are not seen in few texts
@@ -172,19 +173,41 @@ class Model:
         return out
 
 
-def build(counts) -> Model:
-    """Interpolated Kneser-Ney models of the n-gram counts, a pandas table (lang, gram, n)."""
-    langs = sorted(counts["lang"].unique().tolist())
+@dataclass
+class Whole:
+    """What a block of the model needs of all n-grams: the discount of each (language, order), all single symbols, and
+    the pairs that start with a symbol of the block; a row per language with counts."""
+
+    langs: list[str]
+    discounts: dict[tuple[str, int], float]
+    singles: object  # pandas (lang, gram, n)
+    pairs: object
+
+
+def discount_of(ones: int, twos: int) -> float:
+    return min(max(ones / (ones + 2 * twos), 0.1), 0.9) if ones else 0.5
+
+
+def build(counts, whole: Whole | None = None) -> Model:
+    """Interpolated Kneser-Ney models of the n-gram counts, a pandas table (lang, gram, n): of all of them, or of a block."""
+    langs = whole.langs if whole else sorted(counts["lang"].unique().tolist())
     own = []  # per language and order: n-grams, counts
-    for lang in langs:
-        rows = counts[counts["lang"] == lang]
+
+    def level(table, lang: str) -> tuple[np.ndarray, np.ndarray]:
+        rows = table[table["lang"] == lang]
         keys = rows["gram"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
-        levels = {ORDER: (keys[order], rows["n"].to_numpy(np.int64)[order])}
+        return keys[order], rows["n"].to_numpy(np.int64)[order]
+
+    for lang in langs:
+        levels = {ORDER: level(counts, lang)}
         for n in range(ORDER - 1, 0, -1):
             # Below the highest order an n-gram counts once for each symbol it follows.
             mask = np.uint64((1 << 16 * n) - 1)
-            levels[n] = _summed(levels[n + 1][0] & mask, np.ones(len(levels[n + 1][0]), np.int64))
+            if whole and n <= 2:
+                levels[n] = level(whole.pairs if n == 2 else whole.singles, lang)
+            else:
+                levels[n] = _summed(levels[n + 1][0] & mask, np.ones(len(levels[n + 1][0]), np.int64))
         own.append(levels)
     grams, contexts = [], [None]
     size = 1 + len(np.unique(np.concatenate([levels[1][0] for levels in own])))
@@ -199,8 +222,7 @@ def build(counts) -> Model:
             lower = below[np.searchsorted(below_index, every & np.uint64((1 << 16 * (n - 1)) - 1))]
         for i, levels in enumerate(own):
             keys, c = levels[n]
-            ones, twos = int((c == 1).sum()), int((c == 2).sum())
-            discount = min(max(ones / (ones + 2 * twos), 0.1), 0.9) if ones else 0.5
+            discount = whole.discounts[langs[i], n] if whole else discount_of(int((c == 1).sum()), int((c == 2).sum()))
             at = np.searchsorted(every, keys)
             if n == 1:
                 total = c.sum()
@@ -224,20 +246,94 @@ def build(counts) -> Model:
     return Model(langs, grams, contexts, unseen.astype(np.float32))
 
 
+@dataclass
+class Blocks:
+    """The model in `n` blocks.  The block of an n-gram follows from its last symbol but one, and of a symbol with too
+    many n-grams for one block also from the symbol before: so a block has all that its contexts, and the lower orders
+    with them, are counted from."""
+
+    langs: list[str]
+    first: np.ndarray  # by symbol
+    pieces: np.ndarray
+    n: int
+    load: Callable[[int], Model]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        last, before = ((keys >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.int64) for shift in (16, 32))
+        return self.first[last] + before % self.pieces[last]
+
+
+def lay_out(sizes: dict[int, int], limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first block, number of blocks) of every symbol, and the number of all blocks."""
+    first, pieces = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+    block, filled = 0, 0
+    for symbol, size in sorted(sizes.items()):
+        if filled and filled + size > limit:
+            block, filled = block + 1, 0
+        first[symbol], pieces[symbol] = block, -(-size // limit)
+        if size > limit:
+            block += int(pieces[symbol])
+        else:
+            filled += size
+    return first, pieces, block + (filled > 0)
+
+
 def train(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_ngrams: int = MAX_NGRAMS
-) -> Model | None:
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", block_cells: int = BLOCK_CELLS
+) -> Blocks | None:
     """Models of the languages of `docs`, counted over all rows whose text and language are not null.
 
-    The model has at most `max_ngrams` n-grams per language, the most frequent ones.  None without such rows.
+    All n-grams are in the model; a block has about `block_cells` n-grams times languages.  None without such rows.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
-    counts = known.mapInArrow(frugal(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counts.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= max_ngrams).drop("place")
-    found = kept.toPandas()
-    return build(found) if len(found) else None
+    counts = materialize(
+        known.mapInArrow(frugal(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-counts"
+    )
+    rows = {r.lang: r.n for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not rows:
+        return None
+    langs, limit = sorted(rows), max(block_cells // len(rows), 1)
+    if sum(rows.values()) <= limit:
+        model = build(counts.toPandas())
+        return Blocks(langs, np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), 1, lambda b: model)
+
+    symbol = lambda at: F.shiftright("gram", 16 * at).bitwiseAND(F.lit(0xFFFF))
+    # One row per symbol, of which there are 65,536 at most.
+    sizes = counts.groupBy(symbol(1).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    first, pieces, n_blocks = lay_out({r.c: r.n for r in sizes}, limit)
+    layout = F.broadcast(spark.createDataFrame([(r.c, int(first[r.c]), int(pieces[r.c])) for r in sizes], "c long, first long, pieces long"))
+    levels, discounts = {ORDER: counts}, {}
+    for n in range(ORDER, 0, -1):
+        if n < ORDER:
+            lower = levels[n + 1].select("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1)).alias("gram"))
+            levels[n] = materialize(lower.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), "language-level")
+        few = levels[n].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"))
+        discounts |= {(r.lang, n): discount_of(r.ones, r.twos) for r in few.collect()}
+    block = F.col("first") + symbol(2) % F.col("pieces")
+    # In order of the blocks, so that a block is read without the others.
+    cut = counts.withColumn("c", symbol(1)).join(layout, "c").select("lang", "gram", "n", block.alias("block"))
+    cut = materialize(cut.repartitionByRange("block", "gram").sortWithinPartitions("block"), "language-blocks")
+    pairs = levels[2].withColumn("c", symbol(1)).join(layout, "c")
+    singles = levels[1].toPandas()
+
+    def load(b: int) -> Model:
+        own = pairs.filter((F.col("first") <= b) & (F.col("first") + F.col("pieces") > b)).select("lang", "gram", "n")
+        return build(cut.filter(F.col("block") == b).drop("block").toPandas(), Whole(langs, discounts, singles, own.toPandas()))
+
+    return Blocks(langs, first, pieces, n_blocks, load)
+
+
+def _told(total: np.ndarray, sizes: np.ndarray, letters: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, cross-entropy, score) of each text from its log probability in every language."""
+    n = len(sizes)
+    bits = -total / np.maximum(sizes, 1)[:, None]
+    best = bits.argmin(axis=1)
+    gap = np.minimum((bits - bits[np.arange(n), best][:, None]) * sizes[:, None], 700)
+    lang = np.where(letters, np.array(langs, object)[best], UNKNOWN)
+    entropy = np.where(letters, bits[np.arange(n), best], np.nan)
+    return lang, entropy, np.where(letters, 1 / np.exp(-gap).sum(axis=1), 0.0)
 
 
 def _score(shared):
@@ -254,12 +350,7 @@ def _score(shared):
                 total = np.zeros((n, len(model.langs)))
                 some = sizes > 0
                 total[some] = np.add.reduceat(model.log_probability(grams), offs[:-1][some], axis=0, dtype=np.float64)
-                bits = -total / np.maximum(sizes, 1)[:, None]
-                best = bits.argmin(axis=1)
-                gap = np.minimum((bits - bits[np.arange(n), best][:, None]) * sizes[:, None], 700)
-                lang = np.where(letters, np.array(model.langs, object)[best], UNKNOWN)
-                entropy = np.where(letters, bits[np.arange(n), best], np.nan)
-                score = np.where(letters, 1 / np.exp(-gap).sum(axis=1), 0.0)
+                lang, entropy, score = _told(total, sizes, letters, model.langs)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(lang, pa.string()),
                  pa.array(entropy, from_pandas=True), pa.array(score), pa.array(sizes)],
@@ -269,6 +360,77 @@ def _score(shared):
     return run
 
 
+def _score_block(shared, b: int):
+    """(r, block, n_symbols, letters, total): the log probability in every language of the n-grams of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, first, pieces = shared.value
+        place = Blocks(model.langs, first, pieces, 0, None)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            grams, offs, letters = ngrams(batch.column("text").to_pylist())
+            sizes = np.diff(offs)
+            mine = np.flatnonzero(place.of(grams) == b)
+            text_of = np.repeat(np.arange(n), sizes)[mine]
+            found = model.log_probability(grams[mine])
+            total = np.stack([np.bincount(text_of, found[:, i], n) for i in range(len(model.langs))], axis=1)
+            cuts = np.arange(n + 1, dtype=np.int32) * total.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("r"), pa.array(np.full(n, b, np.int64)), pa.array(sizes), pa.array(letters),
+                 pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(total.ravel()))],
+                names=["r", "block", "n_symbols", "letters", "total"],
+            )
+
+    return run
+
+
+def _tell(langs: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                total = np.array(batch.column("total").to_pylist(), float)
+                sizes, letters = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_symbols", "letters"))
+                lang, entropy, score = _told(total, sizes, letters, langs)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("r"), pa.array(lang, pa.string()), pa.array(entropy, from_pandas=True), pa.array(score), pa.array(sizes)],
+                    names=["r", "lang_pred", "cross_entropy", "score", "n_symbols"],
+                )
+
+    return run
+
+
+def score_rows(source: DataFrame, blocks: Blocks | None) -> DataFrame:
+    """`source` with lang_pred, cross_entropy, score and n_symbols in place of `text`."""
+    spark = source.sparkSession
+    told = "lang_pred string, cross_entropy double, score double, n_symbols long"
+    if blocks is None or blocks.n == 1:
+        schema = T.StructType([f for f in source.schema.fields if f.name != "text"])
+        for f in T.StructType.fromDDL(told).fields:
+            schema = schema.add(f)
+        shared = spark.sparkContext.broadcast(blocks and blocks.load(0))
+        return source.mapInArrow(frugal(_score(shared)), schema)
+    # Written with a number for each row, by which the sums of the blocks meet; the texts stay where they are.
+    rows = materialize(source.withColumn("r", F.monotonically_increasing_id()), "language-rows")
+    parts = None
+    for b in range(blocks.n):
+        shared = spark.sparkContext.broadcast((blocks.load(b), blocks.first, blocks.pieces))
+        schema = "r long, block long, n_symbols long, letters boolean, total array<double>"
+        part = materialize(rows.select("r", "text").mapInArrow(frugal(_score_block(shared, b)), schema), "language-part")
+        shared.unpersist()
+        parts = part if parts is None else parts.union(part)
+    # Summed in the order of the blocks, so that equal texts get equal results.
+    by_row = parts.groupBy("r").agg(
+        F.max("n_symbols").alias("n_symbols"), F.max("letters").alias("letters"),
+        F.sort_array(F.collect_list(F.struct("block", "total"))).alias("parts"),
+    )
+    zeros = F.array_repeat(F.lit(0.0), len(blocks.langs))
+    total = F.aggregate("parts", zeros, lambda acc, p: F.zip_with(acc, p["total"], lambda x, y: x + y))
+    found = by_row.select("r", "n_symbols", "letters", total.alias("total")).mapInArrow(frugal(_tell(blocks.langs)), "r long, " + told)
+    return rows.drop("text").join(found, "r").drop("r")
+
+
 def bounds(found: list[tuple], langs: list[str]) -> list[tuple[str, int, float, float]]:
     """(language, length class, mean, deviation) for every learned language and every length class.
 
@@ -309,7 +471,7 @@ def bounds(found: list[tuple], langs: list[str]) -> list[tuple[str, int, float,
 
 def identify(
     docs: DataFrame, known: DataFrame, text_col: str = "text", lang_col: str = "lang",
-    max_deviations: float = MAX_DEVIATIONS, max_ngrams: int = MAX_NGRAMS, keep: list[str] | None = None,
+    max_deviations: float = MAX_DEVIATIONS, block_cells: int = BLOCK_CELLS, keep: list[str] | None = None,
 ) -> DataFrame:
     """(row, lang_pred, score, cross_entropy, rejected) for every row of `docs`; `row` is the input row,
     or its columns `keep`.
@@ -321,17 +483,13 @@ def identify(
     equal results.
     """
     spark = docs.sparkSession
-    model = train(known, text_col, lang_col, max_ngrams)
-    shared = spark.sparkContext.broadcast(model)
+    model = train(known, text_col, lang_col, block_cells)
 
     def score(rows: DataFrame, row: bool) -> DataFrame:
         source = with_row(rows, keep, text=F.col(text_col)) if row else rows.select(
             F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
         )
-        schema = T.StructType([f for f in source.schema.fields if f.name != "text"])
-        schema = schema.add("lang_pred", "string").add("cross_entropy", "double").add("score", "double").add("n_symbols", "long")
-        scored = source.mapInArrow(frugal(_score(shared)), schema)
-        return scored.withColumn("class", F.length(F.bin("n_symbols")))
+        return score_rows(source, model).withColumn("class", F.length(F.bin("n_symbols")))
 
     if model is None:
         return score(docs, True).select("row", "lang_pred", "score", "cross_entropy", F.lit(True).alias("rejected"))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from segue.llm import language, quality
@@ -117,6 +118,24 @@ def test_language_bounds():
     assert language.bounds([], ["en"]) == []
 
 
+def test_language_blocks_equal_the_whole_model(spark):
+    """A model that does not fit one block leaves no n-gram out: all results are those of the whole model."""
+    texts = lang_docs(spark, 300) + [(900, None, None, None), (901, "12 !", "de", None), (902, "щъ " * 40, None, None), (903, "xyz qq " * 9, None, None)]
+    docs = corner_docs(spark, texts)
+    blocks = language.train(docs, block_cells=60)
+    assert language.train(docs).n == 1 and blocks.n > 3 and (blocks.pieces > 1).any()
+    whole = language.train(docs).load(0)
+    grams = language.ngrams([t for _, t, *_ in texts])[0]
+    for b in range(blocks.n):
+        mine = grams[blocks.of(grams) == b]
+        np.testing.assert_allclose(blocks.load(b).log_probability(mine), whole.log_probability(mine), rtol=1e-6)
+    read = lambda **size: {r.doc_id: r for r in language.identify(docs, docs, keep=["doc_id", "lang"], **size).select("row.doc_id", "lang_pred", "rejected", "score", "cross_entropy").collect()}
+    want, got = read(), read(block_cells=60)
+    assert len(got) == len(texts) and {i: r[:3] for i, r in got.items()} == {i: r[:3] for i, r in want.items()}
+    for i, r in want.items():
+        assert got[i].score == pytest.approx(r.score, abs=1e-6) and got[i].cross_entropy == pytest.approx(r.cross_entropy, abs=1e-6)
+
+
 def test_language_does_not_read_the_hold_out(spark):
     texts = lang_docs(spark, 200)
     docs = corner_docs(spark, texts)
