@@ -195,7 +195,9 @@ def pieces(codes: np.ndarray, offs: np.ndarray, drops_space: bool) -> tuple[np.n
 
 
 class WordTable:
-    """Ids of every word met so far in a partition, found by the word's hash in an open-addressed array."""
+    """Ids of every word met so far in a partition, found by the word's hash in an open-addressed array.
+
+    The bytes of each word are kept beside its ids: a word that only shares the hash of another is encoded by itself."""
 
     SLOTS = 1 << 20
     MOST = 400_000
@@ -210,6 +212,8 @@ class WordTable:
         self.count = 0
         self.ids = np.zeros(0, np.int32)
         self.offs = np.zeros(1, np.int64)
+        self.bytes = np.zeros(0, np.uint8)
+        self.byte_offs = np.zeros(1, np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word, -1 where it is new."""
@@ -223,10 +227,8 @@ class WordTable:
             wrong = wrong[(found[wrong] >= 0) & (self.keys[slot[wrong]] != hashes[wrong])]
         return found
 
-    def add(self, hashes: np.ndarray) -> None:
-        """Number distinct new words."""
-        number = np.arange(self.count, self.count + len(hashes), dtype=np.int32)
-        self.count += len(hashes)
+    def add(self, hashes: np.ndarray, number: np.ndarray) -> None:
+        """Enter distinct new words under their numbers."""
         left, slot = np.arange(len(hashes)), (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
         while len(left):
             free = left[self.index[slot[left]] < 0]
@@ -239,6 +241,31 @@ class WordTable:
             left = left[~placed[left]]
             slot[left] = (slot[left] + 1) & (self.SLOTS - 1)
 
+    def encode_new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode words together; their numbers."""
+        sizes = ends - starts
+        take = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        own = data[take]
+        ids, offs = encode_words(self.vocab, own, sizes)
+        number = np.arange(self.count, self.count + len(starts), dtype=np.int32)
+        self.count += len(starts)
+        self.ids = np.concatenate([self.ids, ids])
+        self.offs = np.concatenate([self.offs, self.offs[-1] + offs[1:]])
+        self.bytes = np.concatenate([self.bytes, own])
+        self.byte_offs = np.concatenate([self.byte_offs, self.byte_offs[-1] + np.cumsum(sizes)])
+        return number
+
+    def differ(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Places of the words that are not the ones kept under their numbers."""
+        sizes, at = ends - starts, self.byte_offs[number]
+        other = self.byte_offs[number + 1] - at != sizes
+        long = np.flatnonzero(~other & (sizes > 8))  # shorter ones of one size cannot share a hash
+        held, bounds = sizes[long], np.concatenate([[0], np.cumsum(sizes[long])])
+        step = np.arange(bounds[-1])
+        unlike = data[np.repeat(starts[long] - bounds[:-1], held) + step] != self.bytes[np.repeat(at[long] - bounds[:-1], held) + step]
+        other[long] = np.diff(np.concatenate([[0], np.cumsum(unlike)])[bounds]) > 0
+        return np.flatnonzero(other)
+
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers of the words at these places; new ones are encoded together."""
         if self.count > self.MOST:
@@ -250,26 +277,20 @@ class WordTable:
             distinct, at = np.unique(hashes[new], return_index=True)
             if self.count + len(distinct) > self.SLOTS * 3 // 4:
                 self.grow(len(distinct))
-            a, b = starts[new[at]], ends[new[at]]
-            sizes = b - a
-            take = np.repeat(a - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            ids, offs = encode_words(self.vocab, data[take], sizes)
-            self.add(distinct)
-            self.ids = np.concatenate([self.ids, ids])
-            self.offs = np.concatenate([self.offs, self.offs[-1] + offs[1:]])
+            self.add(distinct, self.encode_new(data, starts[new[at]], ends[new[at]]))
             found[new] = self.find(hashes[new])
+        for i in self.differ(data, starts, ends, found).tolist():
+            found[i] = self.encode_new(data, starts[i : i + 1], ends[i : i + 1])[0]
         return found
 
     def grow(self, more: int) -> None:
         """More slots for one very large batch."""
         full = self.index >= 0
         keys, index = self.keys[full], self.index[full]
-        order = np.argsort(index, kind="stable")
         while self.count + more > self.SLOTS * 3 // 4:
             self.SLOTS *= 2
         self.keys, self.index = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, -1, np.int32)
-        self.count = 0
-        self.add(keys[order])
+        self.add(keys, index)
 
 
 def gather(flat: np.ndarray, offs: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

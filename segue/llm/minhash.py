@@ -29,6 +29,7 @@ from segue.session import materialize
 BANDS, ROWS = 32, 6  # a pair at 0.8 shares no band with probability 6e-5
 COMPARED = 128  # values of the signature that are kept for the comparison
 BATCH = 16
+CONFIRMED = 1  # family of hashes on which links are confirmed
 MISS = 1e-5  # per batch
 SMALL_BUCKET = 48
 BLOCK = 500
@@ -56,12 +57,15 @@ def least_matches(percent: int, miss: float = MISS) -> tuple[int, ...]:
     return tuple(out)
 
 
-def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct 64-bit shingle hashes, offsets by text) of the lower-cased words of each text."""
+def shingle_sets(column: pa.Array, k: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct 64-bit shingle hashes, offsets by text) of the lower-cased words of each text.
+
+    Signatures come from one family of word hashes; equal sets and links are confirmed with another, so a false link
+    needs a collision in both."""
     data, offs = text_bytes(column)
     data = LOWER[data]
     words = Spans(data, offs)
-    return distinct_per_text(*shingles(span_hashes(data, words.starts, words.ends), words.first, k))
+    return distinct_per_text(*shingles(span_hashes(data, words.starts, words.ends, family), words.first, k))
 
 
 def _raw(values: np.ndarray) -> pa.Array:
@@ -78,6 +82,7 @@ def _sketch(k: int):
             if not n:
                 continue
             sets, offs = shingle_sets(batch.column("text"), k)
+            others, other_offs = shingle_sets(batch.column("text"), k, CONFIRMED)
             some = offs[1:] > offs[:-1]
             starts = offs[:-1][some]
             least = np.zeros((n, BANDS * ROWS), np.uint32)
@@ -91,11 +96,11 @@ def _sketch(k: int):
                 for v in range(j * ROWS, (j + 1) * ROWS):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, v])
                 bands[:, j] = key
-            # Two sums over the set name it: equal sets have equal sums, others practically never.
+            # Two sums over the set, each in its own family of hashes, name it.
             one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             if len(starts):
                 one[some] = np.add.reduceat(mix(sets), starts)
-                two[some] = np.add.reduceat(mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
+                two[some] = np.add.reduceat(mix(others), other_offs[:-1][some])
             longs = pa.array(bands.view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(np.diff(offs)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
@@ -111,7 +116,7 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sets, offs = shingle_sets(batch.column("text"), k)
+                sets, offs = shingle_sets(batch.column("text"), k, CONFIRMED)
                 held = pa.Array.from_buffers(
                     pa.binary(), batch.num_rows, [None, pa.py_buffer((offs * 8).astype(np.int32).tobytes()), pa.py_buffer(sets.tobytes())]
                 )

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from segue.llm.arrays import LOWER, Spans, bounded_batches, frugal, mix, power_table, shingles, span_hashes, text_bytes
+from segue.llm.arrays import LOWER, SPACES, Spans, bounded_batches, frugal, mix, shingles, span_hashes, text_bytes
 from segue.llm.lines import lines_over
 from segue.session import materialize
 
@@ -28,8 +28,6 @@ _LINE_END = np.zeros(256, bool)
 _LINE_END[10] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-_Q = 0x5851F42D4C957F2D
-_Q_INVERSE = pow(_Q, -1, 1 << 64)
 WINDOW = 5
 
 MEASURES = (
@@ -86,13 +84,14 @@ def measure(column: pa.Array) -> dict[str, pa.Array]:
     _, at = np.unique(raw, return_index=True)
     n_distinct = np.bincount(text_of_line[at], minlength=n_texts)
 
-    # A normalised line is its words in lower case: their hashes, summed with place weights.
-    plain = LOWER[data]
-    low = span_hashes(plain, words.starts, words.ends)
-    sums = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(low * power_table(_Q, len(low)), out=sums[1:])
+    # A normalised line is its words in lower case with one blank between.
+    space = SPACES[data]
+    stays = ~space
+    stays[1:] |= ~space[:-1]
+    place = np.concatenate([[0], np.cumsum(stays)])
+    squeezed = np.where(space, np.uint8(32), LOWER[data])[stays]
     a, b = word_from[full], word_to[full]
-    key = mix((sums[b] - sums[a]) * power_table(_Q_INVERSE, len(low) + 1)[a] + (b - a).astype(np.uint64))
+    key = span_hashes(squeezed, place[words.starts[a]], place[words.ends[b - 1]])
     char_sums = np.concatenate([[0], np.cumsum(chars)])
     own, first_at, which = np.unique(mix(key + salt), return_index=True, return_inverse=True)
     size = np.bincount(which, weights=(char_sums[b] - char_sums[a]), minlength=len(own)).astype(np.int64)
