@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["licenses", "quality", "minhash", "packing", "embeddings", "sharding", "language", "line_dedup", "bpe_codec", "quality_rules"]
+MODULES = ["licenses", "quality", "minhash", "packing", "embeddings", "sharding", "language", "line_dedup", "bpe_codec", "quality_rules",
+           "periodic", "mixing", "spelling"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -26,6 +26,8 @@ CONTRACT = {
     "op6_": "doc_id size text_crc32 law shard slot grown_shard", "op7_": "doc_id held_out lang_pred score",
     "op8_": "page_id", "op9_": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op10_": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op11_": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12_": "doc_id size source_size target taken", "op13_": "word form root n n_near form_n",
 }
 
 
