@@ -3,7 +3,8 @@
 Every run of k words of a document is hashed and joined with the runs of the license templates.  A match
 votes for the diagonal `document position - template position`; the votes are summed per diagonal,
 neighbouring diagonals are merged (words put in or left out shift the rest of a license by a few places),
-and a merged span counts when enough of the template's runs are in it.
+and a merged span counts when enough of the template's runs are in it, the telling last one of a notice among them.  A
+span inside a longer one gives way to it: the words of "CC BY" in "CC BY-NC" are no license of their own.
 
 The templates are a short list given by the caller, so their runs are a small table whatever the input;
 its size is checked before it is broadcast.  No text is shuffled: only votes and one row per document.
@@ -23,12 +24,14 @@ MAX_TEMPLATE_RUNS = 100_000  # above it the runs are joined without a broadcast
 
 @dataclass(frozen=True)
 class Template:
-    """A license text.  `exact` templates are phrases that count only when whole."""
+    """A license text.  `exact` templates are phrases that count only when whole, and wherever they stand; of a
+    `telling` one the last words must be there."""
 
     label: str
     text: str
     k: int = 4
     exact: bool = False
+    telling: bool = False
 
     @property
     def words(self) -> list[str]:
@@ -41,29 +44,66 @@ BASE = [
     Template("apache", "apache license", 2, True),
     Template("gpl", "general public license", 2, True),
 ]
-# Opening words of public licenses and of the notices that point to them.
+# Opening words of public licenses, later parts of them and the notices that point to them.
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+    "associated documentation files (the Software), to deal in the Software without restriction"
+)
+_MIT_RIGHTS = (
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+    "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+)
+_MIT_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+    "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+    "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+    "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC_GRANT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+)
+_ISC_REST = (
+    "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE "
+    "AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO "
+    "EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING "
+    "FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met"
+)
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+)
+# The Creative Commons licenses and what their names add to "Attribution".
+_CC = {
+    "cc-by": "", "cc-by-nc": "NonCommercial", "cc-by-nc-nd": "NonCommercial NoDerivatives", "cc-by-nc-sa": "NonCommercial ShareAlike",
+    "cc-by-nd": "NoDerivatives", "cc-by-sa": "ShareAlike",
+}
 NOTICES = [
     Template("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except "
              "in compliance with the License. You may obtain a copy of the License at"),
-    Template("apache", "Licensed under the Apache License, Version"),
-    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-             "provided that the following conditions are met"),
-    Template("cc-by", "licensed under CC BY", 4),
-    Template("cc-by", "licensed under a Creative Commons Attribution"),
-    Template("cc-by-nc", "licensed under CC BY-NC"),
-    Template("cc-by-nc", "licensed under a Creative Commons Attribution NonCommercial"),
-    Template("cc-by-sa", "licensed under CC BY-SA"),
-    Template("cc-by-sa", "licensed under a Creative Commons Attribution ShareAlike"),
+    Template("apache", "Licensed under the Apache License, Version", telling=True),
+    Template("bsd", _BSD_GRANT),
+    Template("bsd", _BSD_WARRANTY),
+    *[Template(label, f"licensed under {label.replace('-', ' ')}", telling=True) for label in _CC],
+    *[Template(label, f"licensed under a Creative Commons Attribution {more}", telling=True) for label, more in _CC.items()],
     Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
              "General Public License as published by the Free Software Foundation"),
-    Template("gpl", "licensed under the GNU General Public License"),
-    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
-             "fee is hereby granted"),
-    Template("lgpl", "under the terms of the GNU Lesser General Public License"),
-    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-             "associated documentation files (the Software), to deal in the Software without restriction"),
-    Template("mit", "Released under the MIT License"),
-    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    Template("gpl", "licensed under the GNU General Public License", telling=True),
+    Template("isc", _ISC_GRANT),
+    Template("isc", _ISC_REST),
+    Template("isc", f"{_ISC_GRANT} {_ISC_REST}"),
+    Template("lgpl", "under the terms of the GNU Lesser General Public License", telling=True),
+    Template("mit", _MIT_GRANT),
+    Template("mit", _MIT_RIGHTS),
+    Template("mit", _MIT_WARRANTY),
+    Template("mit", f"{_MIT_GRANT} {_MIT_RIGHTS} {_MIT_WARRANTY}"),
+    Template("mit", "Released under the MIT License", telling=True),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", telling=True),
     Template("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
@@ -74,13 +114,13 @@ def words_of(text: Column) -> Column:
 
 
 def template_runs(templates: list[Template]) -> list[tuple]:
-    """(template, label, exact, n_runs, n_words, k, tpos, run) of every run of k words of every template."""
+    """(template, label, exact, telling, n_runs, n_words, k, tpos, run) of every run of k words of every template."""
     rows = []
     for i, t in enumerate(templates):
         n = len(t.words) - t.k + 1
         if n < 1:
             raise ValueError(f"template {t.text!r} is shorter than its k")
-        rows += [(i, t.label, t.exact, n, len(t.words), t.k, j, " ".join(t.words[j : j + t.k])) for j in range(n)]
+        rows += [(i, t.label, t.exact, t.telling, n, len(t.words), t.k, j, " ".join(t.words[j : j + t.k])) for j in range(n)]
     return rows
 
 
@@ -91,7 +131,8 @@ def scan(
     """(id, n_words, spans) for every row of `docs`; a span is (label, exact, start, end, cover).
 
     `slack`: diagonals up to so many places apart are one span.  `min_cover`: share of the template's runs
-    that a span must hold.  `end` is one behind the last matched word.  Null and empty texts have no words
+    that a span must hold.  `end` is one behind the last matched word.  Spans inside a longer one of a template that is not exact
+    are left out; exact ones always stay.  Null and empty texts have no words
     and no spans.  Equal rows give equal results, one each; rows that share an id but not the text are
     scanned apart.  Other columns are not read.
     """
@@ -99,7 +140,7 @@ def scan(
     sizes = sorted({t.k for t in templates})
     runs = spark.createDataFrame(
         template_runs(templates),
-        "template int, label string, exact boolean, n_runs int, n_words_t int, k int, tpos int, run string",
+        "template int, label string, exact boolean, telling boolean, n_runs int, n_words_t int, k int, tpos int, run string",
     ).withColumn("h", F.xxhash64("k", "run"))
     # One row that stands for the document itself, so that documents without a match stay.
     own = spark.createDataFrame([(-1, 0)], "template int, tpos int").withColumn("h", F.xxhash64(F.lit(-1)))
@@ -133,7 +174,7 @@ def scan(
     votes = hits.groupBy("id", "key", "n_words", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.count(F.lit(1)).alias("votes"), F.collect_set("tpos").alias("tpos"), F.min("pos").alias("first"),
         F.max(F.col("pos") + F.col("k")).alias("last"), F.first("label").alias("label"), F.first("exact").alias("exact"),
-        F.first("n_runs").alias("n_runs"), F.first("n_words_t").alias("n_words_t"),
+        F.first("telling").alias("telling"), F.first("n_runs").alias("n_runs"), F.first("n_words_t").alias("n_words_t"),
     )
     by_diagonal = Window.partitionBy("id", "key", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(by_diagonal)
@@ -142,18 +183,27 @@ def scan(
         "id", "key", "n_words", "template", "span"
     ).agg(
         F.max("votes").alias("votes"), F.size(F.array_distinct(F.flatten(F.collect_list("tpos")))).alias("covered"),
+        F.max(F.array_max("tpos")).alias("reached"), F.first("telling").alias("telling"),
         F.min("first").alias("start"), F.max("last").alias("end"), F.first("label").alias("label"),
         F.first("exact").alias("exact"), F.first("n_runs").alias("n_runs"), F.first("n_words_t").alias("n_words_t"),
     )
     cover = F.col("covered") / F.col("n_runs")
     good = (
         F.when(F.col("exact"), F.col("covered") == F.col("n_runs"))
-        .otherwise((cover >= min_cover) & (F.col("end") - F.col("start") <= F.col("n_words_t") * 1.25 + slack))
+        .otherwise((cover >= min_cover) & (F.col("end") - F.col("start") <= F.col("n_words_t") * 1.25 + slack)
+                   & (~F.col("telling") | (F.col("reached") == F.col("n_runs") - 1)))
     )
+    marked = spans.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("end_by", F.when(F.col("good") & ~F.col("exact"), F.col("end")))
+    # A span gives way to one that starts before it and ends with it or later, or starts with it and ends later.
+    in_document = Window.partitionBy("id", "key")
+    before = F.max("end_by").over(in_document.orderBy("start").rangeBetween(Window.unboundedPreceding, -1))
+    beside = F.max("end_by").over(Window.partitionBy("id", "key", "start"))
+    inside = ~F.col("exact") & (F.coalesce(before >= F.col("end"), F.lit(False)) | F.coalesce(beside > F.col("end"), F.lit(False)))
+    stays = marked.withColumn("inside", inside)
     found = F.struct("label", "exact", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), cover.alias("cover"))
-    per_document = spans.groupBy("id", "key", "n_words").agg(
+    per_document = stays.groupBy("id", "key", "n_words").agg(
         F.max(F.when(F.col("template") < 0, F.col("votes"))).alias("copies"),
-        F.array_sort(F.collect_list(F.when((F.col("template") >= 0) & good, found))).alias("spans"),
+        F.array_sort(F.collect_list(F.when((F.col("template") >= 0) & F.col("good") & ~F.col("inside"), found))).alias("spans"),
     )
     return per_document.select(
         F.col("id").alias(id_col), F.col("n_words").cast("long"), "spans",
@@ -180,27 +230,29 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     rows = ", ".join(
-        f"({i}, '{label}', {exact}, {n}, {n_words}, {k}, {j}, '{run}')"
-        for i, label, exact, n, n_words, k, j, run in template_runs(BASE + NOTICES)
+        f"({i}, '{label}', {exact}, {telling}, {n}, {n_words}, {k}, {j}, '{run}')"
+        for i, label, exact, telling, n, n_words, k, j, run in template_runs(BASE + NOTICES)
     )
     sizes = ", ".join(str(k) for k in sorted({t.k for t in BASE + NOTICES}))
     return rf"""
-WITH t(template, label, exact, n_runs, n_words_t, k, tpos, run) AS (VALUES {rows}),
+WITH t(template, label, exact, telling, n_runs, n_words_t, k, tpos, run) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id,
       regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
 g AS (SELECT r, k, i - 1 AS pos, array_to_string(w[i : i + k - 1], ' ') AS run
       FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT unnest([{sizes}]) AS k) AS s)),
 v AS (SELECT r, template, pos - tpos AS diagonal, list(DISTINCT tpos) AS tpos, min(pos) AS first, max(pos + k) AS last,
-      any_value(label) AS label, any_value(exact) AS exact, any_value(n_runs) AS n_runs, any_value(n_words_t) AS n_words_t
+      any_value(label) AS label, any_value(exact) AS exact, any_value(telling) AS telling, any_value(n_runs) AS n_runs, any_value(n_words_t) AS n_words_t
       FROM g JOIN t USING (k, run) GROUP BY ALL),
 m AS (SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER w > 3, true) THEN 1 ELSE 0 END AS new
       FROM v WINDOW w AS (PARTITION BY r, template ORDER BY diagonal)),
 n AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM m),
-s AS (SELECT r, template, span, len(list_distinct(flatten(list(tpos)))) AS covered, min(first) AS start, max(last) AS stop,
-      any_value(label) AS label, any_value(exact) AS exact, any_value(n_runs) AS n_runs, any_value(n_words_t) AS n_words_t
+s AS (SELECT r, template, span, len(list_distinct(flatten(list(tpos)))) AS covered, max(list_max(tpos)) AS reached, min(first) AS start, max(last) AS stop,
+      any_value(label) AS label, any_value(exact) AS exact, any_value(telling) AS telling, any_value(n_runs) AS n_runs, any_value(n_words_t) AS n_words_t
       FROM n GROUP BY ALL),
-f AS (SELECT *, covered / n_runs AS cover FROM s WHERE CASE WHEN exact THEN covered = n_runs
-      ELSE covered / n_runs >= 0.75 AND stop - start <= n_words_t * 1.25 + 3 END),
+q AS (SELECT *, covered / n_runs AS cover, CASE WHEN NOT exact THEN stop END AS stop_by FROM s WHERE CASE WHEN exact THEN covered = n_runs
+      ELSE covered / n_runs >= 0.75 AND stop - start <= n_words_t * 1.25 + 3 AND (NOT telling OR reached = n_runs - 1) END),
+f AS (SELECT * FROM q QUALIFY exact OR NOT (coalesce(max(stop_by) OVER (PARTITION BY r ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= stop, false)
+      OR coalesce(max(stop_by) OVER (PARTITION BY r, start) > stop, false))),
 a AS (SELECT r, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
       array_to_string(list_sort(list(DISTINCT label) FILTER (exact)), ',') AS base_labels,
       array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score, count(*) AS n_spans FROM f GROUP BY r)

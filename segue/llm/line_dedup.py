@@ -1,7 +1,9 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
-Within each host the pages that hold a line are counted and divided by the host's pages; lines above the
-boilerplate ratio are dropped from every page of that host.  Pages keep their row: only the host's short
+Within each host the different pages that hold a line are counted and divided by the host's different pages; lines above
+the boilerplate ratio are dropped from every page of that host.  Copies of a page are one page here, whatever
+their number: near copies mostly share the line of the smallest hash, which stands for them, by four hashes.  So the text of a page that was
+copied often is no boilerplate; its copies are left to near-dedup.  Pages keep their row: only the host's short
 list of boilerplate lines is joined to them, so no text is cut up and put together again.
 """
 
@@ -15,12 +17,17 @@ from segue.session import materialize
 
 MAX_SHARE = 0.05  # boilerplate of one section of a large mixed host is on a few percent of its pages
 MIN_PAGES = 4
+SKETCHES = (1, 17, 33, 49)  # places in a line's 64 hexadecimal digits where its hashes begin
+
+
+def bare(line: Column) -> Column:
+    """A line without outer white space and case."""
+    return F.lower(F.trim(F.translate(line, "\t\x0b\f\r", "    ")))
 
 
 def line_key(line: Column) -> Column:
     """Hash of a line without outer white space and case; null for a blank line."""
-    bare = F.lower(F.trim(F.regexp_replace(line, r"[\t\x0B\f\r]", " ")))
-    return F.when(bare != "", F.xxhash64(bare))
+    return F.when(bare(line) != "", F.xxhash64(bare(line)))
 
 
 def drop_boilerplate(
@@ -28,21 +35,42 @@ def drop_boilerplate(
 ) -> DataFrame:
     """`pages` with the boilerplate lines of their host left out of `text_col`; all other columns as they are.
 
-    A line is boilerplate when it stands in over `max_share` of the host's rows, and in `min_pages` at least
-    (below that a ratio says little).  Repeated lines of a page count once, repeated rows count as pages.
-    Blank lines stay.  A null text stays null and counts as a page without lines; rows with a null host are
-    left as they are; a page that holds boilerplate only becomes an empty text.
+    A line is boilerplate when it stands in over `max_share` of the host's different pages, and in `min_pages` of them at
+    least (below that a ratio says little).  Pages are counted by the smallest hash of their lines, so copies and
+    repeated rows count once (of four such counts the largest holds); a repeated line of a page counts once, and a page without lines does not count.  Blank lines stay.  A null
+    text stays null; rows with a null host are left as they are.  A page all of whose lines are boilerplate has no line of
+    its own that the others could be told from: it stays whole, so no text becomes empty.  Very long texts are
+    worked on whole; an empty table gives an empty result.
     """
-    lines = F.split(F.col(text_col), "\n", -1)
-    rows = pages.select(
-        host.alias("host"),
-        F.array_compact(F.array_distinct(F.transform(F.coalesce(lines, F.array().cast("array<string>")), line_key))).alias("keys"),
-    )
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    full = F.filter(F.transform(lines, bare), lambda l: l != "")
+
+    def digest(l: Column) -> Column:
+        return F.concat(F.md5(l.cast("binary")), F.md5(F.concat(F.lit("+"), l).cast("binary")))
+
+    def least(digests: Column) -> Column:
+        """The smallest of the lines' hashes, by each of the sketches."""
+        return F.array(*[F.array_min(F.transform(digests, lambda d: F.substring(d, at, 16))) for at in SKETCHES])
+
+    # One-element arrays bind what is used more than once, so that it is taken once.
+    taken = F.transform(F.array(full), lambda ls: F.struct(
+        F.array_distinct(F.transform(ls, lambda l: F.xxhash64(l))).alias("keys"),
+        F.when(F.size(ls) > 0, F.transform(F.array(F.transform(ls, digest)), least)[0]).alias("copies"),
+    ))[0]
+    rows = materialize(pages.select(host.alias("host"), taken.alias("taken")).select("host", "taken.*"), "line-keys")
     frequent = frequent_lines(rows, max_share, min_pages).withColumnRenamed("host", "at")
-    joined = with_row(pages, host=host, text=F.col(text_col)).join(frequent, F.col("host") == F.col("at"), "left")
     own = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(own, lambda l: ~F.coalesce(F.array_contains("frequent", line_key(l)), F.lit(False))), "\n")
-    new = F.when(F.col("frequent").isNull(), F.col("text")).otherwise(kept)
+    joined = with_row(pages, host=host, text=F.col(text_col)).join(frequent, F.col("host") == F.col("at"), "left")
+    keys = F.when(F.col("frequent").isNotNull(), F.transform(own, line_key))
+
+    def rewrite(k: Column) -> Column:
+        """The text without the lines whose key, at the same place, is frequent."""
+        hit = F.array_intersect(k, "frequent")
+        left = F.array_except(F.array_compact(k), "frequent")
+        kept = F.array_join(F.filter(own, lambda l, i: ~F.coalesce(F.array_contains(hit, k[i]), F.lit(False))), "\n")
+        return F.when((F.size(hit) == 0) | (F.size(left) == 0), F.col("text")).otherwise(kept)
+
+    new = F.when(F.col("frequent").isNull(), F.col("text")).otherwise(F.transform(F.array(keys), rewrite)[0])
     return joined.select(F.col("row").withField(text_col, new).alias("row")).select("row.*")
 
 
@@ -75,11 +103,14 @@ WITH p AS (SELECT row_number() OVER () AS r, page_id, nullif(lower(regexp_extrac
 l AS (SELECT r, host, text, string_split(text, chr(10)) AS lines FROM p),
 e AS (SELECT r, host, i, lines[i] AS line, lower(trim(regexp_replace(lines[i], '[\t\v\f\r]', ' ', 'g'))) AS bare
       FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l)),
-t AS (SELECT host, count(*) AS total FROM p GROUP BY host),
-f AS (SELECT host, bare FROM (SELECT host, bare, count(DISTINCT r) AS n FROM e WHERE bare <> '' AND host IS NOT NULL GROUP BY ALL)
-      JOIN t USING (host) WHERE n >= {MIN_PAGES} AND n > {MAX_SHARE} * total),
-k AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS kept FROM e
-      LEFT JOIN f ON e.host = f.host AND e.bare = f.bare WHERE f.bare IS NULL GROUP BY r)
+c AS (SELECT r, host, digit, min(substr(md5(bare) || md5('+' || bare), digit, 16)) AS copy FROM e, (SELECT unnest({list(SKETCHES)}) AS digit) AS s
+      WHERE bare <> '' GROUP BY ALL),
+t AS (SELECT host, max(n) AS total FROM (SELECT host, digit, count(DISTINCT copy) AS n FROM c GROUP BY ALL) GROUP BY host),
+f AS (SELECT host, bare FROM (SELECT host, bare, max(n) AS n FROM (SELECT e.host, bare, digit, count(DISTINCT copy) AS n
+      FROM e JOIN c USING (r) WHERE bare <> '' AND e.host IS NOT NULL GROUP BY ALL) GROUP BY ALL) JOIN t USING (host) WHERE n >= {MIN_PAGES} AND n > {MAX_SHARE} * total),
+m AS (SELECT e.*, f.bare IS NOT NULL AS over FROM e LEFT JOIN f ON e.host = f.host AND e.bare = f.bare),
+o AS (SELECT r, bool_or(bare <> '' AND NOT over) AS has_own FROM m GROUP BY r),
+k AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS kept FROM m JOIN o USING (r) WHERE NOT over OR NOT has_own GROUP BY r)
 SELECT page_id, host, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
        CASE WHEN coalesce(kept, '') = '' THEN 0 ELSE len(string_split(kept, chr(10))) END::BIGINT AS n_kept,
        md5(coalesce(kept, '')) AS text_md5

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -40,34 +41,112 @@ def test_license_scan_bridges_changes(spark):
     assert [(s.label, s.start, s.end) for s in got[1]] == [("bsd", 0, len(changed))] and got[2] == []
 
 
+def brute_labels(text, min_cover=0.75, slack=3):
+    """Labels of a text: every template held against every place, spans inside longer ones left out."""
+    found, spans = words(text), []
+    for t in licenses.BASE + licenses.NOTICES:
+        runs = [tuple(t.words[j : j + t.k]) for j in range(len(t.words) - t.k + 1)]
+        hits = {}
+        for i in range(len(found) - t.k + 1):
+            for j, run in enumerate(runs):
+                if tuple(found[i : i + t.k]) == run:
+                    hits.setdefault(i - j, []).append((i, j))
+        groups = []
+        for d in sorted(hits):
+            if groups and not t.exact and d - groups[-1][-1] <= slack:
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for group in groups:
+            own = [h for d in group for h in hits[d]]
+            covered, start, end = {j for _, j in own}, min(i for i, _ in own), max(i for i, _ in own) + t.k
+            if t.exact:
+                good = len(covered) == len(runs)
+            else:
+                good = len(covered) / len(runs) >= min_cover and end - start <= len(t.words) * 1.25 + slack
+                good = good and (not t.telling or len(runs) - 1 in covered)
+            if good:
+                spans.append((t.label, t.exact, start, end))
+    stay = [x for x in spans if x[1] or not any(not y[1] and y[2] <= x[2] and y[3] >= x[3] and y[2:] != x[2:] for y in spans)]
+    return sorted({x[0] for x in stay})
+
+
+SAID = {
+    "This page is licensed under CC BY-NC 4.0 by us": ["cc-by-nc"],
+    "licensed under CC BY 4.0": ["cc-by"], "Licensed under CC-BY-NC-SA.": ["cc-by-nc-sa"], "licensed under CC BY-ND": ["cc-by-nd"],
+    "Our texts are licensed under a Creative Commons Attribution-ShareAlike license": ["cc-by-sa"],
+    "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives license": ["cc-by-nc-nd"],
+    "licensed under a Creative Commons Attribution license": ["cc-by"],
+    "licensed under a Creative Commons Zero dedication": [], "all rights reserved by the author": [],
+    licenses._MIT_WARRANTY: ["mit"], f"x {licenses._ISC_GRANT}, {licenses._ISC_REST} y": ["isc"],
+    f"{licenses._MIT_GRANT}, {licenses._MIT_RIGHTS} {licenses._MIT_WARRANTY}": ["mit"],
+}
+
+
+def test_license_labels_against_brute_force(spark):
+    random.seed(7)
+    notices = [t.text for t in licenses.NOTICES]
+    texts = list(SAID)
+    for _ in range(150):
+        parts = []
+        for _ in range(random.randint(1, 3)):
+            w = random.choice(notices).split()
+            for _ in range(random.randint(0, 2)):
+                w.insert(random.randrange(len(w) + 1), random.choice(["x", "the", "NonCommercial"])) if random.random() < 0.5 else w.pop(random.randrange(len(w)))
+            parts += [*w, *["and"] * random.randint(0, 2)]
+        texts.append(" ".join(parts))
+    assert all(brute_labels(t) == want for t, want in SAID.items())
+    docs = corner_docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    got = {r.doc_id: sorted({s.label for s in r.spans}) for r in licenses.scan(docs, licenses.BASE + licenses.NOTICES).collect()}
+    assert got == {i: brute_labels(t) for i, t in enumerate(texts)}
+
+
 def test_license_scan_of_nothing(spark):
     assert licenses.scan(empty_docs(spark), licenses.BASE).collect() == []
 
 
 def brute_lines(texts, max_share, min_pages):
     norm = lambda l: re.sub(r"[\t\x0b\f\r]", " ", l).strip(" ").lower()
-    host = {}
-    for _, t, _, src in texts:
-        if src is not None:
-            host.setdefault(src, []).append({norm(l) for l in (t or "").split("\n")} - {""})
+    lines_of = [{norm(l) for l in (t or "").split("\n")} - {""} for _, t, *_ in texts]
+    hashed = lambda l: hashlib.md5(l.encode()).hexdigest() + hashlib.md5(b"+" + l.encode()).hexdigest()
+    names = [[min((hashed(l)[at : at + 16] for l in ls), default=None) for at in (0, 16, 32, 48)] for ls in lines_of]
+    host, total = {}, {}
+    for lines, name, (_, _, _, src) in zip(lines_of, names, texts):
+        if src is not None and lines:
+            total.setdefault(src, [set(), set(), set(), set()])
+            for j in range(4):
+                total[src][j].add(name[j])
+                for l in lines:
+                    host.setdefault((src, l), [set(), set(), set(), set()])[j].add(name[j])
     out = []
     for i, t, _, src in texts:
         if t is None or src is None:
             out.append((str(i), t))
             continue
+
         def over(l):
-            n = sum(l in page for page in host[src])
-            return n >= min_pages and n > max_share * len(host[src])
+            n = max((len(x) for x in host.get((src, l), [])), default=0)
+            return n >= min_pages and n > max_share * max(map(len, total[src]))
+
         kept = [l for l in t.split("\n") if not over(norm(l))]
-        out.append((str(i), "\n".join(kept)))
+        out.append((str(i), "\n".join(kept) if any(map(norm, kept)) else t))
     return sorted(out, key=repr)
 
 
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    essay = "An essay of three lines\nthat was copied ten times\nwithin one source"
+    texts = [(i, f"own line {i}\nMenu\nmore own words {i}\nlast line {i}", None, "a") for i in range(90)]
+    texts += [(90 + i, essay, None, "a") for i in range(10)] + [(100 + i, essay + f"\nchanged {i}", None, "b") for i in range(4)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(corner_docs(spark, texts), F.col("source")).collect()}
+    assert all(got[90 + i] == essay for i in range(10)) and all(got[i] == texts[i][1].replace("Menu\n", "") for i in range(90))
+    assert sorted(((str(i), t) for i, t in got.items()), key=repr) == brute_lines(texts, line_dedup.MAX_SHARE, line_dedup.MIN_PAGES)
+
+
 def test_line_dedup_against_brute_force(spark):
     random.seed(2)
     pool = ["Home", " home ", "About us", "x", "y", "", "\t", "z z", "Legal"]
     texts = [(i, "\n".join(random.choices(pool, k=random.randint(0, 6)) + [f"own {i}"]), None, random.choice("ab")) for i in range(60)]
-    texts = [*texts, *[t for t in TEXTS if t[1] != LONG], (70, None, None, "a"), (71, "Home", None, None), (72, "home", None, "c")]
+    texts = [*texts, *TEXTS, (70, None, None, "a"), (71, "Home", None, None), (72, "home", None, "c")]
     got = line_dedup.drop_boilerplate(corner_docs(spark, texts), F.col("source"), max_share=0.3, min_pages=3)
     assert got.columns == corner_docs(spark).columns
     assert sorted(((str(r.doc_id), r.text) for r in got.collect()), key=repr) == brute_lines(texts, 0.3, 3)
