@@ -516,9 +516,9 @@ def identify_held_out(docs: DataFrame, id_col: str = "doc_id", keep: list[str] |
     """`identify` with models and calibration from the rows outside the hold-out.
 
     One scoring pass serves both: the calibration reads the scores of the training rows back."""
-    marked = docs.withColumn("__learn", F.when(~held_out(id_col), F.col("lang")))
-    found = identify(marked, marked, lang_col="__learn", keep=None if keep is None else [*keep, "__learn"])
-    return found.withColumn("row", F.col("row").dropFields("__learn"))
+    marked = with_row(docs, keep, text=F.col("text"), lang=F.when(~held_out(id_col), F.col("lang")))
+    found = identify(marked, marked, keep=["row", "lang"])
+    return found.withColumn("row", F.col("row.row"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,36 @@ def repeated_words(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW)
     return _sum_by(np.cumsum(cover[:-1]) > 0, first)
 
 
+def normal_keys(data: np.ndarray, words: Spans, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of lines of the words a to b - 1: the words in lower case with one blank between."""
+    space = SPACES[data]
+    stays = ~space
+    stays[1:] |= ~space[:-1]
+    place = np.concatenate([[0], np.cumsum(stays)])
+    squeezed = np.where(space, np.uint8(32), LOWER[data])[stays]
+    return span_hashes(squeezed, place[words.starts[a]], place[words.ends[b - 1]])
+
+
+def line_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key of every line, 0 for a blank one, offsets by text); a text has one line more than line ends."""
+    ends = np.flatnonzero(data == 10)
+    owner = np.searchsorted(offs, ends, "right") - 1
+    first = np.arange(len(offs) - 1) + np.searchsorted(ends, offs[:-1])
+    cuts = np.append(first, len(ends) + len(offs) - 1)
+    starts = np.zeros(cuts[-1], np.int64)
+    starts[first] = offs[:-1]
+    starts[np.arange(len(ends)) + owner + 1] = ends + 1
+    stops = np.zeros(cuts[-1], np.int64)
+    stops[cuts[1:] - 1] = offs[1:]
+    stops[np.arange(len(ends)) + owner] = ends
+    words = Spans(data, offs)
+    a, b = np.searchsorted(words.starts, starts), np.searchsorted(words.starts, stops)
+    keys = np.zeros(len(starts), np.uint64)
+    full = b > a
+    keys[full] = normal_keys(data, words, a[full], b[full])
+    return keys, cuts
+
+
 def measure(column: pa.Array) -> dict[str, pa.Array]:
     """The measures of each text of a string column, and the hash and word characters of its distinct lines."""
     data, offs = text_bytes(column)
@@ -84,14 +114,8 @@ def measure(column: pa.Array) -> dict[str, pa.Array]:
     _, at = np.unique(raw, return_index=True)
     n_distinct = np.bincount(text_of_line[at], minlength=n_texts)
 
-    # A normalised line is its words in lower case with one blank between.
-    space = SPACES[data]
-    stays = ~space
-    stays[1:] |= ~space[:-1]
-    place = np.concatenate([[0], np.cumsum(stays)])
-    squeezed = np.where(space, np.uint8(32), LOWER[data])[stays]
     a, b = word_from[full], word_to[full]
-    key = span_hashes(squeezed, place[words.starts[a]], place[words.ends[b - 1]])
+    key = normal_keys(data, words, a, b)
     char_sums = np.concatenate([[0], np.cumsum(chars)])
     own, first_at, which = np.unique(mix(key + salt), return_index=True, return_inverse=True)
     size = np.bincount(which, weights=(char_sums[b] - char_sums[a]), minlength=len(own)).astype(np.int64)
@@ -119,35 +143,61 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines whose key is among `over`."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, offs = text_bytes(batch.column("text"))
+        keys, cuts = line_keys(data, offs)
+        out = []
+        for i, (text, over) in enumerate(zip(batch.column("text").to_pylist(), batch.column("over").to_pylist())):
+            if over and text is not None:
+                gone = np.isin(keys[cuts[i] : cuts[i + 1]], np.array(over, np.int64).view(np.uint64))
+                text = "\n".join(line for line, drop in zip(text.split("\n"), gone.tolist()) if not drop)
+            out.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column("r"), pa.array(out, pa.string())], names=["r", "text"])
+
+
 def apply_rules(
     docs: DataFrame, host: Column, id_col: str = "doc_id", text_col: str = "text", max_share: float = MAX_SHARE,
     min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS,
     max_repeated_percent: int = MAX_REPEATED_PERCENT, max_docs: int | None = MAX_DOCS,
+    with_text: bool = False,
 ) -> DataFrame:
-    """One row per row of `docs`: its measures, base_failed, left_chars and kept.
+    """One row per row of `docs`: its measures, base_failed, left_chars and kept; with `with_text` also the text without the
+    lines over the limits.
 
     A line is its words in lower case.  It is over the limits when over `max_share` of the host's documents
     hold it, and `min_docs` of them at least, or when over `max_docs` of them hold it.  left_chars: word characters outside such lines; a document is
     depleted when they are less than `min_left` of its word characters.  base_failed: fewer than `min_words`
     words, or over `max_repeated_percent` of them in repeated runs of five.  Null and empty texts have no
     words and fail the base rules; a null host shares lines with nothing; repeated rows count as documents
-    and each get a row.  Other columns are not read.
+    and each get a row.  Very long texts are measured whole; an empty table gives an empty result.  Other columns are
+    not read.
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(
         F.monotonically_increasing_id().alias("r"), F.col(id_col).cast("long").alias("id"), host.cast("string").alias("host"),
         F.col(text_col).alias("text"),
     )
+    if with_text:  # row numbers and texts must stay together
+        source = materialize(source, "quality-texts")
     rows = materialize(source.mapInArrow(frugal(_measured), MEASURES), "quality-rules")
     # Written, so that the join with the lines of the documents knows its size.
     over = materialize(lines_over(rows.select("host", "keys"), max_share, min_docs, max_docs), "lines-over")
     held = rows.select("r", "host", F.explode(F.arrays_zip("keys", "sizes")).alias("l")).select("r", "host", F.col("l.keys").alias("line"), "l.sizes")
-    gone = held.join(over, ["host", "line"]).groupBy("r").agg(F.sum("sizes").alias("gone"))
+    gone = held.join(over, ["host", "line"]).groupBy("r").agg(F.sum("sizes").alias("gone"), F.collect_list("line").alias("over"))
+    gone = gone if with_text else gone.drop("over")
     joined = rows.drop("host", "keys", "sizes").join(gone, "r", "left")
     left = F.col("word_chars") - F.coalesce("gone", F.lit(0).cast("long"))
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated_percent * F.col("n_words"))
+    if with_text:
+        lines = gone.select("r", "over")
+        texts = source.select("r", "text").join(lines, "r", "left").mapInArrow(frugal(_stripped), "r long, text string")
+        joined = joined.join(texts.withColumnRenamed("text", "_text"), "r")
     return joined.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.col("id").alias(id_col), *([F.col("_text").alias(text_col)] if with_text else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), left.alias("left_chars"),
         (~base_failed & (left >= min_left * F.col("word_chars"))).alias("kept"),
     )
@@ -170,7 +220,7 @@ rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(ran
       JOIN (SELECT r, g FROM win GROUP BY r, g HAVING count(*) > 1) USING (r, g)) GROUP BY r),
 t AS (SELECT host, count(*) AS total FROM d WHERE host IS NOT NULL GROUP BY host),
 f AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT r) AS n FROM full_l GROUP BY ALL) JOIN t USING (host)
-      WHERE n >= {MIN_DOCS} AND n > {MAX_SHARE} * total),
+      WHERE n >= {MIN_DOCS} AND n > {MAX_SHARE} * total OR n > {MAX_DOCS}),
 gone AS (SELECT r, sum(chars) AS gone FROM full_l JOIN f USING (host, norm) GROUP BY r),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,

@@ -4,7 +4,8 @@ from pyspark.sql import types as T
 
 # Names that the operators use inside, as further columns of the input.
 CLASHES = ["id", "row", "key", "words", "host", "label", "text_of", "score", "predicted", "component_id", "kept", "__host",
-           "__frequent", "sequence_id", "slot", "shard", "lang_pred", "rejected", "n_words", "bucket", "size", "first"]
+           "__frequent", "sequence_id", "slot", "shard", "lang_pred", "rejected", "n_words", "bucket", "size", "first", "__learn",
+           "n", "src", "place", "runs", "collapsed", "copy", "copies", "taken", "frequent", "at"]
 
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),

@@ -192,6 +192,17 @@ def test_quality_rules_reject_depleted_documents(spark):
     got = {r.doc_id: r for r in quality_rules.apply_rules(corner_docs(spark, texts), F.col("source")).collect()}
     assert not any(got[i].kept for i in range(8)) and got[20].kept and got[21].kept and got[22].kept
     assert got[3].left_chars == len("shortown3textoffive")
+    long = [(40 + i, f"own {i}\n\n  {menu.upper()} \n" + ("more\n" * i), None, "c") for i in range(8)] + [(60, None, None, "c"), (61, menu, None, None)]
+    shown = quality_rules.apply_rules(corner_docs(spark, texts + long), F.col("source"), with_text=True).collect()
+    normal = lambda l: " ".join(l.lower().split())
+    held = {}
+    for i, t, _, src in texts + long:
+        for l in {normal(l) for l in (t or "").split("\n")} - {""}:
+            held.setdefault((src, l), set()).add(i)
+    size = {src: sum(x[3] == src for x in texts + long) for src in "abc"}
+    over = {k for k, docs in held.items() if k[0] and len(docs) >= quality_rules.MIN_DOCS and len(docs) > quality_rules.MAX_SHARE * size[k[0]]}
+    want = {i: t if t is None else "\n".join(l for l in t.split("\n") if (src, normal(l)) not in over) for i, t, _, src in texts + long}
+    assert {r.doc_id: r.text for r in shown} == want and want[47] == "own 7\n\n"
 
 
 def test_quality_rules_count_documents_beside_shares(spark):
