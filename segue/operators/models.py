@@ -6,44 +6,35 @@ from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from segue.functions.hashing import hash_below
-from segue.operators.order import dense_ids, encode
 from segue.operators.rank import topk_per_list
 from segue.operators.skew import copy_to_pieces, cut, heavy_keys
+from segue.operators.windows import NEGATIVES, SAMPLE, WINDOW, factors, shifted_information, window_pairs
 from segue.session import materialize
 
-EMBEDDING_SIZE, EMBEDDING_ROUNDS = 100, 10
-
-
-def entity_counts(interactions: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """(pid, key, n): how often a list holds each track, or each album or artist."""
-    rows = interactions.select("pid", F.col("track").alias("key"))
-    if keys is not None:
-        rows = interactions.select("pid", "track").join(keys.toDF("track", "key"), "track").select("pid", "key")
-    return rows.groupBy("pid", "key").agg(F.count(F.lit(1)).alias("n"))
-
-
-def train_embeddings(counts: DataFrame, size: int = EMBEDDING_SIZE, rounds: int = EMBEDDING_ROUNDS, seed: int = 1,
-                     blocks: int = 10) -> DataFrame:
-    """(key, vector) from the counts (pid, key, n): the item factors of implicit alternating least squares.
-
-    Items that stand in the same lists get near vectors.  Lists and items are dealt into blocks, so no machine
-    holds all vectors; `blocks` grows with the table and is not tied to the number of cores."""
-    lists = dense_ids(counts.select("pid"))
-    items = dense_ids(counts.select("key"))
-    rows = encode(encode(counts, lists, "pid", "user"), items, "key", "item")
-    trainer = ALS(rank=size, maxIter=rounds, implicitPrefs=True, alpha=1.0, regParam=0.1, seed=seed, userCol="user",
-                  itemCol="item", ratingCol="n", numUserBlocks=blocks, numItemBlocks=blocks)
-    model = trainer.fit(materialize(rows.select(
-        F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), F.col("n").cast("float").alias("n")
-    ), "als-input"))
-    return model.itemFactors.join(items, "id").select(
-        F.col("value").alias("key"), F.col("features").cast("array<double>").alias("vector")
-    )
+EMBEDDING_SIZE, EMBEDDING_ROUNDS = 100, 4
+
+
+def key_rows(interactions: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(pid, pos, key): the rows of each list as tracks, or as their albums or artists."""
+    if keys is None:
+        return interactions.select("pid", "pos", F.col("track").alias("key"))
+    return interactions.select("pid", "pos", "track").join(keys.toDF("track", "key"), "track").select("pid", "pos", "key")
+
+
+def train_embeddings(rows: DataFrame, size: int = EMBEDDING_SIZE, rounds: int = EMBEDDING_ROUNDS, seed: int = 1,
+                     window: int = WINDOW, negatives: int = NEGATIVES, sample: float = SAMPLE) -> DataFrame:
+    """(key, vector) from `rows` (pid, pos, key): factors of the shifted mutual information of neighbours in the lists.
+
+    Items that stand near the same items get near vectors.  Keys are whole numbers or texts and are not renumbered; an item
+    without a neighbour has no vector."""
+    staged = materialize(rows.select("pid", "pos", "key"), "key-rows")
+    pairs = materialize(window_pairs(staged, window), "window-pairs")
+    counts = materialize(staged.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key-counts")
+    return factors(materialize(shifted_information(pairs, counts, negatives, sample), "information"), size, rounds, seed)
 
 
 # Fixed values of the boosted trees.

@@ -11,7 +11,7 @@ from segue import schemas, sources
 from segue.functions.hashing import hash_below
 from segue.functions.lists import list_concat, list_split, parse_list
 from segue.functions.titles import clean_title, title_ngrams, title_tokens, title_weight
-from segue.operators import cooccur, features, metrics, models, order, rank, relational as rel, retrieve, splits, title
+from segue.operators import cooccur, features, metrics, models, order, rank, relational as rel, retrieve, splits, title, windows
 from segue.plans.challenge import Challenge
 from segue.plans.tables import Tables
 from segue.session import configure, materialize, spread, stage_path
@@ -597,21 +597,33 @@ def svc_rerank_weighted(t: Tables) -> DataFrame:
 # ---- learned features and models
 
 
+@query
+def w2v_pairs(t: Tables) -> DataFrame:
+    """The neighbours that the vectors of tracks are made from."""
+    return windows.window_pairs(models.key_rows(t.train))
+
+
+@query
+def w2v_artist_pairs(t: Tables) -> DataFrame:
+    _, artist = _names(t.items)
+    return windows.window_pairs(models.key_rows(t.train, artist))
+
+
 @query
 def w2v_tracks(t: Tables) -> DataFrame:
-    return models.train_embeddings(models.entity_counts(t.train))
+    return models.train_embeddings(models.key_rows(t.train))
 
 
 @query
 def w2v_albums(t: Tables) -> DataFrame:
     album, _ = _names(t.items)
-    return models.train_embeddings(models.entity_counts(t.train, album))
+    return models.train_embeddings(models.key_rows(t.train, album))
 
 
 @query
 def w2v_artists(t: Tables) -> DataFrame:
     _, artist = _names(t.items)
-    return models.train_embeddings(models.entity_counts(t.train, artist))
+    return models.train_embeddings(models.key_rows(t.train, artist))
 
 
 @query

@@ -143,7 +143,7 @@ class Challenge:
         album, artist = self.items.select("track", "album"), self.items.select("track", "artist")
         out = {}
         for name, keys in (("w2v_track_sim", None), ("w2v_album_sim", album), ("w2v_artist_sim", artist)):
-            found = models.train_embeddings(models.entity_counts(rows, keys), self.vector_size, self.vector_rounds)
+            found = models.train_embeddings(models.key_rows(rows, keys), self.vector_size, self.vector_rounds)
             out[name] = (materialize(found, "vectors"), keys)
         return out
 

@@ -380,9 +380,17 @@ _RAW: dict[str, str] = {
 }
 
 
+# Neighbours within five places of the training lists; K is the expression of the key.
+_PLACED = "SELECT pid, K AS key, row_number() OVER (PARTITION BY pid ORDER BY pos, K) AS at FROM train JOIN items USING (track)"
+_WINDOW_PAIRS = """SELECT least(x.key, y.key) AS a, greatest(x.key, y.key) AS b, sum(6 - (y.at - x.at))::BIGINT AS weight, count(*) AS n
+    FROM placed x JOIN placed y ON x.pid = y.pid AND y.at > x.at AND y.at <= x.at + 5 AND x.key <> y.key GROUP BY 1, 2"""
+
+
 def _build() -> dict[str, str]:
     out = {name: sql(body) for name, body in _RAW.items()}
     out["evaluate_cf"] = sql(_RAW["metric_mean"], CF_PARTS)
+    for name, key in (("w2v_pairs", "track"), ("w2v_artist_pairs", "artist")):
+        out[name] = sql(f", placed AS ({_PLACED}) {_WINDOW_PAIRS}".replace("K AS key", f"{key} AS key").replace("pos, K", f"pos, {key}"))
     docs = "SELECT 'doc' AS kind, doc_id AS id, 0 AS turn, text FROM documents"
     talk = "SELECT 'conv' AS kind, conv_id AS id, turn, text FROM conversations"
     out["clean_title"] = f"WITH texts AS ({docs} UNION ALL {talk})," + _clean_sql("texts", "kind, id, turn") + \

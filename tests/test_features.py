@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from segue.operators import features, models, rank
+from segue.operators import features, models, rank, windows
 from segue.operators.cooccur import cells_of, normalised_features
 from tests.lists import random_interactions
 
@@ -80,18 +80,52 @@ def test_vector_topk(spark, vectors, monkeypatch, block):
     assert not [r for r in got if r["pid"] == 4]
 
 
-def test_embeddings_of_planted_groups(spark):
-    """Items that stand in the same lists lie nearer to each other than to the others."""
+@pytest.mark.parametrize("window", [1, 5])
+def test_window_pairs_equal_brute_force(spark, window):
+    rng = np.random.default_rng(3)
+    rows = [(int(p), int(rng.integers(0, 30)), int(rng.integers(0, 6))) for p in rng.integers(0, 4, 200)]
+    want = {}
+    for pid in {r[0] for r in rows}:
+        keys = [k for _, k in sorted((pos, k) for p, pos, k in rows if p == pid)]
+        for i, x in enumerate(keys):
+            for j in range(i + 1, min(i + window + 1, len(keys))):
+                if x != keys[j]:
+                    n, w = want.get((min(x, keys[j]), max(x, keys[j])), (0, 0))
+                    want[min(x, keys[j]), max(x, keys[j])] = (n + 1, w + window + 1 - (j - i))
+    got = windows.window_pairs(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("track", "key"), window)
+    assert {(r["a"], r["b"]): (r["n"], r["weight"]) for r in got.collect()} == want
+
+
+def test_factors_rebuild_a_small_matrix(spark, monkeypatch):
+    """The vectors of a matrix of low rank multiply to the matrix; cut cells give the same."""
+    rng = np.random.default_rng(4)
+    base = rng.random((12, 3))
+    matrix = base @ base.T
+    cells = spark.createDataFrame([(f"k{i}", f"k{j}", float(matrix[i, j])) for i in range(12) for j in range(12)], "a string, b string, v double")
+    for block in (200_000, 5):
+        got = {r["key"]: np.array(r["vector"]) for r in windows.factors(cells, size=3, rounds=3, cells_per_block=block).collect()}
+        table = np.array([got[f"k{i}"] for i in range(12)])
+        assert np.allclose(table @ table.T, matrix, atol=1e-3)
+
+
+def test_neighbours_are_nearer_than_list_mates(spark):
+    """All lists hold all items; items of one group stand side by side, the groups in another order each time."""
     rng = np.random.default_rng(1)
-    rows = [(p, i, (p % 3) * 10 + int(t)) for p in range(90) for i, t in enumerate(rng.choice(10, 6, replace=False))]
+    rows = []
+    for p in range(40):
+        at = 0
+        for g in rng.permutation(8):
+            for t in rng.permutation(6):
+                rows.append((p, at, int(g * 10 + t)))
+                at += 1
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r["key"]: np.array(r["vector"]) for r in models.train_embeddings(models.entity_counts(df), size=8, rounds=5).collect()}
+    got = {r["key"]: np.array(r["vector"]) for r in models.train_embeddings(models.key_rows(df), size=8, negatives=1).collect()}
     assert set(got) == {r[2] for r in rows} and all(len(v) == 8 for v in got.values())
     near = [cosine(got[a], got[b]) for a in got for b in got if a < b and a // 10 == b // 10]
     far = [cosine(got[a], got[b]) for a in got for b in got if a < b and a // 10 != b // 10]
-    assert np.mean(near) > np.mean(far) + 0.3
-    keys = spark.createDataFrame([(t, f"artist {t // 10}") for t in range(30)], "track bigint, artist string")
-    assert {r["key"] for r in models.train_embeddings(models.entity_counts(df, keys), size=4, rounds=2).collect()} == {"artist 0", "artist 1", "artist 2"}
+    assert min(near) > max(far) and np.mean(near) > np.mean(far) + 0.5
+    keys = spark.createDataFrame([(g * 10 + t, f"artist {g}") for g in range(8) for t in range(6)], "track bigint, artist string")
+    assert {r["key"] for r in models.train_embeddings(models.key_rows(df, keys), size=4).collect()} == {f"artist {g}" for g in range(8)}
 
 
 def test_truth_leaves_the_query_out(spark):
