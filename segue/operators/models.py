@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel, Pipeline
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from segue.functions.hashing import hash_below
-from segue.operators.rank import topk_per_list
+from segue.operators.listmodels import STEPS, candidate_rows, decide, fit_lists, packed
+from segue.operators.rank import rounded, topk_per_list
 from segue.operators.skew import copy_to_pieces, cut, heavy_keys
 from segue.operators.windows import NEGATIVES, SAMPLE, WINDOW, factors, shifted_information, window_pairs
 from segue.session import materialize
@@ -47,27 +51,73 @@ def model_inputs(features: DataFrame) -> list[str]:
     return [c for c in GBT_INPUTS if c in features.columns]
 
 
-def gbt_train(features: DataFrame, rounds: int = GBT_ROUNDS, rate: float = GBT_RATE, rows: float = GBT_ROWS,
-              seed: int = 1, test_ratio: float = 0.2) -> PipelineModel:
-    """Boosted regression trees on the 0/1 label; the lists of the test share steer early stopping.
-
-    Training passes over the table once per tree level, so it is written as a stage first."""
-    marked = materialize(features.withColumn("is_valid", hash_below(test_ratio, "pid", seed=seed)), "gbt-input")
-    assemble = VectorAssembler(inputCols=model_inputs(features), outputCol="features")
-    trees = GBTRegressor(
-        featuresCol="features", labelCol="label", predictionCol="prob", maxDepth=GBT_DEPTH, maxIter=rounds,
-        stepSize=rate, subsamplingRate=rows, featureSubsetStrategy=GBT_FEATURES, seed=seed,
-        validationIndicatorCol="is_valid", validationTol=0.0,
-    )
-    return Pipeline(stages=[assemble, trees]).fit(marked)
+GBT_PATIENCE = 5
+FIRST_ROUNDS = 25
 
 
-def gbt_score(model: PipelineModel, features: DataFrame) -> DataFrame:
-    return model.transform(features).select("pid", "track", "cf_prob", "prob")
+@dataclass(frozen=True)
+class Boosted:
+    """Trees cut at their best round, and the squared error on the validation lists after each round that was tried."""
 
+    model: PipelineModel
+    rounds: int
+    errors: list[float]
+    auc: float | None
 
-def tree_model(model: PipelineModel) -> GBTRegressionModel:
-    return model.stages[-1]
+    @property
+    def trees(self) -> GBTRegressionModel:
+        return self.model.stages[-1]
+
+
+def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """(rounds up to the smallest error, whether `patience` rounds passed without a smaller one)."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def gbt_train(features: DataFrame, rounds: int = GBT_ROUNDS, rate: float = GBT_RATE, rows: float = GBT_ROWS,
+              seed: int = 1, test_ratio: float = 0.2, patience: int = GBT_PATIENCE) -> Boosted:
+    """Boosted regression trees on the 0/1 label, stopped after `patience` rounds without a smaller error on the lists of
+    the test share, and cut at the best round.
+
+    A fit of n rounds gives the first n trees of every longer fit with the same seed, so the length is doubled until the
+    error has stopped falling, and the trees are fit once more up to the best round: about three times
+    the rounds that are kept, whatever `rounds` allows.  Training passes over the table once per tree level, so it
+    is written as a stage first.  Without a list in the test share all rounds are kept."""
+    inputs = VectorAssembler(inputCols=model_inputs(features), outputCol="features")
+    marked = materialize(inputs.transform(features.withColumn("is_valid", hash_below(test_ratio, "pid", seed=seed))).select(
+        "features", "label", "is_valid"
+    ), "gbt-input")
+    fitting, held = marked.filter("NOT is_valid"), marked.filter("is_valid")
+
+    def fit(n: int) -> GBTRegressionModel:
+        return GBTRegressor(
+            featuresCol="features", labelCol="label", predictionCol="prob", maxDepth=GBT_DEPTH, maxIter=n,
+            stepSize=rate, subsamplingRate=rows, featureSubsetStrategy=GBT_FEATURES, seed=seed,
+        ).fit(fitting)
+
+    watched = not held.isEmpty()
+    length = min(FIRST_ROUNDS, rounds) if watched else rounds
+    while True:
+        trees = fit(length)
+        errors = trees.evaluateEachIteration(held, "squared") if watched else []
+        keep, over = best_round(errors, patience) if watched else (length, True)
+        if over or length == rounds:
+            break
+        length = min(2 * length, rounds)
+    if keep < length:
+        trees = fit(keep)
+    auc = BinaryClassificationEvaluator(rawPredictionCol="prob", labelCol="label").evaluate(trees.transform(held)) if watched else None
+    return Boosted(PipelineModel([inputs, trees]), keep, errors, auc)
+
+
+def gbt_score(boosted: Boosted, features: DataFrame) -> DataFrame:
+    return boosted.model.transform(features).select("pid", "track", "cf_prob", "prob")
 
 
 def svc_features(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -99,9 +149,19 @@ def svc_features(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
 SVC_INPUTS = ["v_sum", "v_mean", "v_max", "v_count"]
 
 
-def svc_rerank(features: DataFrame, c: float, k: int = 500, max_iter: int = 100) -> DataFrame:
-    """(pid, track, score, rank): candidates by the decision value of one linear SVC that tells seeds
-    from the other tracks; seeds are not returned.
+def svc_rerank(pairs: DataFrame, seeds: DataFrame, tracks: int | DataFrame, c: float, k: int = 500, steps: int = STEPS) -> DataFrame:
+    """(pid, track, score, rank): candidates by the decision value of their list's own linear SVC, which tells the list's seeds
+    from all other tracks by the values `pairs` of its seeds; seeds are not returned.
+
+    All models are fit together, see `listmodels`; `c` weighs the summed loss."""
+    packs = materialize(packed(candidate_rows(pairs, seeds, tracks)), "list-packs")
+    decided = decide(packs, fit_lists(packs, c, steps)).filter("label = 0")
+    return topk_per_list(decided.select(F.col("test").alias("pid"), "track", rounded("score").alias("score")), k)
+
+
+def svc_rerank_pooled(features: DataFrame, c: float, k: int = 500, max_iter: int = 100) -> DataFrame:
+    """(pid, track, score, rank): candidates by the decision value of one linear SVC for all lists, on the statistics of
+    `svc_features`; seeds are not returned.
 
     The usual C weighs the summed loss, Spark's regParam the mean loss, hence 1 / (C n)."""
     staged = materialize(VectorAssembler(inputCols=SVC_INPUTS, outputCol="features").transform(features), "svc-input")

@@ -11,7 +11,7 @@ from segue import schemas, sources
 from segue.functions.hashing import hash_below
 from segue.functions.lists import list_concat, list_split, parse_list
 from segue.functions.titles import clean_title, title_ngrams, title_tokens, title_weight
-from segue.operators import cooccur, features, metrics, models, order, rank, relational as rel, retrieve, splits, title, windows
+from segue.operators import cooccur, features, listmodels, metrics, models, order, rank, relational as rel, retrieve, splits, title, windows
 from segue.plans.challenge import Challenge
 from segue.plans.tables import Tables
 from segue.session import configure, materialize, spread, stage_path
@@ -21,7 +21,6 @@ QUERIES: dict[str, Query] = {}
 
 TOP = 500  # recommendation depth
 SHOWN = 10  # depth of the small top-k reports
-GBT_ROUNDS = SVC_ITER = 10  # training length of the registered queries
 
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -572,26 +571,37 @@ def cooc_weighted_features(t: Tables) -> DataFrame:
     return v.select("test", "seed", "track", F.round("v", 6).alias("v"))
 
 
-def _svc_table(t: Tables, weighted: bool) -> DataFrame:
-    seeds, _ = t.holdout()
+def _values(t: Tables, seeds: DataFrame, weighted: bool) -> DataFrame:
     build = cooccur.weighted_features if weighted else cooccur.normalised_features
-    return models.svc_features(build(seeds, cooccur.cells_of(t.train, counted=True)), seeds)
+    return build(seeds, cooccur.cells_of(t.train, counted=True))
 
 
 @query
 def svc_features(t: Tables) -> DataFrame:
-    table = _svc_table(t, weighted=False)
+    seeds, _ = t.holdout()
+    table = models.svc_features(_values(t, seeds, weighted=False), seeds)
     return table.select("test", "track", "label", "v_count", *[F.round(c, 6).alias(c) for c in ("v_sum", "v_mean", "v_max")])
 
 
+@query
+def svc_rows(t: Tables) -> DataFrame:
+    """What each list's own model is fit on: the values of its candidates by its seeds."""
+    seeds, _ = t.holdout()
+    rows = listmodels.candidate_rows(_values(t, seeds, weighted=False), seeds, t.items)
+    return rows.select("test", "k", "track", F.col("label").cast("int").alias("label"), "times", F.size("at").alias("n_terms"),
+                       F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("v_sum"))
+
+
 @query
 def svc_rerank(t: Tables) -> DataFrame:
-    return models.svc_rerank(_svc_table(t, weighted=False), c=0.05, k=TOP, max_iter=SVC_ITER)
+    seeds, _ = t.holdout()
+    return models.svc_rerank(_values(t, seeds, weighted=False), seeds, t.items, c=0.05, k=TOP)
 
 
 @query
 def svc_rerank_weighted(t: Tables) -> DataFrame:
-    return models.svc_rerank(_svc_table(t, weighted=True), c=0.8, k=TOP, max_iter=SVC_ITER)
+    seeds, _ = t.holdout()
+    return models.svc_rerank(_values(t, seeds, weighted=True), seeds, t.items, c=0.8, k=TOP)
 
 
 # ---- learned features and models
@@ -666,15 +676,22 @@ def feature_table(t: Tables) -> DataFrame:
 def gbt_train(t: Tables) -> DataFrame:
     """The trained model's feature importances."""
     table = _feature_table(t)
-    model = models.gbt_train(table, rounds=GBT_ROUNDS, rate=0.1)
-    weights = models.tree_model(model).featureImportances.toArray().tolist()
+    weights = models.gbt_train(table).trees.featureImportances.toArray().tolist()
     return t.spark.createDataFrame(list(zip(models.model_inputs(table), weights)), "feature string, importance double")
 
 
+@query
+def gbt_report(t: Tables) -> DataFrame:
+    """The squared error on the validation lists after each round that was tried, and the area under the curve of the kept rounds."""
+    done = models.gbt_train(_feature_table(t))
+    rows = [(i + 1, e, i + 1 <= done.rounds, done.auc) for i, e in enumerate(done.errors)]
+    return t.spark.createDataFrame(rows, "round int, squared_error double, kept boolean, auc double")
+
+
 @query
 def gbt_score(t: Tables) -> DataFrame:
     table = materialize(_feature_table(t), "features")
-    return models.gbt_score(models.gbt_train(table, rounds=GBT_ROUNDS, rate=0.1), table)
+    return models.gbt_score(models.gbt_train(table), table)
 
 
 @query
@@ -751,11 +768,19 @@ def evaluate_title(t: Tables) -> DataFrame:
 
 @query
 def evaluate_svc(t: Tables) -> DataFrame:
-    """Test lists: the co-occurrence order, and that of the classifier on the same seeds."""
+    """Test lists: the co-occurrence order, and that of each list's own classifier on the same seeds."""
     seeds, truth = t.holdout()
     found = retrieve.cf_recommend(seeds, cooccur.cells_of(t.train), TOP)
-    table = models.svc_features(cooccur.normalised_features(seeds, cooccur.cells_of(t.train, counted=True)), seeds)
-    return _before_and_after(found, models.svc_rerank(table, c=0.05, k=TOP, max_iter=SVC_ITER), truth)
+    return _before_and_after(found, models.svc_rerank(_values(t, seeds, weighted=False), seeds, t.items, c=0.05, k=TOP), truth)
+
+
+@query
+def evaluate_svc_pooled(t: Tables) -> DataFrame:
+    """Test lists: one classifier for all lists, and each list's own."""
+    seeds, truth = t.holdout()
+    values = materialize(_values(t, seeds, weighted=False), "values")
+    pooled = models.svc_rerank_pooled(models.svc_features(values, seeds), c=0.05, k=TOP)
+    return _before_and_after(pooled, models.svc_rerank(values, seeds, t.items, c=0.05, k=TOP), truth)
 
 
 @query
@@ -767,7 +792,7 @@ def evaluate_gbt(t: Tables) -> DataFrame:
         found, truth, seeds, t.encoded_items, t.lists, rel.track_freq(t.train), {"w2v_track_sim": (t.vectors, None)}
     )
     table = materialize(table.withColumn("fit", hash_below(0.5, "pid", seed=2)), "features")
-    model = models.gbt_train(table.filter("fit").drop("fit"), rounds=GBT_ROUNDS, rate=0.1)
+    model = models.gbt_train(table.filter("fit").drop("fit"))
     asked = table.filter("NOT fit").drop("fit")
     after = rank.rank_emit(models.gbt_score(model, asked), seeds, TOP + 50, TOP, "prob")
     before = rank.topk_per_list(asked.select("pid", "track", "cf_prob"), TOP, "cf_prob")

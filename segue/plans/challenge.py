@@ -8,11 +8,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from segue.functions.hashing import hash_below, stable_hash
 from segue.operators import cooccur, features, models, order, rank, relational as rel, retrieve, splits, title
+from segue.operators.listmodels import STEPS
 from segue.plans.tables import Tables
 from segue.session import materialize
 
@@ -68,15 +68,14 @@ class Challenge:
     rate: float = models.GBT_RATE
     vector_size: int = models.EMBEDDING_SIZE
     vector_rounds: int = models.EMBEDDING_ROUNDS
-    svc_iter: int = 100
+    svc_steps: int = STEPS
     holdout_lists: int = HOLDOUT_LISTS
     _held: dict[int, DataFrame] = field(default_factory=dict)
     _holdouts: dict[int, DataFrame] = field(default_factory=dict)
 
     @classmethod
-    def from_tables(cls, t: Tables, rounds: int = 5, rate: float = 0.1, vector_size: int = 16,
-                    vector_rounds: int = 5, svc_iter: int = 10) -> "Challenge":
-        """A short training run over the star schema."""
+    def from_tables(cls, t: Tables) -> "Challenge":
+        """The run over the star schema, with all trainings at full length."""
         marked = splits.split_lists(t.sized_lists)
         test = marked.filter("is_test")
         # The seeds of a test list are its first rows; lists with a longer title give them shuffled.
@@ -92,8 +91,6 @@ class Challenge:
         return cls(
             materialize(t.train, "train"), materialize(marked.filter("not is_test").drop("is_test"), "lists"),
             materialize(test.drop("is_test"), "test-lists"), materialize(seeds, "test-seeds"), t.encoded_items,
-            rounds=rounds, rate=rate, vector_size=vector_size, vector_rounds=vector_rounds,
-            svc_iter=svc_iter,
         )
 
     @cached_property
@@ -164,7 +161,7 @@ class Challenge:
     def two_stage(self, plan: TwoStage, pids: DataFrame, seeds: DataFrame) -> DataFrame:
         table = self.holdout(plan.seeds)
         unused = ([] if plan.freq else ["freq"]) + ([] if plan.names else features.NAME_COLUMNS)
-        model: PipelineModel = models.gbt_train(
+        model = models.gbt_train(
             table.drop(*unused), self.rounds, self.rate, plan.rows, seed=VALID_SEED
         )
         found = retrieve.cf_recommend(seeds, self.cells, self.depth).withColumnRenamed("score", "cf_prob")
@@ -176,8 +173,7 @@ class Challenge:
 
     def classified(self, plan: Classifier, seeds: DataFrame) -> DataFrame:
         build = cooccur.weighted_features if plan.weighted else cooccur.normalised_features
-        table = models.svc_features(build(seeds, self.counted_cells), seeds)
-        return models.svc_rerank(table, plan.c, self.width, self.svc_iter)
+        return models.svc_rerank(build(seeds, self.counted_cells), seeds, self.items, plan.c, self.width, self.svc_steps)
 
     def from_titles(self, pids: DataFrame) -> DataFrame:
         titled = rel.drop_null_lists(self.lists, ["clean"])

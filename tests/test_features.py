@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
 
-from segue.operators import features, models, rank, windows
-from segue.operators.cooccur import cells_of, normalised_features
+from segue.operators import features, listmodels, models, rank, windows
+from segue.operators.cooccur import cells_of, normalised_features, weighted_features
+from segue.session import materialize
 from tests.lists import random_interactions
 
 SCHEMA = "pid bigint, pos bigint, track bigint"
@@ -147,7 +148,7 @@ def test_svc_beats_the_first_order_on_planted_lists(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     seeds = spark.createDataFrame([(900, 0, 1)], SCHEMA)
     table = models.svc_features(normalised_features(seeds, cells_of(df, counted=True)), seeds)
-    best = models.svc_rerank(table, c=1.0, k=5, max_iter=50).collect()
+    best = models.svc_rerank_pooled(table, c=1.0, k=5, max_iter=50).collect()
     assert {r["track"] for r in best} == {0, 2}
 
 
@@ -162,16 +163,101 @@ def test_svc_leaves_a_tracks_own_term_out_and_returns_no_seed(spark):
         terms = [v[s, r["track"]] for p, s in own if p == r["test"] and s != r["track"] and (s, r["track"]) in v]
         assert r["label"] == int((r["test"], r["track"]) in own)
         assert r["v_count"] == len(terms) and abs(r["v_sum"] - sum(terms)) < 1e-9
-    best = models.svc_rerank(table, c=0.05, k=10, max_iter=5).collect()
+    best = models.svc_rerank_pooled(table, c=0.05, k=10, max_iter=5).collect()
     assert best and not own & {(r["pid"], r["track"]) for r in best}
     assert all(np.isfinite(r["score"]) and 1 <= r["rank"] <= 10 for r in best)
 
 
+def brute_svc(x, y, times, c):
+    """The minimum of (|w|^2 + b^2) / 2 + c * sum of squared hinge losses, by many small steps of a Newton method."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+
+    def at(w):
+        short = np.maximum(1 - y * (x @ w), 0)
+        on = short > 0
+        gradient = w - 2 * c * (times * y * short) @ x
+        return w @ w / 2 + c * (times * short**2).sum(), gradient, np.eye(len(w)) + 2 * c * (x[on].T * times[on]) @ x[on]
+
+    w = np.zeros(x.shape[1])
+    for _ in range(500):
+        loss, gradient, curve = at(w)
+        step, t = -np.linalg.solve(curve, gradient), 1.0
+        while at(w + t * step)[0] > loss + 1e-4 * t * (gradient @ step) and t > 1e-12:
+            t /= 2
+        w = w + t * step
+    return w
+
+
+@pytest.mark.parametrize("rows_per_pack", [2000, 7])
+def test_models_of_lists_equal_brute_force(spark, rows_per_pack):
+    df = spark.createDataFrame(random_interactions(), SCHEMA)
+    seeds = spark.createDataFrame([(100 + i % 4, i, i % 9) for i in range(16)] + [(200, 0, 7777), (201, 0, 3), (201, 1, 3)], SCHEMA)
+    n_tracks = 200
+    for weighted in (False, True):
+        pairs = (weighted_features if weighted else normalised_features)(seeds, cells_of(df, counted=True))
+        packs = listmodels.packed(listmodels.candidate_rows(pairs, seeds, n_tracks), rows_per_pack)
+        weights = {r["test"]: np.array(r["w"]) for r in listmodels.fit_lists(packs, c=0.5).collect()}
+        scores = {(r["test"], r["track"]): (r["label"], r["score"]) for r in listmodels.decide(packs, listmodels.fit_lists(packs, c=0.5)).collect()}
+        values = {(r["test"] if weighted else None, r["seed"], r["track"]): r["v"] for r in pairs.collect()}
+        own = {}
+        for r in seeds.collect():
+            own.setdefault(r["pid"], set()).add(r["track"])
+        assert set(weights) == set(own)
+        for test, held in own.items():
+            order = sorted(held)
+            tracks = sorted({t for (p, s, t) in values if s in held and p in (None, test)} | held)
+            x = np.array([[values.get((test if weighted else None, s, t), 0.0) for s in order] for t in tracks] + [[0.0] * len(order)])
+            y = np.array([1.0 if t in held else -1.0 for t in tracks] + [-1.0])
+            want = brute_svc(x, y, np.array([1.0] * len(tracks) + [n_tracks - len(tracks)]), 0.5)
+            assert np.allclose(weights[test], want, rtol=1e-4, atol=1e-6)
+            assert {t for p, t in scores if p == test} == set(tracks)
+            for t, row in zip(tracks, x):
+                label, score = scores[test, t]
+                assert label == (t in held) and abs(score - (row @ want[:-1] + want[-1])) < 1e-4
+        best = models.svc_rerank(pairs, seeds, n_tracks, c=0.5, k=10).collect()
+        assert best and not [r for r in best if r["track"] in own[r["pid"]]]
+
+
+def test_own_models_beat_one_for_all(spark):
+    """Lists of a rare and a popular seed: each list's own weights put what stands beside both its seeds first; the statistics
+    that one model has for all lists cannot tell the seeds apart."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(6):  # groups of tracks g*10 .. g*10+9 stand together; track 900 + g stands everywhere
+        for p in range(30):
+            held = [*(g * 10 + rng.choice(10, 5, replace=False)), 900 + int(rng.integers(0, 6)), *(1000 + rng.integers(0, 40, 3))]
+            rows += [(g * 100 + p, i, int(t)) for i, t in enumerate(held)]
+    seeds = [(5000 + g, i, t) for g in range(6) for i, t in enumerate([g * 10, g * 10 + 1, g * 10 + 2, 900, 901, 902])]
+    df, asked = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(seeds, SCHEMA)
+    pairs = materialize(normalised_features(asked, cells_of(df, counted=True)), "pairs")
+
+    def hits(ranked):
+        return sum(10 * (r["pid"] - 5000) + 3 <= r["track"] < 10 * (r["pid"] - 5000) + 10 for r in ranked.collect())
+
+    own = hits(models.svc_rerank(pairs, asked, 1200, c=0.05, k=7))
+    pooled = hits(models.svc_rerank_pooled(models.svc_features(pairs, asked), c=0.05, k=7))
+    assert own > pooled or own == 42, (own, pooled)
+
+
+def test_trees_stop_after_patience_and_keep_the_best_round(spark):
+    assert models.best_round([5, 4, 3, 3.5, 3.2, 3.1], 3) == (3, True)
+    assert models.best_round([5, 4, 3, 3.5, 3.2], 3) == (3, False) and models.best_round([1.0], 5) == (1, False)
+    rng = np.random.default_rng(6)
+    rows = [(p, t, float(a), float(b), int(rng.random() < 0.15 + 0.7 * (a > 0.4))) for p in range(80) for t in range(8) for a, b in [rng.random(2)]]
+    table = spark.createDataFrame(rows, "pid bigint, track bigint, cf_prob double, cf_rlt_prob double, label int")
+    done = models.gbt_train(table, rounds=200, rate=0.3)
+    assert done.rounds < 200 and len(done.errors) < 200 and done.trees.getNumTrees == done.rounds
+    assert done.errors[done.rounds - 1] == min(done.errors[: done.rounds + 5]) and done.auc > 0.7
+    slow = models.gbt_train(table, rounds=60, rate=0.05)
+    assert slow.rounds > done.rounds and slow.errors[slow.rounds - 1] < slow.errors[0]
+    longer = models.gbt_train(table, rounds=slow.rounds + 3, rate=0.05, patience=1000)
+    assert [t.toDebugString.split("\n", 1)[1] for t in longer.trees.trees[: slow.rounds]] == [t.toDebugString.split("\n", 1)[1] for t in slow.trees.trees]
+
+
 def test_boosted_trees_learn_the_label(spark):
     rows = [(p, t, t / 10.0, 1.0 + t / 10, int(t > 6)) for p in range(60) for t in range(10)]
     table = spark.createDataFrame(rows, "pid bigint, track bigint, cf_prob double, cf_rlt_prob double, label int")
-    model = models.gbt_train(table, rounds=8, rate=0.3)
-    scored = models.gbt_score(model, table)
+    scored = models.gbt_score(models.gbt_train(table, rounds=8, rate=0.3), table)
     means = {r["label"]: r["m"] for r in scored.join(table.select("pid", "track", "label"), ["pid", "track"])
              .groupBy("label").agg({"prob": "avg"}).toDF("label", "m").collect()}
     assert means[1] > means[0] + 0.5
