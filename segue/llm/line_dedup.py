@@ -4,7 +4,8 @@ Within each host the different pages that hold a line are counted and divided by
 the boilerplate ratio are dropped from every page of that host.  Copies of a page are one page here, whatever
 their number: near copies mostly share the line of the smallest hash, which stands for them, by four hashes.  So the text of a page that was
 copied often is no boilerplate; its copies are left to near-dedup.  Pages keep their row: only the host's short
-list of boilerplate lines is joined to them, so no text is cut up and put together again.
+list of boilerplate lines is joined to them, so no text is cut up and put together again.  Lines are hashed once: the hashes are
+written beside the rows, for the counts and for the places of the lines.
 """
 
 from __future__ import annotations
@@ -25,11 +26,6 @@ def bare(line: Column) -> Column:
     return F.lower(F.trim(F.translate(line, "\t\x0b\f\r", "    ")))
 
 
-def line_key(line: Column) -> Column:
-    """Hash of a line without outer white space and case; null for a blank line."""
-    return F.when(bare(line) != "", F.xxhash64(bare(line)))
-
-
 def drop_boilerplate(
     pages: DataFrame, host: Column, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES
 ) -> DataFrame:
@@ -42,8 +38,6 @@ def drop_boilerplate(
     its own that the others could be told from: it stays whole, so no text becomes empty.  Very long texts are
     worked on whole; an empty table gives an empty result.
     """
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    full = F.filter(F.transform(lines, bare), lambda l: l != "")
 
     def digest(l: Column) -> Column:
         return F.concat(F.md5(l.cast("binary")), F.md5(F.concat(F.lit("+"), l).cast("binary")))
@@ -52,25 +46,30 @@ def drop_boilerplate(
         """The smallest of the lines' hashes, by each of the sketches."""
         return F.array(*[F.array_min(F.transform(digests, lambda d: F.substring(d, at, 16))) for at in SKETCHES])
 
+    def names(bares: Column) -> Column:
+        full = F.filter(bares, lambda l: l != "")
+        return F.struct(
+            F.transform(bares, lambda l: F.when(l != "", F.xxhash64(l))).alias("keys"),
+            F.when(F.exists(bares, lambda l: l != ""), F.transform(F.array(F.transform(full, digest)), least)[0]).alias("copies"),
+        )
+
     # One-element arrays bind what is used more than once, so that it is taken once.
-    taken = F.transform(F.array(full), lambda ls: F.struct(
-        F.array_distinct(F.transform(ls, lambda l: F.xxhash64(l))).alias("keys"),
-        F.when(F.size(ls) > 0, F.transform(F.array(F.transform(ls, digest)), least)[0]).alias("copies"),
-    ))[0]
-    rows = materialize(pages.select(host.alias("host"), taken.alias("taken")).select("host", "taken.*"), "line-keys")
+    bares = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), bare)
+    named = with_row(pages, host=host, named=F.transform(F.array(bares), names)[0])
+    staged = materialize(named.select("row", "host", "named.*"), "line-keys")
+    rows = staged.select("host", F.array_distinct(F.array_compact("keys")).alias("keys"), "copies")
     frequent = frequent_lines(rows, max_share, min_pages).withColumnRenamed("host", "at")
-    own = F.split("text", "\n", -1)
-    joined = with_row(pages, host=host, text=F.col(text_col)).join(frequent, F.col("host") == F.col("at"), "left")
-    keys = F.when(F.col("frequent").isNotNull(), F.transform(own, line_key))
-
-    def rewrite(k: Column) -> Column:
-        """The text without the lines whose key, at the same place, is frequent."""
-        hit = F.array_intersect(k, "frequent")
-        left = F.array_except(F.array_compact(k), "frequent")
-        kept = F.array_join(F.filter(own, lambda l, i: ~F.coalesce(F.array_contains(hit, k[i]), F.lit(False))), "\n")
-        return F.when((F.size(hit) == 0) | (F.size(left) == 0), F.col("text")).otherwise(kept)
-
-    new = F.when(F.col("frequent").isNull(), F.col("text")).otherwise(F.transform(F.array(keys), rewrite)[0])
+    joined = staged.join(frequent, F.col("host") == F.col("at"), "left")
+    text = F.col("row").getField(text_col)
+
+    def rewrite(hit: Column) -> Column:
+        """The text without the lines whose key, at the same place, is among the page's frequent ones."""
+        own = F.exists("keys", lambda k: k.isNotNull() & ~F.array_contains(hit, k))
+        at_place = lambda i: F.coalesce(F.array_contains(hit, F.col("keys")[i]), F.lit(False))
+        kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda l, i: ~at_place(i)), "\n")
+        return F.when((F.size(hit) > 0) & own, kept).otherwise(text)
+
+    new = F.when(F.col("frequent").isNull(), text).otherwise(F.transform(F.array(F.array_intersect("keys", "frequent")), rewrite)[0])
     return joined.select(F.col("row").withField(text_col, new).alias("row")).select("row.*")
 
 
@@ -87,7 +86,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = materialize(page_lines(spark.read.parquet(f"{sf_dir}/pages.parquet")), "page-lines")
+    pages = page_lines(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     with_count = pages.withColumn("n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))))
     kept = drop_boilerplate(with_count, F.col("host"))
     n_kept = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1)))
