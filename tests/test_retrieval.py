@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +49,30 @@ def test_cf_recommend(data, pieces):
         assert mine == [(i + 1, t) for i, (_, t) in enumerate(sorted(scores)[:6])]
 
 
+@pytest.mark.parametrize("heavy_pairs,k", [(0, 4), (60, 1000), (200, 7), (200, 40)])
+def test_cf_recommend_beside_very_long_lists(spark, monkeypatch, heavy_pairs, k):
+    """Lists kept out of the pairs change no row: long ones that share tracks, tracks in them only, seeds in them only."""
+    rng = random.Random(5)
+    rows = random_interactions()
+    rows += [(500, i, t) for i, t in enumerate(range(10, 90))] + [(501, i, t) for i, t in enumerate(range(60, 140, 2))]
+    rows += [(600 + p, i, rng.randrange(20, 120)) for p in range(10) for i in range(3)]
+    seeds = [(1, 0, 3), (1, 1, 12), (1, 2, 70), (1, 3, 70), (2, 0, 85), (3, 0, 138), (3, 1, 5), (4, 0, 9999), (4, 1, 20), (5, 0, 9999)]
+    monkeypatch.setattr(retrieve, "HEAVY_PAIRS", heavy_pairs)
+    monkeypatch.setattr(retrieve, "TAIL_BLOCK", 3)
+    schema = "pid bigint, pos bigint, track bigint"
+    df, asked = spark.createDataFrame(rows, schema), spark.createDataFrame(seeds, schema)
+    assert not retrieve.heavy_lists(retrieve.seed_rows(asked), cooccur.cells_of(df)).isEmpty()
+    got = {(r["pid"], r["rank"]): (r["track"], r["score"]) for r in retrieve.cf_recommend(asked, cooccur.cells_of(df), k).collect()}
+    want = {}
+    scores = cf_by_hand([(p, t) for p, _, t in seeds], rows)
+    for pid in {s[0] for s in seeds}:
+        own = {t for p, _, t in seeds if p == pid}
+        ranked = sorted((-math.floor(v * 1e6 + 0.5) / 1e6, t) for (p, t), v in scores.items() if p == pid and t not in own)
+        want |= {(pid, i + 1): (t, -v) for i, (v, t) in enumerate(ranked[:k])}
+    assert got.keys() == want.keys()
+    assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
+
+
 def test_every_heavy_key_is_cut(spark):
     """No number of heavy keys is too many: each of them has its pieces, and each row its copies."""
     df = spark.range(6000).selectExpr("id % 2000 AS k", "id AS v")
