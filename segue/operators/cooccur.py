@@ -39,6 +39,16 @@ def cells_of(interactions: DataFrame, counted: bool = False, rows_per_piece: int
     return Cells(cut(staged, "pid", heavy, "track"), heavy)
 
 
+def without_lists(cells: Cells, pids: DataFrame) -> Cells:
+    """The cells of all other lists, read from the same stage."""
+    return Cells(cells.rows.join(pids.select("pid").distinct(), "pid", "left_anti"), cells.heavy)
+
+
+def of_lists(cells: Cells, pids: DataFrame) -> Cells:
+    """The cells of these lists, read from the same stage."""
+    return Cells(cells.rows.join(pids.select("pid").distinct(), "pid", "left_semi"), cells.heavy)
+
+
 def list_counts(cells: Cells) -> DataFrame:
     """n: number of lists per track."""
     return cells.rows.groupBy("track").agg(F.count(F.lit(1)).alias("n"))

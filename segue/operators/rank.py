@@ -65,7 +65,9 @@ def popularity_backfill(pids: DataFrame, ranked: DataFrame, seeds: DataFrame, po
     depth = (k - F.col("n_have") + F.col("n_known")).cast("int")
     wanted = numbers_below(short.select("pid", "n_have", depth.alias("depth")), F.col("depth"), "place")
     wanted = wanted.select("pid", "n_have", (F.col("place") + 1).alias("rank"))
-    fresh = wanted.join(popular, "rank").join(known, ["pid", "track"], "left_anti")
+    deepest = short.agg(F.max(depth).alias("x")).first()["x"] or 0
+    head = popular.filter(F.col("rank") <= deepest)  # a few thousand rows, whatever the catalogue
+    fresh = wanted.join(head, "rank").join(known, ["pid", "track"], "left_anti")
     by_rank = Window.partitionBy("pid").orderBy("rank")
     fill = fresh.withColumn("_rn", F.row_number().over(by_rank)).filter(F.col("_rn") <= k)
     fill = fill.withColumn("new_rank", F.col("n_have") + F.col("_rn")).filter(F.col("new_rank") <= k).select("pid", "track", F.col("new_rank").cast("int").alias("rank"))

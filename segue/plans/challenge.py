@@ -150,7 +150,7 @@ class Challenge:
             held = self.held(n)
             seeds, truth = splits.split_prefix(rel.keep_pids(self.train, held), n)
             seeds, truth = materialize(seeds, "seeds"), materialize(truth, "truth")
-            found = retrieve.cf_recommend(seeds, cooccur.cells_of(rel.drop_pids(self.train, held)), self.depth)
+            found = retrieve.cf_recommend(seeds, cooccur.without_lists(self.cells, held), self.depth)
             table = features.feature_table(
                 found.withColumnRenamed("score", "cf_prob"), truth, seeds, self.items, self.lists, self.freq,
                 self.embeddings,
@@ -177,7 +177,7 @@ class Challenge:
 
     def from_titles(self, pids: DataFrame) -> DataFrame:
         titled = rel.drop_null_lists(self.lists, ["clean"])
-        known = cooccur.cells_of(rel.keep_pids(self.train, titled))
+        known = cooccur.of_lists(self.cells, titled)
         found = title.title_recommend(pids, titled, self.train, known, self.width)
         lost = title.lists_without_known_word(pids, titled)
         drawn = rank.random_tracks(lost, self.items, self.width)

@@ -120,11 +120,24 @@ PARTS = {
 
 # Metrics of the co-occurrence recommendations instead of the price ranking.
 _METRIC_PARTS = [name for name in PARTS if name.startswith(("m_", "hidden"))]
-CF_PARTS = {
-    **{name: text for name, text in PARTS.items() if name not in ["predictions", "returned", *_METRIC_PARTS]},
-    "predictions": "SELECT pid, rank, track FROM cf_ranked WHERE rank <= 1000 AND pid IN (SELECT pid FROM truth)",
-    "returned": "SELECT * FROM truth",
-    **{name: PARTS[name] for name in _METRIC_PARTS},
+
+
+def _evaluated(predictions: str, returned: str) -> dict[str, str]:
+    """The parts with other predictions and hidden items under the metrics."""
+    return {
+        **{name: text for name, text in PARTS.items() if name not in ["predictions", "returned", *_METRIC_PARTS]},
+        "predictions": predictions, "returned": returned, **{name: PARTS[name] for name in _METRIC_PARTS},
+    }
+
+
+CF_PARTS = _evaluated("SELECT pid, rank, track FROM cf_ranked WHERE rank <= 1000 AND pid IN (SELECT pid FROM truth)", "SELECT * FROM truth")
+# Test lists with a title: the most popular tracks, and the tracks of the title.
+_TITLED = "SELECT pid, pos, track FROM test WHERE pid IN (SELECT pid FROM test_lists WHERE clean IS NOT NULL)"
+TITLE_STAGES = {
+    "before": _evaluated(f"""SELECT pid, rank, track FROM (SELECT DISTINCT pid FROM ({_TITLED})), (
+        SELECT track, row_number() OVER (ORDER BY count(*) DESC, track) AS rank FROM train GROUP BY track) WHERE rank <= {TOP}""", _TITLED),
+    "after": _evaluated(f"""SELECT pid, rank, track FROM (SELECT DISTINCT pid FROM ({_TITLED})) JOIN test_lists USING (pid) JOIN (
+        SELECT *, row_number() OVER (PARTITION BY clean ORDER BY score DESC, track) AS rank FROM tmixed) USING (clean) WHERE rank <= {TOP}""", _TITLED),
 }
 
 
@@ -334,6 +347,13 @@ _RAW: dict[str, str] = {
         SELECT test, track, label, v_count, round(v_sum, 6) AS v_sum,
             round(CASE WHEN k = label THEN 0.0 ELSE v_sum / (k - label) END, 6) AS v_mean, round(v_max, 6) AS v_max
         FROM stats JOIN (SELECT test, count(*) AS k FROM wanted GROUP BY 1) USING (test)""",
+    "svc_rows": """, terms AS (SELECT test, track, count(*)::INT AS n_terms, sum(v) AS v_sum FROM wanted JOIN norm USING (seed) GROUP BY 1, 2),
+        sizes AS (SELECT test, count(*)::INT AS k FROM wanted GROUP BY 1),
+        known AS (SELECT test, track, CASE WHEN own THEN 1 ELSE 0 END AS label, coalesce(n_terms, 0) AS n_terms, coalesce(v_sum, 0.0) AS v_sum
+            FROM terms FULL JOIN (SELECT test, seed AS track, true AS own FROM wanted) USING (test, track))
+        SELECT test, k, track, label, 1::BIGINT AS times, n_terms, round(v_sum, 6) AS v_sum FROM known JOIN sizes USING (test)
+        UNION ALL SELECT test, k, NULL, 0, (SELECT count(DISTINCT track) FROM items) - count(*), 0, 0.0
+        FROM known JOIN sizes USING (test) GROUP BY test, k HAVING count(*) < (SELECT count(DISTINCT track) FROM items)""",
     "seed_embed_similarity": f"SELECT * FROM {_EMBED_SIM.format(candidates='scored')}",
     "vector_topk": f""", firsts AS (SELECT pid, track AS query FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY pos, track) AS rk
             FROM interactions SEMI JOIN units USING (track)) WHERE rk = 1),
@@ -389,6 +409,8 @@ _WINDOW_PAIRS = """SELECT least(x.key, y.key) AS a, greatest(x.key, y.key) AS b,
 def _build() -> dict[str, str]:
     out = {name: sql(body) for name, body in _RAW.items()}
     out["evaluate_cf"] = sql(_RAW["metric_mean"], CF_PARTS)
+    stages = [f"SELECT '{stage}' AS stage, * FROM ({sql(_RAW['metric_mean'], parts)})" for stage, parts in TITLE_STAGES.items()]
+    out["evaluate_title"] = " UNION ALL ".join(stages)
     for name, key in (("w2v_pairs", "track"), ("w2v_artist_pairs", "artist")):
         out[name] = sql(f", placed AS ({_PLACED}) {_WINDOW_PAIRS}".replace("K AS key", f"{key} AS key").replace("pos, K", f"pos, {key}"))
     docs = "SELECT 'doc' AS kind, doc_id AS id, 0 AS turn, text FROM documents"

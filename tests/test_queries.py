@@ -30,8 +30,8 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_only_models_have_no_sql():
     assert set(MODELS) == {
-        "svc_rerank", "svc_rerank_weighted", "w2v_tracks", "w2v_albums", "w2v_artists", "gbt_train", "gbt_score",
-        "challenge_slices", "evaluate_title", "evaluate_svc", "evaluate_gbt", "submission",
+        "svc_rerank", "svc_rerank_weighted", "w2v_tracks", "w2v_albums", "w2v_artists", "gbt_train", "gbt_report", "gbt_score",
+        "challenge_slices", "evaluate_svc", "evaluate_svc_pooled", "evaluate_gbt", "submission",
     }
 
 

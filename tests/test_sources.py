@@ -3,7 +3,7 @@ import json
 
 from segue import schemas, sources
 from segue.operators.rank import union_slices
-from segue.sources.writers import submission_rows
+from segue.sources.writers import submission_rows, write_submission
 
 
 def test_json_slices(spark, tmp_path):
@@ -74,3 +74,20 @@ def test_submission_rows(spark):
     both = union_slices({"v1": a, "v2": b})
     assert {r["slice"] for r in both.collect()} == {"v1", "v2"}
     assert sorted(tuple(r) for r in submission_rows(both, 3).collect()) == [(1, 9, 8, None), (2, 7, None, None)]
+
+
+def test_submission_files_are_in_slice_order(spark, tmp_path):
+    rows = [(f"v{v}", 5000 - 100 * v + p, r, 100 * v + r) for v in (1, 2, 3, 9, 10) for p in range(40) for r in (1, 2, 3)]
+    slices = spark.createDataFrame(rows, "slice string, pid int, rank int, track int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one file
+    try:
+        write_submission(slices, str(tmp_path / "out"), 3)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted((tmp_path / "out").glob("part-*.csv"))
+    assert len(files) > 1
+    read = [tuple(map(int, line.split(","))) for f in files for line in f.read_text().splitlines()[1:]]
+    place = {p: int(s[1:]) for s, p, *_ in rows}
+    order = sorted({(int(s[1:]), p) for s, p, *_ in rows})
+    assert [r[0] for r in read] == [p for _, p in order]
+    assert all(r[1:] == tuple(100 * place[r[0]] + i for i in (1, 2, 3)) for r in read)
