@@ -6,11 +6,12 @@ import zlib
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from segue.llm import bpe_codec, packing, sharding
+from segue.llm import bpe, bpe_codec, minhash, packing, quality_rules, sharding
 from segue.llm.bpe import Encoder, code_classes
 from tests.llm.corner import TEXTS, corner_docs, empty_docs
 
@@ -162,3 +163,33 @@ def test_greedy_takes_the_shard_with_most_room():
     units = np.array([[10, 10, 1], [6, 6, 1], [5, 5, 1], [1, 1, 1]], float)
     placed = sharding.greedy(units, 2)
     assert placed[0] != placed[1] and placed[1] == placed[2] and placed[3] == placed[0]
+
+
+THUE_MORSE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+UNLIKE = [THUE_MORSE + " x", THUE_MORSE.translate(str.maketrans("ab", "ba")) + " x"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("collide", [False, True])
+def test_words_are_told_apart_by_their_bytes(monkeypatch, name, collide):
+    """Two words that cancel out in any polynomial hash, and words that all share one hash."""
+    if collide:
+        true = bpe.span_hashes
+        monkeypatch.setattr(bpe, "span_hashes", lambda d, a, b: np.where(b - a > 8, np.uint64(7), true(d, a, b)))
+    texts = [*UNLIKE, "a longer wordlike thing and anotherlongone", "anotherlongone again, anotherlongtwo", *UNLIKE[::-1]]
+    path = bpe_codec.vocabulary_path(name)
+    true_ids = Tokenizer.from_file(path)
+    encoder = bpe.Encoder(path)
+    for _ in range(2):  # the second time all words are known
+        ids, offs = encoder.encode(texts)
+        for i, text in enumerate(texts):
+            assert ids[offs[i] : offs[i + 1]].tolist() == true_ids.encode(text, add_special_tokens=False).ids
+
+
+def test_cancelling_words_are_different_everywhere(spark):
+    one, two = (set(minhash.shingle_sets(pa.array([t]), 2)[0].tolist()) for t in UNLIKE)
+    assert not one & two
+    docs = spark.createDataFrame(list(enumerate(UNLIKE)), "doc_id long, text string")
+    assert all(r.kept for r in minhash.near_duplicates(docs, k=2).collect())
+    got = quality_rules.measure(pa.array(["\n".join(UNLIKE)]))
+    assert got["n_dup_lines"][0].as_py() == 0 and len(got["keys"][0]) == 2
