@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +70,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
+_open: list[list[str]] = []  # stage folders written inside each open `temporary_stages`
+
+
+@contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[None]:
+    """The stages that `materialize` writes inside are deleted at the end; what is still wanted of them must be written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove_stage(spark, path)
+
+
+def remove_stage(spark: SparkSession, path: str) -> None:
+    """Delete a stage folder, wherever it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a stage as parquet and read it back.
 
@@ -75,5 +97,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     branches use it, and carries real file sizes into join planning.
     """
     path = stage_path(df.sparkSession, label)
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,12 @@
 import gzip
 import json
+import os
+
+import pytest
 
 from segue import schemas, sources
 from segue.operators.rank import union_slices
+from segue.session import materialize, stage_path, temporary_stages
 from segue.sources.writers import submission_rows, write_submission
 
 
@@ -91,3 +95,18 @@ def test_submission_files_are_in_slice_order(spark, tmp_path):
     order = sorted({(int(s[1:]), p) for s, p, *_ in rows})
     assert [r[0] for r in read] == [p for _, p in order]
     assert all(r[1:] == tuple(100 * place[r[0]] + i for i in (1, 2, 3)) for r in read)
+
+
+def test_temporary_stages_are_deleted(spark):
+    kept = materialize(spark.range(3), "kept")
+    with temporary_stages(spark):
+        inner = materialize(kept.selectExpr("id * 2 AS id"), "inner")
+        files = inner.inputFiles()
+        path = stage_path(spark, "result")
+        inner.write.parquet(path)
+        with pytest.raises(ValueError), temporary_stages(spark):
+            lost = materialize(spark.range(1), "lost").inputFiles()
+            raise ValueError
+    gone = [f.removeprefix("file://") for f in [*files, *lost]]
+    assert gone and not any(os.path.exists(f) for f in gone)
+    assert kept.count() == 3 and sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 2, 4]
