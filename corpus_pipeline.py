@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from segue.llm import language, line_dedup, minhash, packing, quality
 from segue.llm.bpe_codec import vocabulary_path
-from segue.session import materialize
+from segue.session import configure, materialize, remove_stage, stage_path, temporary_stages
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that over line_dedup.MAX_SHARE of the documents of their source share.
+    """All documents, without the lines that over line_dedup.MAX_SHARE of the different documents of their source share.
 
-    n_chars follows the text."""
+    Copies count once, so they come whole to near-dedup; no text becomes empty.  n_chars follows the text."""
     kept = line_dedup.drop_boilerplate(docs, F.col("source"))
     if "n_chars" in kept.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -63,7 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents.  What a stage wrote on its way, and its input, are deleted once its result is written."""
+    configure(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = stage_path(spark, name)
+        with temporary_stages(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove_stage(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
