@@ -68,7 +68,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(id, n_tokens, ids) for every row; ids: little-endian unsigned 32-bit numbers, one behind the other.
 
     Whole texts are encoded; a null text is an empty one, which has no ids.  Repeated rows and ids are encoded
-    each by itself.  Other columns are not read.
+    each by itself.  Of pairs of one rank the left one merges first.  A very long text is a batch of its own; an
+    empty table gives an empty result.  Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -167,7 +167,8 @@ def near_vectors(
     the default tables practically all are found.  A row whose label or id is null, or whose vector is null, empty, zero
     or holds a null or non-finite number, is linked with nothing; so are vectors of different lengths.
     n_links counts other rows, copies included.  component_id: the smallest id reachable by links; kept: it is
-    the own id (true without an id).  Ids and labels are whole numbers.  Other columns are not read.
+    the own id (true without an id).  Ids and labels are whole numbers; an
+    empty table gives an empty result.  Other columns are not read.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)

@@ -480,7 +480,8 @@ def identify(
     before.  A text that is null or has no letter is `und` with score 0 and rejected, as is every text when
     nothing was learned.  rejected: the cross-entropy per symbol lies `max_deviations` above the mean of the
     known texts of the language and length class, or of what stands for them; see `bounds`.  Equal texts get
-    equal results.
+    equal results, and of languages that fit equally well the first by code point is taken.  Very long texts are scored whole; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     model = train(known, text_col, lang_col, block_cells)

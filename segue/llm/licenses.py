@@ -134,7 +134,8 @@ def scan(
     that a span must hold.  `end` is one behind the last matched word.  Spans inside a longer one of a template that is not exact
     are left out; exact ones always stay.  Null and empty texts have no words
     and no spans.  Equal rows give equal results, one each; rows that share an id but not the text are
-    scanned apart.  Other columns are not read.
+    scanned apart.  Very long texts are scanned whole, one row per word; an empty table gives an empty result.  Other
+    columns are not read.
     """
     spark = docs.sparkSession
     sizes = sorted({t.k for t in templates})

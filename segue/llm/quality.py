@@ -248,7 +248,8 @@ def classify(docs: DataFrame, model: Model | float, text_col: str = "text", keep
     """(row, score, predicted) for every row of `docs`; `row` is the input row, or its columns `keep`.
 
     score: probability of label 1; predicted: 1 from KEEP_SCORE on.  Null and empty texts have no features and get
-    the score of the bias alone; equal texts get equal scores.
+    the score of the bias alone; equal texts get equal scores.  Very long texts are scored whole; an empty table gives an empty
+    result.
     """
     bounded_batches(docs.sparkSession)
     source = with_row(docs, keep, text=F.col(text_col))

@@ -61,7 +61,8 @@ def shard(
 
     size: UTF-8 bytes of the text and one; tokens: its blanks and one.  slot numbers the rows of a shard from 0
     without a gap.  A null text counts as no bytes and goes with the empty texts; repeated rows are rows of
-    one group; ids may be null or repeat.  An empty table gives an empty result.  Other columns are not read.
+    one group; ids may be null or repeat.  Of shards that fit equally well the first
+    takes a group.  Very long texts are only measured and hashed.  An empty table gives an empty result.  Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(docs.select(

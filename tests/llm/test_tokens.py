@@ -165,6 +165,25 @@ def test_greedy_takes_the_shard_with_most_room():
     assert placed[0] != placed[1] and placed[1] == placed[2] and placed[3] == placed[0]
 
 
+@pytest.mark.parametrize("shards", [2, 5, 16])
+def test_greedy_equals_brute_force(shards):
+    """Each unit goes where the plain dot product of its shares with what is left of a shard is highest, the first of equals."""
+    rng = np.random.default_rng(shards)
+    units = np.stack([rng.integers(1, 500, 300), rng.integers(1, 90, 300), rng.integers(1, 4, 300)], axis=1).astype(float)
+    total = [sum(u[j] for u in units) for j in range(3)]
+    left, want = [[1 / shards] * 3 for _ in range(shards)], []
+    for unit in units:
+        part = [x / t for x, t in zip(unit, total)]
+        fit = [sum(room[j] * (part[j] * w) for j, w in enumerate(sharding.WEIGHTS)) for room in left]
+        best = max(range(shards), key=lambda s: (round(fit[s], 15), -s))
+        want.append(best)
+        for j in range(3):
+            left[best][j] -= part[j]
+    got = sharding.greedy(units, shards).tolist()
+    sizes = np.bincount(got, weights=units[:, 0], minlength=shards)
+    assert sum(g != w for g, w in zip(got, want)) == 0 and sizes.max() - sizes.min() <= units[:, 0].max()
+
+
 THUE_MORSE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
 UNLIKE = [THUE_MORSE + " x", THUE_MORSE.translate(str.maketrans("ab", "ba")) + " x"]
 
