@@ -27,7 +27,8 @@ def bare(line: Column) -> Column:
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: Column, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES
+    pages: DataFrame, host: Column, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES,
+    hold_rows: bool = True,
 ) -> DataFrame:
     """`pages` with the boilerplate lines of their host left out of `text_col`; all other columns as they are.
 
@@ -37,6 +38,9 @@ def drop_boilerplate(
     text stays null; rows with a null host are left as they are.  A page all of whose lines are boilerplate has no line of
     its own that the others could be told from: it stays whole, so no text becomes empty.  Very long texts are
     worked on whole; an empty table gives an empty result.
+
+    `hold_rows`: write the rows beside their hashes, which saves making `pages` twice; without it only the hashes are written and
+    the rows are read again, which saves the disk where `pages` is a written table.
     """
 
     def digest(l: Column) -> Column:
@@ -55,11 +59,17 @@ def drop_boilerplate(
 
     # One-element arrays bind what is used more than once, so that it is taken once.
     bares = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), bare)
-    named = with_row(pages, host=host, named=F.transform(F.array(bares), names)[0])
-    staged = materialize(named.select("row", "host", "named.*"), "line-keys")
-    rows = staged.select("host", F.array_distinct(F.array_compact("keys")).alias("keys"), "copies")
+    both = F.transform(F.array(bares), names)[0].alias("named")
+    distinct = F.array_distinct(F.array_compact("keys")).alias("keys")
+    if hold_rows:
+        held = with_row(pages, host=host, named=both).select("row", "host", "named.*")
+        held = materialize(held, "line-keys")
+        rows = held.select("host", distinct, "copies")
+    else:
+        rows = materialize(pages.select(host.alias("host"), both).select("host", "named.*").select("host", distinct, "copies"), "line-keys")
+        held = with_row(pages, host=host, keys=F.transform(bares, lambda l: F.when(l != "", F.xxhash64(l))))
     frequent = frequent_lines(rows, max_share, min_pages).withColumnRenamed("host", "at")
-    joined = staged.join(frequent, F.col("host") == F.col("at"), "left")
+    joined = held.join(frequent, F.col("host") == F.col("at"), "left")
     text = F.col("row").getField(text_col)
 
     def rewrite(hit: Column) -> Column:

@@ -142,12 +142,13 @@ def test_copies_of_a_page_are_no_boilerplate(spark):
     assert sorted(((str(i), t) for i, t in got.items()), key=repr) == brute_lines(texts, line_dedup.MAX_SHARE, line_dedup.MIN_PAGES)
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("hold_rows", [True, False])
+def test_line_dedup_against_brute_force(spark, hold_rows):
     random.seed(2)
     pool = ["Home", " home ", "About us", "x", "y", "", "\t", "z z", "Legal"]
     texts = [(i, "\n".join(random.choices(pool, k=random.randint(0, 6)) + [f"own {i}"]), None, random.choice("ab")) for i in range(60)]
     texts = [*texts, *TEXTS, (70, None, None, "a"), (71, "Home", None, None), (72, "home", None, "c")]
-    got = line_dedup.drop_boilerplate(corner_docs(spark, texts), F.col("source"), max_share=0.3, min_pages=3)
+    got = line_dedup.drop_boilerplate(corner_docs(spark, texts), F.col("source"), max_share=0.3, min_pages=3, hold_rows=hold_rows)
     assert got.columns == corner_docs(spark).columns
     assert sorted(((str(r.doc_id), r.text) for r in got.collect()), key=repr) == brute_lines(texts, 0.3, 3)
     assert line_dedup.drop_boilerplate(empty_docs(spark), F.col("source")).collect() == []
