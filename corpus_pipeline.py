@@ -28,7 +28,7 @@ def line_dedup_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """All documents, without the lines that over line_dedup.MAX_SHARE of the different documents of their source share.
 
     Copies count once, so they come whole to near-dedup; no text becomes empty.  n_chars follows the text."""
-    kept = line_dedup.drop_boilerplate(docs, F.col("source"))
+    kept = line_dedup.drop_boilerplate(docs, F.col("source"), hold_rows=False)
     if "n_chars" in kept.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept
