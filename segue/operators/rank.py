@@ -51,8 +51,9 @@ def popularity_backfill(pids: DataFrame, ranked: DataFrame, seeds: DataFrame, po
 
     `popular` is (rank, track), all tracks by falling popularity, as `popularity_order` makes it.
 
-    A list that lacks x tracks and knows y is matched with the x + y most popular ones by
-    their popularity rank: at least x of those are new to it, so nothing else is looked at."""
+    A list that lacks x tracks and knows y looks at the x + y most popular ones: at least x of those
+    are new to it.  Their places are told from the list's own known tracks, row by row, and only the
+    places that are filled become rows and get their track from the broadcast head."""
     have = ranked.groupBy("pid").agg(F.count(F.lit(1)).alias("n_have"))
     known = seeds.select("pid", "track").unionByName(ranked.select("pid", "track")).distinct()
     n_known = known.groupBy("pid").agg(F.count(F.lit(1)).alias("n_known"))
@@ -63,14 +64,19 @@ def popularity_backfill(pids: DataFrame, ranked: DataFrame, seeds: DataFrame, po
         "short-lists",
     )
     depth = (k - F.col("n_have") + F.col("n_known")).cast("int")
-    wanted = numbers_below(short.select("pid", "n_have", depth.alias("depth")), F.col("depth"), "place")
-    wanted = wanted.select("pid", "n_have", (F.col("place") + 1).alias("rank"))
     deepest = short.agg(F.max(depth).alias("x")).first()["x"] or 0
-    head = popular.filter(F.col("rank") <= deepest)  # a few thousand rows, whatever the catalogue
-    fresh = wanted.join(head, "rank").join(known, ["pid", "track"], "left_anti")
-    by_rank = Window.partitionBy("pid").orderBy("rank")
-    fill = fresh.withColumn("_rn", F.row_number().over(by_rank)).filter(F.col("_rn") <= k)
-    fill = fill.withColumn("new_rank", F.col("n_have") + F.col("_rn")).filter(F.col("new_rank") <= k).select("pid", "track", F.col("new_rank").cast("int").alias("rank"))
+    head = materialize(popular.filter(F.col("rank") <= deepest).select("track", F.col("rank").cast("int").alias("place")), "popular-head")
+    head = F.broadcast(head)  # a few thousand rows, whatever the catalogue
+    taken = known.join(head, "track").groupBy("pid").agg(F.collect_set("place").alias("taken"))
+    # A list that comes more than once shares its places among its copies.
+    asked = short.groupBy("pid", "n_have", depth.alias("depth")).agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    asked = asked.join(taken, "pid", "left")
+    places = F.sequence(F.lit(1), F.col("depth"))
+    fresh = F.when(F.col("taken").isNull(), places).otherwise(F.array_except(places, "taken"))
+    wanted = asked.select("pid", "n_have", "copies", F.posexplode(F.slice(fresh, F.lit(1), F.lit(k))).alias("i", "place"))
+    wanted = numbers_below(wanted, F.col("copies"), "copy")
+    wanted = wanted.withColumn("rank", (F.col("n_have") + F.col("i") * F.col("copies") + F.col("copy") + 1).cast("int"))
+    fill = wanted.filter(F.col("rank") <= k).join(head, "place").select("pid", "track", "rank")
     return ranked.select("pid", "track", "rank").filter(F.col("rank") <= k).unionByName(fill)
 
 

@@ -218,6 +218,20 @@ def test_popularity_backfill(spark):
     assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] * 3
 
 
+def test_backfill_makes_rows_of_filled_places_only(spark):
+    """Lists and places never meet in a shuffle: the places are told within the row of a list.  A list that comes twice shares its places."""
+    freq = spark.createDataFrame([(t, 100 - t) for t in range(20)], "track bigint, freq bigint")
+    pids = spark.createDataFrame([(1,), (1,), (2,), (None,)], "pid bigint")
+    ranked = spark.createDataFrame([(1, 0, 1)], "pid bigint, track bigint, rank int")
+    seeds = spark.createDataFrame([(1, 2), (2, None)], "pid bigint, track bigint")
+    filled = rank.popularity_backfill(pids, ranked, seeds, popularity_order(freq), 4)
+    got = sorted((r["pid"] or 0, r["rank"], r["track"]) for r in filled.collect())
+    assert got == [(0, 1, 0), (0, 2, 1), (0, 3, 2), (0, 4, 3), (1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 3),
+                   (2, 1, 0), (2, 2, 1), (2, 3, 2), (2, 4, 3)]
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "LeftAnti" not in plan
+
+
 def test_random_tracks(spark):
     items = spark.createDataFrame([(t * 7,) for t in range(40)], "track bigint")
     pids = spark.createDataFrame([(p,) for p in range(6)], "pid bigint")
