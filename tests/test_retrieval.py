@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segue.operators import cooccur, rank, retrieve, skew, title
+from segue.operators import cooccur, listmodels, rank, retrieve, skew, title
 from segue.functions.titles import clean_title
 from segue.operators.order import popularity_order
 from tests.lists import cf_by_hand, lists_of, random_interactions
@@ -241,3 +241,43 @@ def test_random_tracks(spark):
         assert len(mine) == len(set(mine)) == 12
     assert got and len({tuple(r["track"] for r in sorted(got) if r["pid"] == p) for p in range(6)}) == 6
     assert rank.random_tracks(pids, items, 100).count() == 6 * 40
+
+
+@pytest.fixture
+def parts(monkeypatch):
+    """Limits so low that every seed and list is cut into parts and the tasks are many."""
+    monkeypatch.setattr(skew, "PAIRS_PER_TASK", 5)
+
+
+def test_pairs_in_parts_and_tasks_by_their_number(spark, data, parts):
+    """The tasks that sum pairs grow with the pairs; seeds and lists cut into parts give the same scores and values."""
+    rows, df, seeds = data
+    asked = retrieve.seed_rows(seeds)
+    cells = cooccur.cells_of(df)
+    reach = cooccur.seed_reach(asked, cells)
+    lists = lists_of(rows)
+    want = {t: sum(len(tracks) for tracks in lists.values() if t in tracks) for t in {t for _, t in SEEDS if t < 30}}
+    assert {r["seed"]: r["reach"] for r in reach.collect()} == want
+    assert skew.tasks_for(reach, F.col("reach")) >= sum(want.values()) / 5 > 4
+    pairs = cooccur.seed_cooccurrence(asked, cells, cooccur.list_counts(cells), reach).collect()
+    assert len({(r["seed"], r["track"]) for r in pairs}) == len(pairs) and max(r["part"] for r in pairs) > 0
+    got = {(r["pid"], r["track"]): r["score"] for r in retrieve.cf_score(seeds, cells).collect()}
+    scores = cf_by_hand(SEEDS, rows)
+    assert got.keys() == scores.keys() and all(abs(got[k] - scores[k]) < 1e-9 for k in scores)
+
+
+def test_list_rows_in_parts(spark, data, monkeypatch):
+    """The rows of the lists' own models are the same whether seeds and lists are cut or not, null and unknown seeds included."""
+    _, df, _ = data
+    seeds = spark.createDataFrame([(p, i, t) for i, (p, t) in enumerate(SEEDS + [(None, 1), (105, None), (105, 3), (106, None)])], SCHEMA)
+    counted = cooccur.cells_of(df, counted=True)
+    found = []
+    for limit in (1_000_000, 5):
+        monkeypatch.setattr(skew, "PAIRS_PER_TASK", limit)
+        for build in (cooccur.normalised_features, cooccur.weighted_features):
+            rows = listmodels.candidate_rows(build(seeds, counted), seeds, 40).collect()
+            found.append(sorted((r["test"], r["k"], -1 if r["track"] is None else r["track"], r["label"], r["times"], list(r["at"]),
+                                 [round(v, 9) for v in r["v"]]) for r in rows))
+    assert found[0] == found[2] and found[1] == found[3]
+    own = {(t, s) for t, _, s, label, *_ in found[0] if label}
+    assert own == {(p, t) for p, t in SEEDS} | {(105, 3), (105, -1), (106, -1)}
