@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from segue.operators import features, listmodels, models, rank, windows
+from segue.operators import features, listmodels, models, rank, skew, windows
 from segue.operators.cooccur import cells_of, normalised_features, weighted_features
 from segue.session import materialize
 from tests.lists import random_interactions
@@ -97,6 +97,47 @@ def test_window_pairs_equal_brute_force(spark, window):
     assert {(r["a"], r["b"]): (r["n"], r["weight"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("stretch", [3, 7])
+def test_window_pairs_across_stretches(spark, monkeypatch, stretch):
+    """The rows of one list meet over the ends of the stretches that the sorted table is cut into, each pair once."""
+    rows = [(p, i, (i * 7 + p) % 11) for p in range(3) for i in range(25)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("track", "key")
+    want = {tuple(r) for r in windows.window_pairs(df, 4).collect()}
+    monkeypatch.setattr(windows, "STRETCH", stretch)
+    assert {tuple(r) for r in windows.window_pairs(df, 4).collect()} == want
+
+
+def test_window_pairs_are_summed_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    rows = [(p, i, (i * 7 + p) % 211) for p in range(30) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("track", "key")
+    monkeypatch.setattr(skew, "PAIRS_PER_TASK", 100)
+    assert windows.window_pairs(df, 5).rdd.getNumPartitions() == 30
+
+
+def test_rows_sent_by_factors_grow_with_the_root_of_the_blocks():
+    """A row of numbers goes to one side of the grid, not to every block."""
+    for cells in (10**8, 10**9, 10**10):
+        by_a, by_b = windows.grid(cells, 10**6, 8, 10**6)
+        assert by_a * by_b >= cells // 10**6
+        assert 4 * by_a + 8 * by_b <= 12 * (cells / 10**6) ** 0.5 + 16
+    assert all(n >= 20 for n in windows.grid(100, 10**7, 8, 10**6))  # no block holds more items than a side may
+
+
+def test_factors_in_one_block_and_in_many(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    matrix = rng.random((15, 15))
+    matrix = matrix + matrix.T
+    cells = spark.createDataFrame([(i, j, float(matrix[i, j])) for i in range(15) for j in range(15) if i != j], "a long, b long, v double")
+    found = []
+    for block, pack, side in ((10**6, 10**6, 10**6), (4, 3, 4)):
+        monkeypatch.setattr(windows, "CELLS_PER_PACK", pack)
+        monkeypatch.setattr(windows, "KEYS_PER_SIDE", side)
+        got = {r["key"]: r["vector"] for r in windows.factors(cells, size=4, rounds=2, cells_per_block=block).collect()}
+        table = np.array([got[i] for i in range(15)])
+        found.append(table @ table.T)
+    assert np.allclose(found[0], found[1], atol=1e-4)
+
+
 def test_factors_rebuild_a_small_matrix(spark, monkeypatch):
     """The vectors of a matrix of low rank multiply to the matrix; cut cells give the same."""
     rng = np.random.default_rng(4)
