@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from segue.operators import features, listmodels, models, rank, skew, windows
 from segue.operators.cooccur import cells_of, normalised_features, weighted_features
@@ -68,6 +69,49 @@ def test_seed_similarity_by_album(spark, vectors):
         assert abs(r["sim"] - want) < 1e-12
 
 
+@pytest.mark.parametrize("limit", [10**9, 5])
+def test_similarity_in_a_grid_of_blocks(spark, vectors, monkeypatch, limit):
+    """Floats, a hot list and a hot track, null keys and repeated candidates; all columns stay as they are, whatever the blocks."""
+    table, df = vectors
+    monkeypatch.setattr(features, "PAIRS_PER_BLOCK", limit)
+    monkeypatch.setattr(features, "SIDE_BYTES", limit * 32)
+    floats = df.select("track", F.col("vector").cast("array<float>").alias("vector"))
+    cands = [(p, t, None if (t or 0) % 3 else t, f"c{p}") for p in (1, 2, None) for t in (*range(30), 4, None)] + [(p, 4, p, None) for p in range(3, 40)]
+    seeds = [(1, 0, 0), (1, 1, 4), (2, 0, 4), (2, 1, 7), (None, 0, 4)] + [(p, 0, 6) for p in range(3, 40)]
+    got = features.add_embeddings(
+        spark.createDataFrame(cands, "pid bigint, track bigint, n int, kind string"), spark.createDataFrame(seeds, SCHEMA),
+        {"a": (floats, None), "b": (df, None)},
+    ).collect()
+    assert sorted(map(str, [tuple(r)[:4] for r in got])) == sorted(map(str, cands))
+    for r in got:
+        own = [t for p, _, t in seeds if p is not None and p == r["pid"]]
+        terms = [cosine(table[s], table[r["track"]]) if s in table and r["track"] in table else 0.0 for s in own]
+        want = sum(terms) / len(terms) if terms else 0.0
+        assert abs(r["b"] - want) < 1e-12 and abs(r["a"] - want) < 1e-6
+
+
+def test_similarity_where_a_track_has_two_vectors(spark):
+    """Each of them gives a row, and each counts as a seed."""
+    df = spark.createDataFrame([(4, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [1.0, 1.0])], "track bigint, vector array<double>")
+    cands = spark.createDataFrame([(1, 4, 1.0), (1, 5, 1.0), (1, 6, 1.0)], "pid bigint, track bigint, cf_prob double")
+    got = features.seed_similarity(cands, spark.createDataFrame([(1, 0, 4), (1, 1, 5), (1, 2, 6)], SCHEMA), df, "sim").collect()
+    half = 0.5**0.5
+    want = [(4, (1 + half) / 4), (4, (1 + half) / 4), (5, (1 + 2 * half) / 4), (6, 0.0)]
+    assert sorted((r["track"], round(r["sim"], 9)) for r in got) == sorted((t, round(v, 9)) for t, v in want)
+
+
+def test_vectors_are_sent_to_sides_and_not_to_candidates():
+    """Ten times the candidates ask for about root ten times the copies of a vector, and a side fits a task."""
+    few, many = (sum(features.sides(n, 10**8, 10**8, 8)) for n in (10**8, 10**9))
+    assert many < 4 * few and features.sides(10**9, 10**8, 10**8, 8)[0] * features.sides(10**9, 10**8, 10**8, 8)[1] >= 1000
+    by_item, by_list = features.sides(10, 10**10, 10**6, 8)
+    assert 10**10 / by_item <= features.SIDE_BYTES and by_list >= 1
+
+
+def test_items_are_copied_to_few_blocks_of_queries():
+    assert features.query_blocks_for(1_000_000, 8) == 100 and features.query_blocks_for(5_000, 8) == 5 and features.query_blocks_for(0, 8) == 1
+
+
 @pytest.mark.parametrize("block", [20_000, 4])
 def test_vector_topk(spark, vectors, monkeypatch, block):
     monkeypatch.setattr(features, "ITEM_BLOCK", block)
