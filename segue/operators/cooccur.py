@@ -85,11 +85,17 @@ def seed_cooccurrence(seeds: DataFrame, cells: Cells, counts: DataFrame, reach:
     )
 
 
+def _mark(track: str) -> Column:
+    """Two bytes of a track's hash: they tell in a list which tracks may be asked for."""
+    return (F.pmod(F.xxhash64(track), F.lit(65_536)) - 32_768).cast("short")
+
+
 def pair_similarity(pairs: DataFrame, cells: Cells, a: float = 0.1, q: float = 0.5) -> DataFrame:
     """Asymmetric cosine of given pairs (s, u): (c / (n_s^a n_u^(1-a)))^q, 0 without overlap.
 
-    Each pair is expanded through the lists of its rarer track and looked up in the other's, so
-    a track that most lists hold costs no more than its partners."""
+    Each pair is looked up in the lists of its rarer track, so a track that most lists hold costs no more than its
+    partners.  The partners of a track travel to its lists as an array of two-byte marks; a list gives out those of its tracks
+    that have one of the marks, and the join with the pairs leaves the pairs that were asked for."""
     counts = list_counts(cells)
     wanted = (
         pairs.select("s", "u").distinct()
@@ -99,20 +105,24 @@ def pair_similarity(pairs: DataFrame, cells: Cells, a: float = 0.1, q: float = 0
     )
     s_rarer = F.col("n_s") <= F.col("n_u")
     probes = wanted.select(
-        "s", "u", F.when(s_rarer, F.col("s")).otherwise(F.col("u")).alias("rare"),
+        "s", "u", "n_s", "n_u", F.when(s_rarer, F.col("s")).otherwise(F.col("u")).alias("rare"),
         F.when(s_rarer, F.col("u")).otherwise(F.col("s")).alias("track"),
     )
     probes = materialize(probes, "probes")
     heavy = heavy_keys(probes, "rare")
+    asked = cut(probes, "rare", heavy, "track").groupBy("rare", "piece").agg(F.collect_set(_mark("track")).alias("asked"))
     lists = cells.rows.select(F.col("track").alias("rare"), "pid")
-    both = (
-        cut(probes, "rare", heavy, "track").join(copy_to_pieces(lists, "rare", heavy), ["rare", "piece"])
-        .join(cells.rows.select("pid", "track"), ["pid", "track"], "left_semi")
-        .groupBy("s", "u").agg(F.count(F.lit(1)).alias("c"))
+    sent = copy_to_pieces(lists, "rare", heavy).join(asked, ["rare", "piece"]).select("pid", "rare", F.col("piece").alias("of"), "asked")
+    known = cells.rows.filter("pid IS NOT NULL AND track IS NOT NULL").groupBy("pid", "piece").agg(
+        F.collect_list(F.struct("track", _mark("track").alias("mark"))).alias("known")
     )
+    met = copy_to_pieces(sent, "pid", cells.heavy).join(known, ["pid", "piece"])
+    found = met.select("rare", "of", "asked", F.inline("known")).filter(F.array_contains("asked", F.col("mark")))
+    both = found.groupBy("rare", "of", "track").agg(F.count(F.lit(1)).alias("c"))
     scale = F.pow("n_s", F.lit(a)) * F.pow("n_u", F.lit(1 - a))
     sim = F.pow(F.try_divide(F.col("c"), scale), F.lit(q))
-    return wanted.join(both, ["s", "u"], "left").select("s", "u", F.coalesce(sim, F.lit(0.0)).alias("sim"))
+    own = cut(probes, "rare", heavy, "track").withColumnRenamed("piece", "of")
+    return own.join(both, ["rare", "of", "track"], "left").select("s", "u", F.coalesce(sim, F.lit(0.0)).alias("sim"))
 
 
 # Fixed values of the counted-matrix features.

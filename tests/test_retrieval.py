@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -120,6 +121,33 @@ def test_pair_similarity(spark, data, pieces):
         assert abs(r["sim"] - want) < 1e-12
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_travel_to_lists_as_marks(spark, data):
+    """No row per pair and list is sent to look a partner up."""
+    _, df, _ = data
+    pairs = spark.createDataFrame([(s, u) for s in range(6) for u in range(6)], "s bigint, u bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(cooccur.pair_similarity(pairs, cooccur.cells_of(df)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\((pid#\d+L?, track#|track#\d+L?, pid#)", plan)
+
+
+def test_pairs_with_equal_marks_are_told_apart(spark, monkeypatch):
+    """Marks only choose what is looked at: with one mark for all tracks the values are the same; nulls and own pairs as before."""
+    rows = [(1, 0, 5), (1, 1, 6), (2, 0, 5), (2, 1, 7), (3, 0, 6), (3, 1, 5), (None, 0, 5), (None, 1, 6), (4, 0, None)]
+    cells = cooccur.cells_of(spark.createDataFrame(rows, SCHEMA))
+    pairs = spark.createDataFrame([(5, 6), (6, 5), (5, 5), (5, 8), (None, 5), (5, None), (5, 6)], "s bigint, u bigint")
+    before = {(r["s"], r["u"]): r["sim"] for r in cooccur.pair_similarity(pairs, cells).collect()}
+    monkeypatch.setattr(cooccur, "_mark", lambda track: F.lit(1).cast("short"))
+    assert before == {(r["s"], r["u"]): r["sim"] for r in cooccur.pair_similarity(pairs, cells).collect()}
+    assert len(before) == 6 and before[5, 7 + 1] == before[None, 5] == before[5, None] == 0.0 and before[6, 5] > 0 and before[5, 6] > 0
+
+
 def counted_matrix(rows):
     m = np.zeros((30, 40))
     for p, _, t in rows:
