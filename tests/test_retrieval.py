@@ -222,6 +222,24 @@ def test_title_recommend(spark, data, pieces):
     assert [r["pid"] for r in lost.collect()] == [2]
 
 
+def test_title_terms_do_not_travel(spark, data):
+    """A weight is sent to its track with its titles; no row per title and track is sent to be summed."""
+    _, df, _ = data
+    lists = spark.createDataFrame([(p, ["party mix", "late party", "mix"][p % 3]) for p in range(40)], "pid bigint, clean string")
+    found = title.title_scores(lists, title.ngram_weights(lists, df))
+    assert not re.search(r"hashpartitioning\(clean#\d+, track#", _plan(found))
+    assert found.filter("clean = 'mix'").count() == df.join(lists.filter("clean <> 'late party'"), "pid").select("track").distinct().count()
+
+
+def test_least_scores_cut_nothing_of_the_best(spark):
+    """Ties at the last place stay, a title with fewer rows keeps all of them, and a track without a title score is kept."""
+    rows = [("a", t, 9 - t // 3) for t in range(9)] + [("b", 1, 4), ("b", 2, 1)]
+    scores = spark.createDataFrame(rows, "clean string, track bigint, score bigint")
+    assert {r["clean"]: r["least"] for r in title.kth_scores(scores, 4).collect()} == {"a": 8, "b": None}
+    best = sorted((r["clean"], r["rank"], r["track"]) for r in title.best_title_tracks(scores, 4).collect())
+    assert best == [("a", 1, 0), ("a", 2, 1), ("a", 3, 2), ("a", 4, 3), ("b", 1, 1), ("b", 2, 2)]
+
+
 def test_ties_by_track(spark):
     df = spark.createDataFrame([(1, 9, 0.5), (1, 3, 0.5), (1, 4, 0.7)], "pid int, track int, score double")
     got = rank.topk_per_list(df, 2).orderBy("rank").collect()
