@@ -348,3 +348,22 @@ def test_boosted_trees_learn_the_label(spark):
     assert means[1] > means[0] + 0.5
     top = rank.topk_per_list(scored.select("pid", "track", "prob"), 3, "prob").collect()
     assert {r["track"] for r in top} == {7, 8, 9}
+
+
+def test_trees_are_cut_without_another_fit(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(p, t, float(a), 0.5, int(rng.random() < 0.15 + 0.7 * (a > 0.4))) for p in range(80) for t in range(8) for a in rng.random(1)]
+    table = spark.createDataFrame(rows, "pid bigint, track bigint, cf_prob double, cf_rlt_prob double, label int")
+    fits, fit = [], models.GBTRegressor.fit
+    monkeypatch.setattr(models.GBTRegressor, "fit", lambda self, df: fits.append((self, fit(self, df), df)) or fits[-1][1])
+    done = models.gbt_train(table, rounds=200, rate=0.3)
+    assert [f.getMaxIter() for f, _, _ in fits] == [25] and done.rounds < 25
+    regressor, _, fitting = fits[0]
+    again = fit(regressor.copy({regressor.maxIter: done.rounds}), fitting)
+    assert [t.toDebugString.split("\n", 1)[1] for t in again.trees] == [t.toDebugString.split("\n", 1)[1] for t in done.trees.trees]
+    assert again.treeWeights == done.trees.treeWeights
+    own = {r["track"]: r["prob"] for r in models.gbt_score(done, table.filter("pid = 3")).collect()}
+    assert own == {r["track"]: r["prob"] for r in again.transform(done.model.stages[0].transform(table.filter("pid = 3"))).collect()}
+    # An input that no tree uses has no weight, also behind the last one that is used.
+    assert list(done.importances) == ["track", "cf_prob", "cf_rlt_prob"] and done.importances["cf_rlt_prob"] == 0.0
+    assert list(done.importances.values()) == again.featureImportances.toArray().tolist()
