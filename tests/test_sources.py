@@ -1,12 +1,14 @@
 import gzip
 import json
 import os
+import threading
+from functools import partial
 
 import pytest
 
 from segue import schemas, sources
 from segue.operators.rank import union_slices
-from segue.session import materialize, stage_path, temporary_stages
+from segue.session import materialize, stage_path, temporary_stages, together
 from segue.sources.writers import submission_rows, write_submission
 
 
@@ -110,3 +112,16 @@ def test_temporary_stages_are_deleted(spark):
     gone = [f.removeprefix("file://") for f in [*files, *lost]]
     assert gone and not any(os.path.exists(f) for f in gone)
     assert kept.count() == 3 and sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 2, 4]
+
+
+def test_independent_steps_run_at_the_same_time(spark):
+    """Each step waits for the other one; results come in the order of the steps, an error of a step is raised."""
+    met = threading.Barrier(2)
+
+    def step(n):
+        met.wait(60)
+        return spark.range(n).count()
+
+    assert together(spark, [partial(step, 3), partial(step, 5)]) == [3, 5] and together(spark, []) == []
+    with pytest.raises(ZeroDivisionError):
+        together(spark, [lambda: 1 // 0, lambda: 1])
