@@ -6,14 +6,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from segue.functions.similarity import edit_similarity
-from segue.operators.rank import SCORE_UNITS, topk_per_list
+from segue.operators.packs import by_group, encode, groups_of, opened, unpacked
+from segue.operators.rank import SCORE_UNITS
 from segue.operators.windows import as_arrays, as_table, sum_rows
 from segue.session import materialize
 
@@ -240,10 +240,11 @@ def query_blocks_for(asked: int, parallelism: int) -> int:
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 500) -> DataFrame:
     """(pid, query, track, score, rank): the k items nearest to each list's query item, exactly.
 
-    Items and queries are hashed into blocks of bounded size; a task multiplies one pair of
-    blocks and returns k rows per query, and the partial lists are merged by a top-k."""
-    units = materialize(unit_vectors(vectors), "units")
-    at_once = SCORES_AT_ONCE
+    Items and queries are hashed into blocks of bounded size, in the numbers that they come in; a task multiplies one pair of
+    blocks and returns a pack of k tracks per query (see `packs`).  The packs of a query are merged into one, which becomes rows where it
+    meets the lists that ask for it."""
+    units = materialize(item_vectors({"row": (vectors, None)}).withColumnRenamed("track", "key"), "units")
+    at_once, kind = SCORES_AT_ONCE, dict(queries.dtypes)["query"]
     asked = materialize(queries.select(F.col("query").alias("key")).distinct(), "asked")
     item_blocks = max(1, math.ceil(units.count() / ITEM_BLOCK))
     query_blocks = query_blocks_for(asked.count(), units.sparkSession.sparkContext.defaultParallelism)
@@ -255,31 +256,55 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 500) -> DataFra
 
     items = blocks(units, "ib", item_blocks, "qb", query_blocks)
     wanted = blocks(units.join(asked, "key", "left_semi"), "qb", query_blocks, "ib", item_blocks)
-    wanted = wanted.select("qb", "ib", F.col("key").alias("query"), F.col("unit").alias("query_unit"))
-
-    def nearest(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or i.empty:
-            return pd.DataFrame({"query": [], "track": [], "score": []})
-        keys, matrix = i["key"].to_numpy(), np.stack(i["unit"].to_numpy())
-        asked, units_asked = q["query"].to_numpy(), np.stack(q["query_unit"].to_numpy())
-        out, batch = [], max(1, at_once // len(keys))
-        for start in range(0, len(asked), batch):
-            scores = np.floor(units_asked[start:start + batch] @ matrix.T * SCORE_UNITS + 0.5) / SCORE_UNITS
-            for query, score in zip(asked[start:start + batch], scores):
-                other = np.flatnonzero(keys != query)
-                if len(other) > k:
-                    # Everything down to the k-th score, ties with it included.
-                    limit = np.partition(score[other], len(other) - k)[len(other) - k]
-                    other = other[score[other] >= limit]
-                best = other[np.lexsort((keys[other], -score[other]))[:k]]
-                out.append(pd.DataFrame({"query": query, "track": keys[best], "score": score[best]}))
-        return pd.concat(out)
-
-    partial = wanted.groupBy("qb", "ib").cogroup(items.groupBy("qb", "ib")).applyInPandas(
-        nearest, "query bigint, track bigint, score double"
-    )
-    best = topk_per_list(partial.withColumnRenamed("query", "pid"), k).withColumnRenamed("pid", "query")
-    return queries.select("pid", "query").join(best, "query")
+    wanted = wanted.select("qb", "ib", F.col("key").alias("query"), F.col("row").alias("query_row"))
+
+    def nearest(q: pa.Table, i: pa.Table) -> pa.Table:
+        found, packs = [], []
+        if q.num_rows and i.num_rows:
+            size = len(i["row"][0])
+            matrix, units_asked, asked = _units(i["row"], size), _units(q["query_row"], size), q["query"].to_numpy()
+            none = pc.is_null(i["key"]).to_numpy()
+            keys, batch = pc.fill_null(i["key"], 0).to_numpy(), max(1, at_once // i.num_rows)
+            for start in range(0, len(asked), batch):
+                scores = np.floor(units_asked[start:start + batch] @ matrix.T * SCORE_UNITS + 0.5)
+                for query, score in zip(asked[start:start + batch], scores):
+                    other = np.flatnonzero((keys != query) | none)
+                    if len(other) > k:
+                        # Everything down to the k-th score, ties with it included.
+                        limit = np.partition(score[other], len(other) - k)[len(other) - k]
+                        other = other[score[other] >= limit]
+                    best = other[np.lexsort((keys[other], -score[other]))[:k]]
+                    found.append(query)
+                    packs.append(_pack(keys[best], score[best], none[best]))
+        return pa.table({"query": pa.array(found, pa.int64()), "pack": pa.array(packs, pa.binary())})
+
+    partial = wanted.groupBy("qb", "ib").cogroup(items.groupBy("qb", "ib")).applyInArrow(nearest, "query bigint, pack binary")
+
+    def merge(table: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
+        row, (track, score, none) = opened(table.column("pack"), 2)
+        group = groups_of(heads, table.num_rows)[row]
+        order = np.lexsort((track, 1 - none, -np.where(np.isnan(score), np.inf, score), group))
+        place = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+        order, place = order[place < k], place[place < k]
+        ends = np.searchsorted(group[order], np.arange(len(heads) + 1))
+        made = [_pack(*(c[order[low:high]] for c in (track, score - SCORE_SHIFT, none)), place[low:high] + 1) for low, high in zip(ends, ends[1:])]
+        return pa.RecordBatch.from_arrays([table.column("query").combine_chunks().take(pa.array(heads)), pa.array(made, pa.binary())], ["query", "pack"])
+
+    best = partial.repartition("query").sortWithinPartitions("query").mapInArrow(by_group(["query"], merge), "query bigint, pack binary")
+    lists = queries.select("pid", "query").join(best.withColumn("query", F.col("query").cast(kind)), "query")
+    return unpacked(lists, 3, "track long, score double, rank int", lambda rows, row, track, score, none, place: [
+        pa.array(track, mask=none == 1), (score - SCORE_SHIFT) / SCORE_UNITS, place.astype(np.int32)
+    ])
+
+
+SCORE_SHIFT = 2 * int(SCORE_UNITS)  # cosines in whole units, moved over zero
+
+
+def _pack(track: np.ndarray, score: np.ndarray, none: np.ndarray, *more: np.ndarray) -> bytes:
+    """Tracks with their cosines in units; a row of a null track is marked."""
+    order = np.argsort(track, kind="stable")
+    moved = score[order] + SCORE_SHIFT
+    return encode(track[order], moved if np.isnan(moved).any() else moved.astype(np.int64), none[order].astype(np.int64), *[m[order] for m in more])
 
 
 def truth_without_query(interactions: DataFrame, queries: DataFrame) -> DataFrame:
@@ -315,5 +340,6 @@ def feature_table(candidates: DataFrame, truth: DataFrame | None, seeds: DataFra
     rows = add_item_attrs(rows, items)
     if names:
         rows = name_similarities(rows).drop("clean")
+        rows = rows.select("pid", "track", *[c for c in rows.columns if c not in ("pid", "track")])
     rows = rows.drop("track_name", "album_name", "artist_name")
     return add_embeddings(rows, seeds, embeddings) if embeddings else rows

@@ -203,7 +203,8 @@ def unpacked(df: DataFrame, columns: int, made: str, make: Callable[..., list],
                 rows = batch.slice(low, high - low)
                 row, numbers = opened(rows.column("pack"), columns)
                 own = [rows.column(f.name).take(pa.array(row)) for f in kept]
-                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, make(rows, row, *numbers))], [*[f.name for f in kept], *names])
+                new = [c if isinstance(c, pa.Array) else pa.array(c) for c in make(rows, row, *numbers)]
+                yield pa.RecordBatch.from_arrays([*own, *new], [*[f.name for f in kept], *names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [made])
     return df.mapInArrow(run, schema)

@@ -77,3 +77,33 @@ def test_shuffle_files_go_with_their_job(spark):
             break
         time.sleep(0.2)
     assert not after - before
+
+
+def test_nearest_items_with_repeated_and_null_keys(spark, monkeypatch):
+    """The packs of a query's blocks merge to its best rows; an item that comes twice is two of them, one without a key is found as null."""
+    from segue.operators import features
+
+    monkeypatch.setattr(features, "ITEM_BLOCK", 4)
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.2]), (2, [1.0, 0.1]), (3, [-1.0, 0.1]), (None, [1.0, 0.05]), (4, [0.0, 0.0]), (5, [0.0, 2.0]), (9, [1.0, 0.2])]
+    items = spark.createDataFrame(rows, "track bigint, vector array<float>")
+    asked = spark.createDataFrame([(10, 1), (11, 1), (12, 77)], "pid bigint, query bigint")
+    found = features.vector_topk(asked, items, k=4)
+    assert found.columns == ["query", "pid", "track", "score", "rank"] and dict(found.dtypes)["rank"] == "int"
+    got = sorted((r["pid"], r["rank"], r["track"]) for r in found.collect())
+    assert got == [(p, i + 1, t) for p in (10, 11) for i, t in enumerate([None, 2, 2, 9])]
+    assert {(r["track"], r["score"]) for r in found.collect()} >= {(9, 0.980581), (2, 0.995037)}
+
+
+def test_retrieved_candidates_are_made_once(spark, monkeypatch):
+    """The features read the candidates, and their means, from one written stage."""
+    from segue.operators import features
+
+    labels, write = [], session.materialize
+    monkeypatch.setattr(features, "materialize", lambda d, label="stage": labels.append(label) or write(d, label))
+    candidates = spark.createDataFrame([(1, 5, 2.0), (1, 6, 4.0), (2, 5, 1.0)], "pid bigint, track bigint, cf_prob double")
+    items = spark.createDataFrame([(5, 1, 1, "a", "b", "c"), (6, 1, 2, "d", "e", "f")], "track bigint, artist int, album int, track_name string, album_name string, artist_name string")
+    lists = spark.createDataFrame([(1, "a"), (2, None)], "pid bigint, clean string")
+    table = features.feature_table(candidates, candidates.limit(1), candidates, items, lists, None, {})
+    assert labels == ["retrieved"]
+    assert table.columns == ["pid", "track", "cf_prob", "cf_rlt_prob", "label", "artist", "album", "name_sim", "album_sim", "artist_sim"]
+    assert sorted((r["pid"], r["track"], round(r["cf_rlt_prob"], 6), r["label"]) for r in table.collect()) == [(1, 5, 0.666667, 1), (1, 6, 1.333333, 0), (2, 5, 1.0, 0)]
